@@ -2,8 +2,52 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
 
+from sevra.llm import exact_dedup, minhash, mixing, packing, toxicity
+from sevra.llm.common import staged, table
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go; the model learns from all labelled documents (at most toxicity.MAX_LABELLED)."""
+    weights = toxicity.learn(table(spark, sf_dir, "labels"), docs=table(spark, sf_dir, "documents"))
+    return toxicity.drop_toxic(docs, weights)
+
+
+def remove_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document comes as often as the mix takes its words, in whole documents."""
+    return mixing.resampled(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with the bin each went into; copies made by the mix never share a bin."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("exact_dedup", remove_exact_copies),
+    ("minhash_near_dedup", remove_near_copies),
+    ("mixing_sources", mix_sources),
+    ("best_fit_packing", pack),
+]
+
+#: SQL cannot express a learnt score, MinHash components or packing; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = staged(docs)
+    return docs

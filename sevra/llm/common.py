@@ -52,3 +52,34 @@ def n_words(text: Column) -> Column:
 def crc_mod(key: Column, mod: int) -> Column:
     """crc32 of the key as text, modulo mod."""
     return F.crc32(key.cast("string")) % mod
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, most: int = 1000) -> DataFrame:
+    """rows inner join groups (one row per key) without a hot key in any shuffle.
+
+    Groups with over 1/most of all members are at most `most` in number, so
+    broadcasting them is bounded; all others meet in a shuffle. Both must be cheap to read twice.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    least = max(1000, total // most)
+    heavy = F.broadcast(groups.where(F.col(size) >= least))
+    tagged = rows.join(F.broadcast(groups.where(F.col(size) >= least).select(*on, F.lit(True).alias("_hot"))), on, "left")
+    return rows.join(heavy, on).unionByName(tagged.where("_hot is null").drop("_hot").join(groups.where(F.col(size) < least), on))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) of all nodes in links (a, b): label is the smallest node reachable.
+
+    Minimum labels flow along links and jump to their label's label, so the number of rounds
+    is logarithmic for chains; each round is written to the shared folder.
+    """
+    links = staged(links.select(F.col("a"), F.col("b")).union(links.select(F.col("b"), F.col("a"))).distinct())
+    labels = staged(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    while True:
+        seen = links.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
+        low = labels.join(seen, "node").select("node", "label", F.least("label", "m").alias("low"))
+        target = labels.select(F.col("node").alias("low"), F.col("label").alias("up"))
+        new = staged(low.join(target, "low").select("node", F.least("low", "up").alias("label"), (F.least("low", "up") < F.col("label")).alias("moved")))
+        labels = new.select("node", "label")
+        if not new.where("moved").limit(1).count():
+            return labels
