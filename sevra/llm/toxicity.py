@@ -47,7 +47,7 @@ class Weights:
         return out
 
 
-def train(rows: list[tuple[int, np.ndarray]], epochs: int = 3, alpha: float = 0.15, beta: float = 1.0, l1: float = 0.6, l2: float = 0.05) -> Weights:
+def train(rows: list[tuple[int, np.ndarray]], epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.05) -> Weights:
     """FTRL-proximal over (label, distinct buckets), in the order given. Without rows of both labels only the bias is set."""
     labels = {y for y, _ in rows}
     if len(labels) < 2:
