@@ -17,6 +17,7 @@ towards any of them and are dropped at the start.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,20 +66,15 @@ def _phrases(spaced: Column, phrases: dict[str, str]) -> Column:
     """array<struct<label, at>> of all places; only texts that contain a phrase are cut into words."""
     pattern = "(?i) (" + "|".join(sorted(phrases)) + ") "
 
-    def places(w: Column) -> Column:
-        found = []
-        for phrase, label in phrases.items():
-            tokens = phrase.split()
+    def of(w: Column, tokens: list[str], label: str) -> Column:
+        def match(i: Column) -> Column:
+            return reduce(lambda x, y: x & y, (F.coalesce(F.get(w, i + k) == t, F.lit(False)) for k, t in enumerate(tokens)))
 
-            def match(i, tokens=tokens):
-                hit = F.lit(True)
-                for k, t in enumerate(tokens):
-                    hit = hit & F.coalesce(F.get(w, i + k) == t, F.lit(False))
-                return hit
+        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), match)
+        return F.transform(at, lambda i: F.struct(F.lit(label).alias("label"), i.cast("long").alias("at")))
 
-            at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), match)
-            found.append(F.transform(at, lambda i, label=label: F.struct(F.lit(label).alias("label"), i.cast("long").alias("at"))))
-        return F.flatten(F.array(*found))
+    def places(w: Column) -> Column:
+        return F.flatten(F.array(*(of(w, phrase.split(), label) for phrase, label in phrases.items())))
 
     none = F.array().cast("array<struct<label:string,at:bigint>>")
     return F.when(F.rlike(spaced, F.lit(pattern)), let(F.split(F.trim(_small(spaced)), " "), places)).otherwise(none)
@@ -129,7 +125,7 @@ def matches(df: DataFrame, key: str = "doc_id", text: str = "text", templates: t
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """One row per row of df: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    labels: those of phrases and of matching templates; score: the highest
+    labels: those of phrases and of each block's best templates; score: the highest
     containment of a matching template, 1 with a phrase, 0 without either.
     Null and empty texts: counts 0, null places, empty labels. Rows that
     repeat a key get the labels of all of them; a null key only its phrases'.
@@ -137,7 +133,10 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: tupl
     spaced = F.col("spaced")
     base = df.select(F.col(key).cast("long").alias(key), _spaced(F.col(text)).alias("spaced"))
     base = base.select(key, F.when(F.trim(spaced) == "", F.lit(0)).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) - 1).cast("long").alias("n_words"), _phrases(spaced, phrases).alias("p"))
-    by_key = matches(df, key, text, templates, threshold).groupBy(key).agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    # Labels come from the best template of each block; there are no more matches of a block than templates.
+    by_block = matches(df, key, text, templates, threshold).groupBy(key, "block").agg(F.collect_set(F.struct("containment", "label")).alias("m"), F.max("containment").alias("best"))
+    by_block = by_block.withColumn("m", F.transform(F.filter("m", lambda x: x["containment"] == F.col("best")), lambda x: x["label"]))
+    by_key = by_block.select(key, "best", F.explode("m").alias("label")).groupBy(key).agg(F.collect_set("label").alias("more"), F.max("best").alias("best"))
     own = F.array_distinct(F.transform("p", lambda x: x["label"]))
     join = lambda x: F.array_join(F.array_sort(x), ",")
     return base.join(by_key, key, "left").select(
