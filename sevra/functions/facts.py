@@ -1,0 +1,29 @@
+"""Facts of a clinical note: phrases and numbers, found with patterns that Spark's and RE2's engines read alike."""
+
+from __future__ import annotations
+
+#: Removed first, up to the end of the clause: what the note denies.
+NEGATED = "(^|[ (])(no|not|without|denies|denied)( [^.;,]*)"
+#: Phrases: true if one occurs in what is left of the lower-cased note.
+PHRASES = {
+    "pain": "pain episode|pain crisis", "analgesic": "analgesic|morphine|ibuprofen|opioid", "other_cause": "explained by trauma", "at_home": "at home", "visit": "day hospital|emergency department|medical facility",
+    "admitted": "admitted|admission", "organ_failure": "organ failure", "life_support": "mechanical ventilation|vasopressor|renal replacement", "death": "died|death|deceased",
+    "complication": "acute chest syndrome|respiratory distress|dvt|deep vein thrombosis|pulmonary embolism|stroke|splenic sequestration|hyperhaemolysis|hyperhemolysis",
+    "infiltrate": "new lobar infiltrate|new segmental infiltrate|new lobar/segmental infiltrate", "chest_sign": "tachypnea|retractions|nasal flaring|accessory muscle|thoracic pain|cough|wheezing|rales",
+    "oxygen": "supplemental oxygen|fio2 [0-9]", "simple_transfusion": "simple transfusion|simple erythrocyte transfusion", "exchange": "exchange transfusion", "epo": "erythropoietin", "bipap": "bipap",
+    "high_flow": "high-flow", "supportive": "other supportive treatment", "critical": "vasopressor|vasoactive|intubated|intubation|invasive mechanical ventilation",
+    "spleen_present": "splenic sequestration", "reticulocytes": "reticulocyt", "spleen_treatment": "transfusion|iv fluids", "unstable": "hemodynamic instability|hemodynamically unstable", "splenectomy": "splenectomy",
+    "priapism": "priapism", "painful": "painful", "physician": "physician", "medication": "medication", "aspiration": "aspiration|irrigation", "shunt": "shunt",
+}
+#: Numbers: the first group as a double, null where there is none.
+NUMBERS = {
+    "pain_hours": "pain for ([0-9]+) hours", "temperature": "temperature ([0-9]+[.][0-9]) c", "spo2": "spo2 ([0-9]+)%", "spo2_was": "spo2 [0-9]+% from ([0-9]+)%", "pao2": "pao2 ([0-9]+)", "fio2": "fio2 ([0-9]+)%",
+    "hb": "hemoglobin ([0-9]+[.][0-9]) g/dl", "hb_was": "hemoglobin [0-9]+[.][0-9] g/dl from ([0-9]+[.][0-9])", "spleen_cm": "spleen ([0-9]+) cm", "spleen_was": "spleen [0-9]+ cm from ([0-9]+) cm", "priapism_minutes": "lasting ([0-9]+) minutes",
+}
+#: Quantities whose mention without a number makes a note ambiguous.
+MENTIONS = "pain for several hours|high fever|low fio2|enlarged spleen|prolonged duration"
+
+
+def asserted(note: str, replace: str) -> str:
+    """SQL of the lower-cased note without what it denies; replace: regexp_replace of all matches as a format of (text, pattern, by)."""
+    return replace.format(f"lower({note})", f"'{NEGATED}'", "' '")
