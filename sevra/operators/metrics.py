@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 GRADES = (-1, 0, 1, 2, 3, 4, 5)
-_hit = F.expr("predicted_grade <=> gold_grade")
-
 
 def accuracy(df: DataFrame, *by: str) -> DataFrame:
     """n, exact_pct, within_one_pct (literal, sentinels included), within_one_graded_pct (both from 1 to 5) per group."""
@@ -16,7 +14,7 @@ def accuracy(df: DataFrame, *by: str) -> DataFrame:
     both = (F.col("gold_grade") >= 1) & F.coalesce(F.col("predicted_grade") >= 1, F.lit(False))
     pct = lambda c: 100.0 * F.sum(c.cast("long")) / F.count("*")
     return df.groupBy(*by).agg(
-        F.count("*").alias("n"), pct(_hit).alias("exact_pct"), pct(near).alias("within_one_pct"),
+        F.count("*").alias("n"), pct(F.col("predicted_grade").eqNullSafe(F.col("gold_grade"))).alias("exact_pct"), pct(near).alias("within_one_pct"),
         (100.0 * F.sum((near & both).cast("long")) / F.nullif(F.sum(both.cast("long")), F.lit(0))).alias("within_one_graded_pct"),
     )
 
