@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .textvec import U, Words, mix, slices
 
 #: Buckets of the hashed features, bytes of a word's beginning, and most labelled rows that are learnt from.
@@ -47,24 +48,29 @@ class Weights:
         return out
 
 
-def train(rows: list[tuple[int, np.ndarray]], epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.05) -> Weights:
-    """FTRL-proximal over (label, distinct buckets), in the order given. Without rows of both labels only the bias is set."""
+def train(rows: list[tuple[int, np.ndarray]], epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.05) -> Weights:
+    """FTRL-proximal over (label, distinct buckets), in the order given.
+
+    The bias isn't learnt: it is the log-odds of the share of label 1, taken as 0.2 at most, so that
+    a text without features isn't rejected. Without rows of both labels only the bias is set.
+    """
     labels = {y for y, _ in rows}
     if len(labels) < 2:
         return Weights(bias=5.0 if labels == {1} else -5.0)
-    z, n = np.zeros((1 << BITS) + 1, np.float32), np.zeros((1 << BITS) + 1, np.float32)
+    share = min(0.2, sum(y for y, _ in rows) / len(rows))
+    bias = float(np.log(share / (1 - share)))
+    z, n = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
     for _ in range(epochs):
         for y, x in rows:
-            x = np.append(x, 1 << BITS)
             zx, nx = z[x], n[x]
             root = np.sqrt(nx)
             w = np.where(np.abs(zx) <= l1, 0, -(zx - np.sign(zx) * l1) / ((beta + root) / alpha + l2))
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y
+            g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -30, 30))) - y
             z[x] = zx + g - (np.sqrt(nx + g * g) - root) / alpha * w
             n[x] = nx + g * g
     w = np.where(np.abs(z) <= l1, 0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
-    at = np.flatnonzero(w[:-1])
-    return Weights(at.astype(np.int32), w[at].astype(np.float32), float(w[-1]))
+    at = np.flatnonzero(w)
+    return Weights(at.astype(np.int32), w[at].astype(np.float32), bias)
 
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,6 +88,7 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
 
     docs: a table with key and text, if labelled has none. Rows without a label are passed over.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("y"), *([] if docs is not None else [F.first(text).alias(text)]))
     rows = rows.orderBy(F.xxhash64(F.col(key)), key).limit(MAX_LABELLED)
     if docs is not None:  # at most MAX_LABELLED rows of two numbers
@@ -104,6 +111,7 @@ def scored(df: DataFrame, weights: Weights, key: str = "doc_id", text: str = "te
                 total = np.bincount(both >> BITS, table[both & ((1 << BITS) - 1)], minlength=to - at) + weights.bias
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], [key, "score"])
 
+    small_batches(df.sparkSession)
     return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, score double")
 
 
@@ -121,4 +129,5 @@ def drop_toxic(df: DataFrame, weights: Weights, threshold: float = 0.3, key: str
                 total = np.bincount(both >> BITS, table[both & ((1 << BITS) - 1)], minlength=to - at) + weights.bias
                 yield batch.slice(at, to - at).filter(pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))) < threshold))
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
