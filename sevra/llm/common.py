@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def small_batches(spark: SparkSession, mb: int = 8, rows: int = 2000) -> None:
+    """Lower the session's Arrow batches to so many MB and rows, so that workers hold little text at a time."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", rows)):
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage and outlives lost executors."""
     at = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"

@@ -18,18 +18,23 @@ components, so no link is lost and nothing inside a component is repeated.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_groups, staged
+from .common import components, join_groups, small_batches, staged
 from .textvec import U, Words, mix, slices
 
 #: Coordinates per band and bands. At similarity 0.85 a pair is missed with probability 4e-7, at 0.8 with 5e-5.
 ROWS, BANDS = 5, 25
+#: Longs of a sketch: the lowest bit of 64 coordinates each. Where whole buckets are compared, a pair whose sketches put
+#: its similarity MARGIN below the threshold is left out: at the threshold that is over 5 standard deviations away.
+LONGS, MARGIN = 32, 0.07
 _SIGMA = 77
+_SKETCH = [f"s{i}" for i in range(LONGS)]
 
 
 def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,20 +72,31 @@ def _pi(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _lows(shingles: np.ndarray, starts: np.ndarray, count: int) -> Iterator[np.ndarray]:
+    """The first coordinates of the signatures of the sets that begin at starts."""
+    place = (mix(shingles, _SIGMA) >> U(32)).astype(np.uint32)
+    for k in range(count):
+        yield np.minimum.reduceat(_pi(place + np.uint32(k)), starts).astype(U)
+
+
 def band_keys(shingles: np.ndarray, first: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
     """(texts, bands) keys of the non-empty sets; a key holds its band's number."""
-    place = (mix(shingles, _SIGMA) >> U(32)).astype(np.uint32)
-    starts = first[:-1]
-    out = np.empty((len(starts), bands), np.int64)
-    for b in range(bands):
-        key = np.full(len(starts), b, U)
-        for r in range(rows):
-            low = np.minimum.reduceat(_pi(place + np.uint32(b * rows + r)), starts)
-            key = mix(key * U(0x9E3779B97F4A7C15) + low.astype(U), r)
+    out = np.empty((len(first) - 1, bands), np.int64)
+    for k, low in enumerate(_lows(shingles, first[:-1], rows * bands)):
+        b, r = divmod(k, rows)
+        key = mix((key if r else np.full(len(low), b, U)) * U(0x9E3779B97F4A7C15) + low, r)
         out[:, b] = key.view(np.int64)
     return out
 
 
+def sketches(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(texts, LONGS) sketches of the non-empty sets."""
+    out = np.zeros((len(first) - 1, LONGS), U)
+    for k, low in enumerate(_lows(shingles, first[:-1], 64 * LONGS)):
+        out[:, k // 64] |= (low & U(1)) << U(k % 64)
+    return out.view(np.int64)
+
+
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +121,12 @@ def _sets(size: int):
         for batch in batches:
             for at, to, w in slices(batch.column(1)):
                 s, first = shingle_sets(w, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([s[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["id", "shingles"])
+                some = np.flatnonzero(np.diff(first))
+                sketch = np.zeros((to - at, LONGS), np.int64)
+                if len(some):
+                    sketch[some] = sketches(s, np.append(first[:-1][some], first[-1]))
+                shingles = pa.array([s[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), shingles, *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(LONGS))], ["id", "shingles", *_SKETCH])
 
     return run
 
@@ -123,10 +144,8 @@ def _linked(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that meet the threshold on their full sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = staged(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets(size), "id long, shingles binary"))
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     return staged(both.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long"))
 
@@ -139,33 +158,48 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     to be unique and not null; rows with a null key are left out of all groups
     and kept. An empty table gives none.
     """
+    small_batches(df.sparkSession)
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sigs = staged(texts.mapInArrow(_signatures(size), "id long, n long, d1 long, d2 long, bands array<long>"))
     some = sigs.where("n > 0 and id is not null")
-    classes = staged(some.groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "bands")).alias("r"), F.count("*").alias("members")).select("d1", "d2", "n", F.col("r.id").alias("rep"), "members", F.col("r.bands").alias("bands")))
-    rows = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    buckets = staged(rows.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("bucket", F.col("c.rep").alias("centre"), F.col("c.n").alias("cn"), "m"))
-    rows = staged(join_groups(rows, buckets, ["bucket"], "m").select("bucket", "rep", "n", "centre", "cn"))
-    possible = 100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")
-    pairs = staged(rows.where(possible & (F.col("rep") > F.col("centre"))).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
-    links = _verified(pairs, texts, size, percent)
+    own = ["rep", "n"]
+    classes = some.groupBy("d1", "d2", "n").agg(F.min(F.struct(F.col("id").alias("rep"), "bands")).alias("r"), F.count("*").alias("members"))
+    classes = staged(classes.select("d1", "d2", "n", "members", "r.*"))
+    rows = classes.select(*own, F.explode("bands").alias("bucket"))
+    centre = F.min(F.struct(*own)).alias("c")
+    buckets = staged(rows.groupBy("bucket").agg(centre, F.count("*").alias("m")).where("m > 1"))
+    rows = staged(join_groups(rows, buckets, ["bucket"], "m").select("bucket", *own, "c"))
+
+    def possible(x: str, y: str):
+        return 100 * F.least(f"{x}n", f"{y}n") >= percent * F.greatest(f"{x}n", f"{y}n")
+
+    ordered = [F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")]
+    pairs = staged(rows.where((F.col("rep") != F.col("c.rep")) & possible("", "c.")).select(*ordered).distinct())
+    # Full sets of all that share a bucket, once for every turn.
+    sets = staged(texts.join(rows.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text").mapInArrow(_sets(size), "id long, shingles binary, " + ", ".join(f"{c} long" for c in _SKETCH)))
+    links = _verified(pairs, sets, percent)
     done = pairs
     turn = 0
     labels = components(links)
     while True:
         turn += 1
-        named = rows.select("bucket", "rep", "n").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.min(F.struct(F.xxhash64(F.col("rep") + F.lit(turn)), "rep", "n", "label")).alias("c")).where("lo < hi")
-        open_ = staged(open_.select("bucket", "m", F.col("c.rep").alias("centre"), F.col("c.n").alias("cn"), F.col("c.label").alias("cl")))
+        named = rows.select("bucket", *own).join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        chosen = F.min_by(F.struct(*own, "label"), F.struct(F.xxhash64(F.col("rep") + F.lit(turn)), "rep")).alias("c")
+        open_ = staged(named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), chosen).where("lo < hi").select("bucket", "m", "c"))
         rows = staged(join_groups(named, open_, ["bucket"], "m"))
         if turn <= 2:
-            found = rows.where(possible & (F.col("label") != F.col("cl"))).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-        else:  # all pairs of different components: what is left after the turns above
-            other = rows.select("bucket", F.col("rep").alias("centre"), F.col("n").alias("cn"), F.col("label").alias("cl"))
-            found = rows.select("bucket", "rep", "n", "label").join(other, "bucket").where(possible & (F.col("label") < F.col("cl"))).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
+            found = rows.where((F.col("label") != F.col("c.label")) & possible("", "c.")).select(*ordered)
+        else:  # all pairs of different components that sizes and sketches allow: what is left after the turns above
+            full = staged(rows.select("bucket", *own, "label").join(sets.select(F.col("id").alias("rep"), *_SKETCH), "rep").join(classes.select("rep", "bands"), "rep"))
+            one, other = full.alias("x"), full.alias("y")
+            differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _SKETCH))
+            # A pair comes from the first bucket that it shares only; shared buckets are all open, as the labels differ.
+            first_shared = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket")
+            on = (differ <= int(64 * LONGS * (1 - percent / 100 + MARGIN) / 2)) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & possible("x.", "y.") & first_shared
+            found = one.join(other, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
         new = staged(found.distinct().join(done, ["a", "b"], "left_anti"))
         if new.limit(1).count():
-            more = _verified(new, texts, size, percent)
+            more = _verified(new, sets, percent)
             if more.limit(1).count():
                 links = links.union(more)
                 labels = components(links)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .textvec import U, Words, slices
 
 #: Words of a passage, most labelled rows that are learnt from, width of encoding and attention.
@@ -137,6 +138,7 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """A model from at most MAX_LABELLED labelled keys, those with the smallest hash. Rows without a label are passed over; of repeated keys the largest label counts."""
+    small_batches(docs.sparkSession)
     rows = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64(F.col(key)), key).limit(MAX_LABELLED)
     got = docs.select(key, text).join(F.broadcast(rows), key).select(F.col(key).cast("long").alias("k"), "y", F.col(text).alias("x")).mapInArrow(_collect, "k long, y int, x binary").toPandas()
     got = got.sort_values("k", kind="stable")
@@ -153,4 +155,5 @@ def scored(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
             for at, to, w in slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(model.score(*passages(w)))], [key, "score"])
 
+    small_batches(df.sparkSession)
     return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, score double")

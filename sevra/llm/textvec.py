@@ -18,7 +18,7 @@ _P = 0x9E3779B97F4A7C15
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256).astype(U) | U(1)
 _POW: dict[str, np.ndarray] = {"p": np.ones(1, U), "i": np.ones(1, U)}
 #: Bytes of text handled at once, so that the working arrays stay small; a longer text is one slice.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
