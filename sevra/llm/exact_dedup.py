@@ -49,6 +49,17 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def drop_exact_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without rows whose text a row with a larger key has; columns stay. Rows that share text and key all stay or go together."""
-    gone = exact_groups(df, key, text).where(~F.col("kept")).select(F.col(key))
-    return df.join(gone, key, "left_anti")
+    """df with one row of each group of equal texts, the one with the largest key; columns stay.
+
+    Null counts as the empty text and stays null in the row that is kept. Of
+    rows that share text and key, the one with the largest other columns
+    stays; these must be of types that Spark can order. Winners carry their
+    columns along, so whole texts move twice and no join follows.
+    """
+    others = [c for c in df.columns if c not in (key, text)]
+    row = F.struct(F.col(key).alias("_k"), F.col(text).isNull().alias("_null"), *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(others)))
+    rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("_t"), row.alias("_r")).withColumn("_d", F.unhex(F.sha2("_t", 256)))
+    salted = rows.withColumn("_s", F.spark_partition_id() % SALTS).groupBy("_d", "_s", "_t").agg(F.max("_r").alias("_r"))
+    won = salted.repartition("_d").groupBy("_d", "_t").agg(F.max("_r").alias("_r"))
+    columns = {key: F.col("_r._k"), text: F.when(~F.col("_r._null"), F.col("_t"))} | {c: F.col(f"_r._{i}") for i, c in enumerate(others)}
+    return won.select(*(columns[c].alias(c) for c in df.columns))
