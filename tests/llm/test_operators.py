@@ -224,3 +224,11 @@ def test_quality_classifier(spark, empty):
     got = {r["doc_id"]: r["score"] for r in quality_mil.scored(docs, model).collect()}
     assert np.mean([(got[i] >= 0.3) == (i % 3 > 0) for i in range(200, 300)]) > 0.97 and 0 <= got[300] == got[301] <= 1
     assert quality_mil.scored(empty, model).count() == 0
+
+
+def test_toxicity_settings_are_chosen_by_folds():
+    rows = [(i % 4 == 0, np.array([7 + i % 4, 100 + i], np.int32)) for i in range(120)]
+    rows = [(int(y), x) for y, x in rows]
+    (f1, loss, best), *others = toxicity.choose(rows, [{"l1": 1e6}, {"l1": 4.0}])
+    assert best == {"l1": 4.0} and f1 == 1 and loss < others[0][1]
+    assert toxicity.choose([], [{}]) == [(0.0, 0.0, {})]
