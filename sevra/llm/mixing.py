@@ -4,15 +4,14 @@ The words of each source are packed into blocks of BLOCK words, in the order
 of a hash of the key. The mix is a sequence of block slots, dealt over output
 shards: per shard a multinomial draw says how many slots each source gets,
 conditioned so that the totals meet the targets (multivariate hypergeometric).
-A source's slot k takes block perm(k mod blocks), where perm is a
-pseudorandom permutation per source and pass, and blocks join their documents
+A source's slot k takes block k mod blocks. The order of the hash is the
+permutation: of documents, not of blocks, so that a pass over part of a source
+takes whole documents, all but the one at its end. Blocks join their documents
 by index.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ from pyspark.sql.window import Window
 
 from .common import n_words, staged
 
-#: Words per block, least slots and most number of output shards, most times that a word is taken, seed of draws and permutations.
+#: Words per block, least slots and most number of output shards, most times that a word is taken, seed of the draws and of the order.
 BLOCK, SHARD_SLOTS, SHARDS, MOST, SEED = 64, 1 << 16, 4096, 3, 20240229
 
 
@@ -48,14 +47,10 @@ def _plan(totals: list[tuple[str | None, int]], weights) -> list[dict]:
     sizes = [n for _, n in order]
     goal = targets(sizes, [float(weights(s, i)) for i, (s, _) in enumerate(order)])
     out = []
-    for i, ((source, size), t) in enumerate(zip(order, goal, strict=True)):
+    for (source, size), t in zip(order, goal, strict=True):
         blocks = -(-size // BLOCK)
         slots = min(MOST * blocks, round(t / (size / blocks))) if size else 0
-        g = np.random.default_rng([SEED, i])
-        step = 1
-        while blocks > 2 and math.gcd(step := int(g.integers(1, min(blocks, 1 << 28))), blocks) > 1:
-            pass
-        out.append({"source": source, "source_size": size, "target": t, "blocks": blocks, "slots": slots, "step": step, "shift": int(g.integers(0, max(1, blocks)))})
+        out.append({"source": source, "source_size": size, "target": t, "blocks": blocks, "slots": slots})
     left = np.array([x["slots"] for x in out], dtype=np.int64)
     g = np.random.default_rng(SEED)
     first = np.zeros(len(out), dtype=np.int64)
@@ -85,8 +80,12 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     block, plus what its last, shorter block lacks; no row exceeds MOST times
     its size. An empty table gives none.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(source).alias("s"), n_words(F.col(text)).alias("size"))
-    rows = rows.withColumn("h", F.xxhash64("k", F.lit(SEED)))
+    return _mixed(df, key, text, source, weights).select(F.col("k").alias(key), "size", "source_size", "target", "taken")
+
+
+def _mixed(df: DataFrame, key: str, text: str, source: str, weights, row=None) -> DataFrame:
+    """mixed() with the key as k, and with the value of row, if given, as id."""
+    rows = df.select(F.col(key).alias("k"), F.col(source).alias("s"), n_words(F.col(text)).alias("size"), F.xxhash64(F.col(key), F.col(text), F.lit(SEED)).alias("h"), (F.lit(None).cast("long") if row is None else row).alias("id"))
     n = df.count()
     parts = max(256, n // 50_000)
     rows = staged(rows.withColumn("part", F.pmod("h", F.lit(parts))))
@@ -95,34 +94,35 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     plan = _plan([(r["s"], r["n"]) for r in per_source], weights)
     spark = df.sparkSession
     # One row per source.
-    sources = F.broadcast(spark.createDataFrame([(x["source"], x["source_size"], x["target"], x["blocks"], x["step"], x["shift"]) for x in plan], "s string, source_size long, target double, blocks long, step long, shift long"))
+    sources = F.broadcast(spark.createDataFrame([(x["source"], x["source_size"], x["target"], x["blocks"]) for x in plan], "s string, source_size long, target double, blocks long"))
     # Positions of words within a source: sums of parts first, then rows within a part, so that no source is one group.
     before = sums.select("s", "part", (F.sum("n").over(Window.partitionBy("s").orderBy("part")) - F.col("n")).alias("offset"))
     inside = Window.partitionBy("s", "part").orderBy("h", "k", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("end", F.sum("size").over(inside)).join(before.withColumnsRenamed({"s": "s2", "part": "p2"}), F.col("s").eqNullSafe(F.col("s2")) & (F.col("part") == F.col("p2")))
-    placed = placed.select("k", "s", "size", (F.col("offset") + F.col("end") - F.col("size")).alias("a"), (F.col("offset") + F.col("end")).alias("b"), F.monotonically_increasing_id().alias("row"))
+    placed = placed.select("k", "s", "size", "id", (F.col("offset") + F.col("end") - F.col("size")).alias("a"), (F.col("offset") + F.col("end")).alias("b"), F.monotonically_increasing_id().alias("row"))
     placed = staged(placed)
     # Slots of each shard and source, a row each of (shards x sources), become blocks by index.
     deals = spark.createDataFrame([(x["source"], a, k) for x in plan for _, a, k in x["shards"]], "s string, first long, n long").repartition(spark.sparkContext.defaultParallelism)
     runs = deals.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SHARD_SLOTS)))).withColumn("from", F.col("first") + F.col("run") * SHARD_SLOTS)
     slots = runs.withColumn("slot", F.explode(F.sequence(F.col("from"), F.least(F.col("first") + F.col("n"), F.col("from") + SHARD_SLOTS) - 1))).withColumnRenamed("s", "s2")
     slots = slots.join(sources, F.col("s").eqNullSafe(F.col("s2")))
-    turn = F.floor(F.col("slot") / F.col("blocks"))
-    block = F.pmod(F.pmod(F.col("slot"), F.col("blocks")) * F.col("step") + F.col("shift") + turn * F.lit(7919), F.col("blocks"))
-    times = slots.select("s2", block.alias("block")).groupBy("s2", "block").agg(F.count("*").alias("times"))
+    times = slots.select("s2", F.pmod("slot", "blocks").alias("block")).groupBy("s2", "block").agg(F.count("*").alias("times"))
     # Documents over blocks: one row per block that a document touches.
     touched = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / BLOCK), F.floor((F.col("b") - 1) / BLOCK))))
     both = touched.join(times, F.col("s").eqNullSafe(F.col("s2")) & (touched["block"] == times["block"]))
     words = F.least(F.col("b"), (touched["block"] + 1) * BLOCK) - F.greatest(F.col("a"), touched["block"] * BLOCK)
     taken = both.groupBy("row").agg(F.sum(words * F.col("times")).alias("taken"))
     out = placed.join(taken, "row", "left").join(sources.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2")))
-    return out.select(F.col("k").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("k", "id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def resampled(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=default_weights) -> DataFrame:
     """df as the mix takes it: each row as often as its words are taken, rounded to whole rows; columns stay.
 
-    Expects unique keys. A row stays out if less than half of it is taken.
+    At most one row of a source is taken in part, so its words differ from its
+    target by at most half of that row and a block. Rows are told apart by
+    their place, not by key: null and repeated keys stay, each row by itself.
     """
-    copies = mixed(df, key, text, source, weights).where("taken > 0").select(F.col(key), F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).where("_copies > 0")
-    return df.join(copies, key).withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
+    rows = staged(df.withColumn("_row", F.monotonically_increasing_id()))
+    copies = _mixed(rows, key, text, source, weights, F.col("_row")).where("taken > 0").select(F.col("id").alias("_row"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).where("_copies > 0")
+    return rows.join(copies, "_row").withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
