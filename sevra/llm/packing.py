@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,8 +77,9 @@ def packed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     bin each, and a last one that is packed. Null and blank texts have one
     piece of no words, bin_id null. A null source is a source like any other.
     cluster: column with the duplicate cluster (null: none); by default equal
-    texts are one. Rows that repeat key and text are copies 0, 1, 2 ... and
-    conflict like other copies. An empty table gives none.
+    texts are one. Rows that repeat key, text and source are copies 0, 1, 2 ...
+    and conflict like other copies. A null key is a key like any other, and
+    rows that share a key otherwise are packed each by itself. An empty table gives none.
     """
     c = F.xxhash64(F.coalesce(F.col(text), F.lit(""))) if cluster is None else F.xxhash64(F.col(cluster).cast("string"))
     if cluster is not None:
@@ -87,25 +89,28 @@ def packed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rows = rows.groupBy("k", "n", "s", "c").agg(F.count("*").alias("copies"))
     rows = staged(rows.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")))).drop("copies"))
     shards = max(1, -(-rows.count() // SHARD_ROWS))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("k", "copy"), F.lit(shards)).cast("int"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("k", "copy", "n", "s", "c"), F.lit(shards)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if not got:
             return
-        t = pa.Table.from_batches(got).to_pandas()
+        t = pa.Table.from_batches(got)
+        # Nulls stay in Arrow: pandas would turn their columns into floats, which lose digits.
+        no_cluster, keys = t.column("c").is_null().to_numpy(), t.column("k").combine_chunks()
+        t = pa.table([*(pc.fill_null(t.column(x), 0) for x in t.column_names), pa.array(np.arange(len(t)))], [*t.column_names, "at"]).to_pandas()
         for shard, part in t.groupby("shard"):
-            part = part.sort_values(["n", "k", "copy"], ascending=[False, True, True], kind="stable")
+            part = part.sort_values(["n", "k", "copy", "c", "s"], ascending=[False, True, True, True, True], kind="stable")
             full = part["n"].to_numpy() // capacity
             tail = part["n"].to_numpy() - full * capacity
-            clusters = [None if x != x or x is None else int(x) for x in part["c"].astype(object).where(part["c"].notna(), None)]
+            clusters = [None if none else c for c, none in zip(part["c"].tolist(), no_cluster[part["at"]], strict=True)]
             some = np.flatnonzero(tail)
             bins = np.full(len(part), -1, np.int64)
             n_full = int(full.sum())
             if len(some):
                 bins[some] = np.array(pack_rows(tail[some].tolist(), part["s"].to_numpy()[some].tolist(), [clusters[i] for i in some], capacity, most_sources)) + n_full
             filled = np.bincount(bins[some] - n_full, tail[some]).astype(np.int64) if len(some) else np.zeros(0, np.int64)
-            k, copy = part["k"].to_numpy(), part["copy"].to_numpy()
+            k, copy = keys.take(pa.array(part["at"].to_numpy())), part["copy"].to_numpy()
             pieces = []  # (row, piece, words, bin, words of the bin)
             at = 0
             for i in range(len(part)):
@@ -118,7 +123,7 @@ def packed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
                     pieces.append((i, 0, 0, None, None))
             row = [x[0] for x in pieces]
             base = int(shard) << 32
-            columns = [pa.array(k[row], pa.int64()), pa.array(copy[row], pa.int32()), pa.array([x[1] for x in pieces], pa.int32()), pa.array([x[1] * capacity for x in pieces], pa.int64()), pa.array([x[2] for x in pieces], pa.int64()), pa.array([None if x[3] is None else base + x[3] for x in pieces], pa.int64()), pa.array([x[4] for x in pieces], pa.int64())]
+            columns = [k.take(pa.array(row, pa.int64())), pa.array(copy[row], pa.int32()), pa.array([x[1] for x in pieces], pa.int32()), pa.array([x[1] * capacity for x in pieces], pa.int64()), pa.array([x[2] for x in pieces], pa.int64()), pa.array([None if x[3] is None else base + x[3] for x in pieces], pa.int64()), pa.array([x[4] for x in pieces], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [key, "copy", "piece", "first_word", "n_words", "bin_id", "bin_words"])
 
     schema = f"{key} long, copy int, piece int, first_word long, n_words long, bin_id long, bin_words long"

@@ -3,7 +3,7 @@
 import collections
 import random
 
-from sevra.llm import mixing
+from sevra.llm import mixing, packing
 
 
 def test_resampled_words_meet_targets_with_long_texts_and_a_hot_source(spark):
@@ -23,3 +23,14 @@ def test_resampled_keeps_rows_with_null_and_repeated_keys(spark):
     rows = [(None, f"n{i} " * 64, "a") for i in range(30)] + [(7, f"r{i} " * 64, "a") for i in range(30)] + [(7, "same " * 64, "a")] * 3
     got = collections.Counter(r["text"] for r in mixing.resampled(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
     assert got == collections.Counter(r[1] for r in rows)
+
+
+def test_packing_keeps_null_large_and_repeated_keys(spark):
+    big = (1 << 53) + 1
+    rows = [(None, "one two", "a"), (None, "one two", "a"), (None, "three", "a"), (None, None, "a"), (big, "x " * 40, None), (big, "other", "b"), (big + 1, "", "b")]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string, source string"), capacity=32).collect()
+    assert collections.Counter((r["doc_id"], r["copy"], r["piece"], r["n_words"], r["bin_id"] is None) for r in got) == collections.Counter(
+        [(None, 0, 0, 2, False), (None, 1, 0, 2, False), (None, 0, 0, 1, False), (None, 0, 0, 0, True), (big, 0, 0, 32, False), (big, 0, 1, 8, False), (big, 0, 0, 1, False), (big + 1, 0, 0, 0, True)]
+    )
+    a, b = [r["bin_id"] for r in got if r["doc_id"] is None and r["n_words"] == 2]
+    assert a != b
