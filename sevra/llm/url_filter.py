@@ -8,6 +8,7 @@ without Python on the executors.
 from __future__ import annotations
 
 import math
+import random
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,19 +21,41 @@ from .common import let
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: Most labelled URLs that are learnt from.
 MAX_LABELLED = 20_000
-FEATURES = ("length", "host_length", "depth", "digit_ratio", "host_digits", "hyphens", "entropy", "parameters", "query_length", "labels", "odd_chars", "bait_words", "suffix_rate")
-#: Word stems that are frequent in the host or path of unwanted pages.
-BAIT = ("cheap", "pill", "casino", "spam", "viagra", "poker", "loan", "free", "win", "xxx", "sexy", "bonus", "replica", "click", "farm", "crypto", "deal", "payday")
+FEATURES = ("length", "host_length", "depth", "digit_ratio", "host_digits", "hyphens", "entropy", "parameters", "query_length", "labels", "odd_chars", "suffix_rate")
+#: Host words of the labelled table: of ordinary sites, and of unwanted ones.
+ORDINARY = ("harbor", "lantern", "meadow", "orchid", "quarry", "saddle", "timber", "velvet", "willow", "copper", "falcon", "granite", "juniper", "kettle", "marble", "nectar", "pepper", "ribbon", "summit", "tulip")
+UNWANTED = ("bargain", "jackpot", "diet", "instant", "lucky", "miracle", "offer", "prize", "rebate", "slots", "super", "tablet", "top", "ultra", "voucher", "wager", "cash", "hot", "singles", "crack")
 
 
-def seed_urls() -> list[tuple[str, int]]:
-    """A labelled table made from a rule: ordinary addresses (0) and typical unwanted ones (1)."""
-    names, ends = ("news", "thether", "wiki", "library", "tionsh", "weather", "erandin", "museum", "ththan", "garden", "rivering", "school"), ("com", "org", "net", "de", "fr")
-    heads, pages = ("", "www.", "m.", "blog."), ("/en/{n}", "/fr/{n}?page=2&ref=x", "/{n}.html", "/articles/20{k:02}/{n}", "/de/{n}/", "/about", "/es/{n}#top", "/en/{n}?utm_source=feed", "/")
-    good = [(f"https://{heads[(i + j) % 4]}{n}.example.{ends[(i + 2 * j) % 5]}{p.format(n=37 * i + 11 * j, k=(i + j) % 24)}", 0) for i, n in enumerate(names) for j, p in enumerate(pages)]
-    baits, tails = ("cheap-pills", "spam-farm", "free-casino-bonus", "win-big-4u", "best-replica-deals", "click2win", "payday-loan-24", "xxx-free-cams", "poker777", "crypto-bonus-x"), ("/en/{n}", "/buy.php?id={n}&aff=77&sid=ab12cd&r=1", "/{n}?page=2&ref=x", "/a/b/c/d/{n}/x9f83kq2", "/win/{n}%20%20now", "/de/{n}#top", "/click?u=1&v=2&w=3&x={n}")
-    bad = [(f"http://{('', 'www.', 'x1.')[(i + j) % 3]}{b}.example.{(*ends, 'top', 'xyz')[(i + j) % 7]}{t.format(n=53 * i + 7 * j)}", 1) for i, b in enumerate(baits) for j, t in enumerate(tails)]
-    return good + bad
+def seed_urls(ordinary: tuple[str, ...] = ORDINARY, unwanted: tuple[str, ...] = UNWANTED, n: int = 900, seed: int = 11) -> list[tuple[str, int]]:
+    """A labelled table made from rules: n ordinary addresses (0) and n unwanted ones (1).
+
+    The kinds of hosts, paths and queries overlap, so that no single feature
+    tells them apart: ordinary hosts have hyphens and digits at times,
+    unwanted ones plain names, and one address in four of either has a path
+    and query of the common kind.
+    """
+    g = random.Random(seed)
+    pick, noise = g.choice, lambda k: "".join(g.choice("abcdefghijkmnpqrstuvwxyz0123456789") for _ in range(k))
+
+    def common() -> str:
+        return pick(("/{}", "/{}/", "/{}.html", "/en/{}", "/de/{}#top", "/fr/{}?page=2&ref=x", "/es/{}?utm_source=feed", "/about", "/")).format(g.randrange(1, 9999))
+
+    def good() -> str:
+        word, other = pick(ordinary), pick(ordinary)
+        host = pick(("", "", "www.", "m.", "blog.", "shop.")) + pick((word,) * 6 + (word + other,) * 2 + (f"{word}-{other}", f"{word}{g.randrange(10, 99)}"))
+        slug = "-".join(pick(ordinary) for _ in range(g.randrange(1, 7)))
+        tail = pick((common(), f"/{slug}", f"/20{g.randrange(10, 26)}/{g.randrange(1, 13):02}/{slug}.html", f"/search?q={word}+{other}&lang=en&page={g.randrange(9)}", f"/{word}/{other}/{slug}/{g.randrange(99999)}", f"/item?id={g.randrange(10**6)}&size=3&color=red&sort=up"))
+        return f"{pick(('https', 'https', 'https', 'http'))}://{host}.{pick(('example.com', 'example.org', 'example.net', 'example.de', 'example.fr', 'example.info'))}{tail}"
+
+    def bad() -> str:
+        words = [pick(unwanted) for _ in range(3)]
+        host = pick(("", "", "www.", "m.", "blog.", "x1.", "go.")) + pick(("-".join(words), "-".join(words[:2]), "-".join(words[:2]), "-".join(words[:2]), "-".join((words[0], pick(ordinary))), f"{words[0]}-{words[1]}{g.randrange(1, 99)}", words[0] + words[1], noise(g.randrange(8, 16)), f"{words[0]}{g.randrange(100, 9999)}"))
+        many = "&".join(f"{noise(2)}={noise(g.randrange(1, 12))}" for _ in range(g.randrange(2, 9)))
+        tail = pick((common(), common(), f"/{noise(g.randrange(6, 20))}?{many}", f"/{words[2]}?{many}", "/" + "/".join(noise(3) for _ in range(g.randrange(3, 8))), f"/{words[0]}%20{words[1]}!!{noise(6)}"))
+        return f"{pick(('https', 'http'))}://{host}.{pick(('example.com', 'example.org', 'example.net', 'example.info', 'example.top', 'example.xyz'))}{tail}"
+
+    return [(good(), 0) for _ in range(n)] + [(bad(), 1) for _ in range(n)]
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -72,12 +95,11 @@ def features(url: Column, host: Column, path: Column, suffixes: dict[str, float]
             rate = F.when(suffix == k, F.lit(float(v))).otherwise(rate)
     # Of every distinct character its share p; entropy is the sum of -p log2 p.
     entropy = let(u, lambda t: F.aggregate(F.array_distinct(F.array_remove(F.split(t, ""), "")), F.lit(0.0), lambda s, c: s - let((F.length(t) - F.length(F.replace(t, c, F.lit("")))) / F.length(t), lambda p: p * F.log2(p))))
-    site = F.concat(host, path)
     return {
         "length": F.length(u).cast("double"), "host_length": F.length(host).cast("double"), "depth": _count(path, "/"),
         "digit_ratio": _count(u, "[0-9]") / n, "host_digits": _count(host, "[0-9]"), "hyphens": _count(host, "-"), "entropy": entropy,
         "parameters": F.when(query == "", F.lit(0.0)).otherwise(_count(query, "&") + 1), "query_length": F.length(query).cast("double"), "labels": _count(host, "\\."),
-        "odd_chars": _count(u, "[%_~@!$*,;]"), "bait_words": _count(F.regexp_replace(F.lower(site), "|".join(BAIT), "\u0001"), "\u0001"), "suffix_rate": rate,
+        "odd_chars": _count(u, "[%_~@!$*,;]"), "suffix_rate": rate,
     }
 
 

@@ -3,7 +3,7 @@
 import collections
 import random
 
-from sevra.llm import mixing, packing
+from sevra.llm import mixing, packing, url_filter
 
 
 def test_resampled_words_meet_targets_with_long_texts_and_a_hot_source(spark):
@@ -34,3 +34,31 @@ def test_packing_keeps_null_large_and_repeated_keys(spark):
     )
     a, b = [r["bin_id"] for r in got if r["doc_id"] is None and r["n_words"] == 2]
     assert a != b
+
+
+def test_url_trees_use_several_features_and_hold_on_other_hosts(spark):
+    table = url_filter.seed_urls()
+    forest = url_filter.train(spark.createDataFrame(table, "url string, label int"))
+    used = collections.Counter()
+
+    def walk(tree):
+        if isinstance(tree, tuple):
+            used[url_filter.FEATURES[tree[0]]] += 1
+            walk(tree[2])
+            walk(tree[3])
+
+    for tree in forest.trees:
+        walk(tree)
+    assert len(used) >= 8 and max(used.values()) < sum(used.values()) / 2
+    held = url_filter.seed_urls(("winter", "freeman", "dealer", "clicker", "farmhouse", "sparrow", "bridge", "canyon"), ("pump", "zap", "fortune", "blitz", "kicks", "mega", "ads", "adult"), 300, 5)
+    assert not {u for u, _ in held} & {u for u, _ in table}
+    frame = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string")
+    got = {r["page_id"]: r["score"] >= 0.5 for r in url_filter.judged(frame, forest, rules=()).collect()}
+    right = [sum(got[i] == bool(y) for i, (_, y) in enumerate(held) if y == k) / 300 for k in (0, 1)]
+    assert min(right) > 0.75, right
+    rows = spark.createDataFrame(table, "u string, y int")
+    rows = rows.select("y", *(c.alias(k) for k, c in url_filter.features(url_filter.F.col("u"), *url_filter.parts(url_filter.F.col("u")), {}).items())).toPandas()
+    for name in url_filter.FEATURES:
+        below = [(rows["y"][rows[name] <= t].sum(), (rows[name] <= t).sum()) for t in rows[name].unique()]
+        best = max(max(n - 2 * k, 2 * k - n) + len(rows) / 2 for k, n in below) / len(rows)
+        assert best < 0.9, (name, best)
