@@ -1,8 +1,12 @@
 """Operator 3: license scans as an exact set-similarity join, with DataFrame functions only.
 
-Templates and text blocks (lines) are sets of tokens. A block meets a
-template if it holds at least THRESHOLD of the template's tokens. Tokens are
-ordered by their frequency in all blocks, rarest first; then
+Templates and text blocks are sets of tokens. A block meets a template if it
+holds at least THRESHOLD of the template's tokens, with those that tell the
+template from others. The scan's blocks are windows over the whole text, line
+breaks read as spaces: twice as long as a template or more and half
+overlapping, so that a notice lies whole in one however it is wrapped. Texts
+without any of the tokens that a match must hold one of are passed over first.
+Tokens are ordered by their frequency in all blocks, rarest first; then
 
 - prefix filter: a block and a template that share `need` tokens share one
   within the first |template| - need + 1 of the template and within the first
@@ -29,21 +33,27 @@ THRESHOLD = 0.8
 MAX_TEMPLATE_TOKENS = 100_000
 #: Phrases of the base and their labels (fixed values).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Template blocks: (label, text). Public license notices.
+#: Template blocks: (label, text, tokens that a match must hold). Public license notices. A template
+#: gives way where the block also holds what another one, with the same tokens and more, must hold.
 TEMPLATES = (
-    ("mit", "Released under the MIT License."),
+    ("mit", "Released under the MIT License.", ("mit",)),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
+    ("apache", "Licensed under the Apache License, Version 2.0.", ("apache",)),
+    ("apache", "Released under the Apache License.", ("apache",)),
     ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3.", ("gnu", "general", "public")),
+    ("gpl", "Released under the GNU General Public License.", ("gnu", "general", "public")),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", ("gnu", "general", "public")),
+    ("bsd", "Released under the BSD License.", ("bsd",)),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla",)),
+    *((f"cc-{x}", f"Licensed under CC {x.upper()} 4.0.", ("cc", *x.split("-"))) for x in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")),
+    *(
+        (f"cc-{x}", f"This work is licensed under a Creative Commons {name} 4.0 International License.", ("creative", "commons", *name.lower().split("-")))
+        for x, name in (("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"), ("by-nd", "Attribution-NoDerivatives"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives"))
+    ),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0"),
-)
+)
 _GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,14 +90,20 @@ def _phrases(spaced: Column, phrases: dict[str, str]) -> Column:
     return F.when(F.rlike(spaced, F.lit(pattern)), let(F.split(F.trim(_small(spaced)), " "), places)).otherwise(none)
 
 
-def matches(df: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def _span(text: str) -> int:
+    """The least power of two, 8 at least, that holds the words of a template; its windows are twice as long and start so far apart."""
+    return 1 << max(3, (len("".join(c if c.isalnum() else " " for c in text).split()) - 1).bit_length())
+
+
+def matches(df: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[tuple, ...] = TEMPLATES, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
     """(key, block, label, template, containment) of every pair of block and template at or above the threshold.
 
-    A block is a line of a text, numbered from 0. Null and empty texts have no
+    A block is a line of a text, numbered from 0, or with windows a window,
+    numbered from 0 among those of its length. Null and empty texts have no
     matches; a template without tokens matches nothing.
     """
     spark = df.sparkSession
-    tokens = {i: _python_tokens(t) for i, (_, t) in enumerate(templates)}
+    tokens = {i: _python_tokens(t[1]) for i, t in enumerate(templates)}
     tokens = {i: t for i, t in tokens.items() if t}
     if sum(map(len, tokens.values())) > MAX_TEMPLATE_TOKENS:
         raise ValueError(f"templates have more than {MAX_TEMPLATE_TOKENS} tokens")
@@ -98,9 +114,13 @@ def matches(df: DataFrame, key: str = "doc_id", text: str = "text", templates: t
     vocabulary = sorted({x for t in tokens.values() for x in t})
     known = F.array(*map(F.lit, vocabulary))
     fewest = min(need.values())
-    blocks = df.select(F.col(key).cast("long").alias("k"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("block", "line"))
+    must = {i: tuple(templates[i][2]) if len(templates[i]) > 2 else () for i in tokens}
+    spans = {i: _span(templates[i][1]) if windows else 0 for i in tokens}
+    blocks = _windows(df, key, text, tokens, need, must, spans) if windows else df.select(F.col(key).cast("long").alias("k"), F.lit(0).alias("span"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("block", "line"))
+    if not windows:
+        blocks = blocks.select("k", "span", "block", F.split(F.trim(_small(_spaced(F.col("line")))), " ").alias("words"))
     # A block that meets a template holds words of at least one of the templates' rarer tokens; counting comes first, over all blocks.
-    blocks = blocks.select("k", "block", F.array_intersect(F.split(F.trim(_small(_spaced(F.col("line")))), " "), known).alias("tokens"))
+    blocks = blocks.select("k", "span", "block", F.array_intersect("words", known).alias("tokens"))
     # One row per token of the templates: a bounded table.
     counted = blocks.select(F.explode("tokens").alias("token")).groupBy("token").count().collect()
     often = {r["token"]: r["count"] for r in counted}
@@ -108,24 +128,38 @@ def matches(df: DataFrame, key: str = "doc_id", text: str = "text", templates: t
     index, whole = [], []
     for i, t in tokens.items():
         t = sorted(t, key=rank.__getitem__)
-        whole.append((i, templates[i][0], t))
-        index += [(x, i, at, len(t), need[i]) for at, x in enumerate(t[: len(t) - need[i] + 1])]
+        whole.append((i, templates[i][0], t, list(must[i]), [sorted(set(m) - set(must[i])) for m in must.values() if must[i] and set(m) > set(must[i])]))
+        index += [(x, spans[i], i, at, len(t), need[i]) for at, x in enumerate(t[: len(t) - need[i] + 1])]
     ordered = F.array(*map(F.lit, sorted(vocabulary, key=rank.__getitem__)))
-    short = blocks.where(F.size("tokens") >= fewest).select("k", "block", F.array_intersect(ordered, F.col("tokens")).alias("tokens"))
+    short = blocks.where(F.size("tokens") >= fewest).select("k", "span", "block", F.array_intersect(ordered, F.col("tokens")).alias("tokens"))
     # Block prefix for the least overlap of any template; the join then applies each template's own.
-    prefix = short.withColumn("size", F.size("tokens")).select("k", "block", "tokens", "size", F.posexplode(F.slice("tokens", 1, F.size("tokens") - fewest + 1)).alias("at", "token"))
-    postings = F.broadcast(spark.createDataFrame(index, "token string, template int, t_at int, t_size int, need int"))
-    found = prefix.join(postings, "token").where((F.col("size") >= F.col("need")) & (F.col("at") <= F.col("size") - F.col("need")) & (F.least(F.col("size") - F.col("at"), F.col("t_size") - F.col("t_at")) + F.least("at", "t_at") >= F.col("need")))
-    found = found.groupBy("k", "block", "template", "tokens").agg(F.first("t_size").alias("t_size"), F.first("need").alias("need"))
-    sets = F.broadcast(spark.createDataFrame(whole, "template int, label string, t_tokens array<string>"))
+    prefix = short.withColumn("size", F.size("tokens")).select("k", "span", "block", "tokens", "size", F.posexplode(F.slice("tokens", 1, F.size("tokens") - fewest + 1)).alias("at", "token"))
+    postings = F.broadcast(spark.createDataFrame(index, "token string, span int, template int, t_at int, t_size int, need int"))
+    found = prefix.join(postings, ["token", "span"]).where((F.col("size") >= F.col("need")) & (F.col("at") <= F.col("size") - F.col("need")) & (F.least(F.col("size") - F.col("at"), F.col("t_size") - F.col("t_at")) + F.least("at", "t_at") >= F.col("need")))
+    found = found.groupBy("k", "span", "block", "template", "tokens").agg(F.first("t_size").alias("t_size"), F.first("need").alias("need"))
+    sets = F.broadcast(spark.createDataFrame(whole, "template int, label string, t_tokens array<string>, must array<string>, others array<array<string>>"))
     shared = F.size(F.array_intersect("tokens", "t_tokens"))
-    return found.join(sets, "template").withColumn("shared", shared).where(F.col("shared") >= F.col("need")).select(F.col("k").alias(key), "block", "label", "template", (F.col("shared") / F.col("t_size")).alias("containment"))
+    holds = lambda x: F.size(F.array_except(x, F.col("tokens"))) == 0
+    own = holds(F.col("must")) & ~F.exists("others", holds)
+    return found.join(sets, "template").withColumn("shared", shared).where((F.col("shared") >= F.col("need")) & own).select(F.col("k").alias(key), "block", "label", "template", (F.col("shared") / F.col("t_size")).alias("containment"))
+
+
+def _windows(df: DataFrame, key: str, text: str, tokens: dict[int, list[str]], need: dict[int, int], must: dict[int, tuple], spans: dict[int, int]) -> DataFrame:
+    """(k, span, block, words): half-overlapping windows of 2 * span words of the texts that can hold a match, for each span of the templates."""
+    # A match holds all that it must, the rarest first, else one at least of any |template| - need + 1 tokens; long ones are rare.
+    signs = {x for i, t in tokens.items() for x in (must[i][:1] or sorted(t, key=lambda x: (-len(x), x))[: len(t) - need[i] + 1])}
+    rows = df.select(F.col(key).cast("long").alias("k"), _small(_spaced(F.col(text))).alias("w")).where(F.rlike("w", F.lit(" (?:" + "|".join(sorted(signs)) + ") ")))
+    rows = rows.select("k", F.split(F.trim("w"), " ").alias("w")).select("k", "w", F.explode(F.array(*map(F.lit, sorted(set(spans.values()))))).alias("span"))
+    # A text's last window would lie whole in the one before it.
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("w") - F.col("span") - 1) / F.col("span")).cast("int")))
+    rows = rows.select("k", "span", F.posexplode(F.transform(starts, lambda j: F.slice("w", j * F.col("span") + 1, F.col("span") * 2))).alias("block", "words"))
+    return rows.where(F.arrays_overlap("words", F.array(*map(F.lit, sorted(signs)))))
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, phrases: dict[str, str] = PHRASES) -> DataFrame:
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[tuple, ...] = TEMPLATES, threshold: float = THRESHOLD, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """One row per row of df: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    labels: those of phrases and of each block's best templates; score: the highest
+    labels: those of phrases and of templates that a window matches; score: the highest
     containment of a matching template, 1 with a phrase, 0 without either.
     Null and empty texts: counts 0, null places, empty labels. Rows that
     repeat a key get the labels of all of them; a null key only its phrases'.
@@ -133,10 +167,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: tupl
     spaced = F.col("spaced")
     base = df.select(F.col(key).cast("long").alias(key), _spaced(F.col(text)).alias("spaced"))
     base = base.select(key, F.when(F.trim(spaced) == "", F.lit(0)).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) - 1).cast("long").alias("n_words"), _phrases(spaced, phrases).alias("p"))
-    # Labels come from the best template of each block; there are no more matches of a block than templates.
-    by_block = matches(df, key, text, templates, threshold).groupBy(key, "block").agg(F.collect_set(F.struct("containment", "label")).alias("m"), F.max("containment").alias("best"))
-    by_block = by_block.withColumn("m", F.transform(F.filter("m", lambda x: x["containment"] == F.col("best")), lambda x: x["label"]))
-    by_key = by_block.select(key, "best", F.explode("m").alias("label")).groupBy(key).agg(F.collect_set("label").alias("more"), F.max("best").alias("best"))
+    by_key = matches(df, key, text, templates, threshold, windows=True).groupBy(key).agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     own = F.array_distinct(F.transform("p", lambda x: x["label"]))
     join = lambda x: F.array_join(F.array_sort(x), ",")
     return base.join(by_key, key, "left").select(

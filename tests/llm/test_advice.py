@@ -2,8 +2,9 @@
 
 import collections
 import random
+import textwrap
 
-from sevra.llm import mixing, packing, url_filter
+from sevra.llm import licenses, mixing, packing, url_filter
 
 
 def test_resampled_words_meet_targets_with_long_texts_and_a_hot_source(spark):
@@ -62,3 +63,22 @@ def test_url_trees_use_several_features_and_hold_on_other_hosts(spark):
         below = [(rows["y"][rows[name] <= t].sum(), (rows[name] <= t).sum()) for t in rows[name].unique()]
         best = max(max(n - 2 * k, 2 * k - n) + len(rows) / 2 for k, n in below) / len(rows)
         assert best < 0.9, (name, best)
+
+
+def test_licenses_however_wrapped_in_long_lines_and_each_its_own(spark):
+    filler = " ".join(random.Random(1).choice("lorem ipsum dolor the of and to under amet".split()) for _ in range(20_000)).split()
+    rows, want = [], []
+    for t in licenses.TEMPLATES:
+        for width in (30, 60, 70, 80):
+            for first in (0, 25):
+                rows.append(textwrap.fill(("x" * first + " " + t[1]).strip(), width, break_on_hyphens=False, break_long_words=False).replace("\n", "\n# "))
+                want.append(t[0])
+        for at in (0, 7, 13, 9_999, 20_000):
+            rows.append(" ".join([*filler[:at], t[1], *filler[at:]]))
+            want.append(t[0])
+    short = {"MIT": "mit", "Apache": "apache", "BSD": "bsd", "GNU General Public": "gpl"}
+    short = {f"Released under the {k} License.": v for k, v in short.items()} | {f"Licensed under CC {x.upper()} 4.0": f"cc-{x}" for x in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")}
+    short |= {"Released under the MIT License. Licensed under CC BY 4.0.": "cc-by,mit", "released " + "far " * 9 + "under it " + "far " * 9 + "the mit and " + "far " * 9 + "license": "", " ".join(filler): ""}
+    rows, want = rows + list(short), want + list(short.values())
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(8)).collect()}
+    assert [(got[i], rows[i][:80]) for i in range(len(rows)) if got[i] != want[i]] == []
