@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,11 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
+    """The folder that the cluster shares (spark.checkpoint.dir). Only in local mode, as in tests, a temporary one is set where there is none."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="sevra")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -42,6 +43,33 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+class Steps:
+    """Staged tables of one run. On leaving, those that the result doesn't read are deleted; what it reads stays, as checkpoints do."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def staged(self, df: DataFrame) -> DataFrame:
+        self.tables.append(staged(df))
+        return self.tables[-1]
+
+    def drop_but(self, *kept: DataFrame) -> None:
+        keep = {id(x) for x in kept}
+        for df in self.tables:
+            if id(df) not in keep:
+                delete(df.sparkSession, df.inputFiles())
+        self.tables = [x for x in self.tables if id(x) in keep]
+
+
+def delete(spark: SparkSession, files: list[str]) -> None:
+    """Delete the folders of a staged table."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for folder in {f.rsplit("/", 1)[0] for f in files}:
+        if "/staged-" in folder:
+            at = hadoop.Path(folder)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once per row and bind it, so that the lambdas in body don't evaluate it for every element."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -62,13 +90,14 @@ def crc_mod(key: Column, mod: int) -> Column:
     return F.crc32(key.cast("string")) % mod
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, most: int = 1000) -> DataFrame:
-    """rows inner join groups (one row per key) without a hot key in any shuffle.
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int | None = None, most: int = 20_000) -> DataFrame:
+    """rows inner join groups (one short row per key) without a hot key in any shuffle.
 
-    Groups with over 1/most of all members are at most `most` in number, so
-    broadcasting them is bounded; all others meet in a shuffle. Both must be cheap to read twice.
+    Groups with over 1/most of all members, and 1000 at least, are at most
+    `most` in number, so broadcasting them is bounded; all others meet in a
+    shuffle. Both must be cheap to read twice. total: the members of all groups, where it is known.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    total = (groups.agg(F.sum(size)).first()[0] or 0) if total is None else total
     least = max(1000, total // most)
     heavy = F.broadcast(groups.where(F.col(size) >= least))
     tagged = rows.join(F.broadcast(groups.where(F.col(size) >= least).select(*on, F.lit(True).alias("_hot"))), on, "left")
@@ -79,15 +108,20 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label) of all nodes in links (a, b): label is the smallest node reachable.
 
     Minimum labels flow along links and jump to their label's label, so the number of rounds
-    is logarithmic for chains; each round is written to the shared folder.
+    is logarithmic for chains; each round is written to the shared folder. The hub of a
+    star and the label of a large component are joined as heavy groups.
     """
-    links = staged(links.select(F.col("a"), F.col("b")).union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = staged(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    steps = Steps()
+    links = steps.staged(links.select(F.col("a"), F.col("b")).union(links.select(F.col("b"), F.col("a"))).distinct())
+    labels = steps.staged(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"), F.count("*").alias("links")).select("node", F.least("node", "m").alias("label"), "links"))
+    n_links, n_nodes = links.count(), labels.count()
     while True:
-        seen = links.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        low = labels.join(seen, "node").select("node", "label", F.least("label", "m").alias("low"))
-        target = labels.select(F.col("node").alias("low"), F.col("label").alias("up"))
-        new = staged(low.join(target, "low").select("node", F.least("low", "up").alias("label"), (F.least("low", "up") < F.col("label")).alias("moved")))
-        labels = new.select("node", "label")
-        if not new.where("moved").limit(1).count():
-            return labels
+        around = join_groups(links, labels.select(F.col("node").alias("b"), F.col("label").alias("m"), "links"), ["b"], "links", n_links)
+        low = labels.join(around.groupBy(F.col("a").alias("node")).agg(F.min("m").alias("m")), "node")
+        low = steps.staged(low.select("node", "label", "links", F.least("label", "m").alias("low")))
+        if not low.where("low < label").limit(1).count():
+            steps.drop_but(low)
+            return low.select("node", "label")
+        # Every label is a node, so the label that a label has now is found among the nodes.
+        ups = steps.staged(low.groupBy("low").agg(F.count("*").alias("members")).join(low.select(F.col("node").alias("low"), F.col("low").alias("up")), "low"))
+        labels = steps.staged(join_groups(low, ups, ["low"], "members", n_nodes).select("node", F.least("low", "up").alias("label"), "links"))

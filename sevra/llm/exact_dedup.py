@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 #: Salts per digest in the middle stage, and the share of all rows from which a group is joined by broadcast (at most so many groups).
-SALTS, HEAVY_GROUPS = 16, 1000
+SALTS, HEAVY_GROUPS = 16, 20_000
 
 
 def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

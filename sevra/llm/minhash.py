@@ -11,30 +11,32 @@ min over the set of pi(sigma(x) + k mod 2^32).
 Rows with equal sets form a class and only its representative goes on. In
 each band bucket, representatives are compared with a centre, never all with
 all: first with the smallest, then, where a bucket still spans several
-components, with centres drawn anew; what remains is compared across
-components, so no link is lost and nothing inside a component is repeated.
+components, with centres drawn anew for each bucket. What is still apart goes
+through an exact prefix join: shingles are ordered by their frequency, rarest
+first, and two sets can only be linked if they share one among the first of
+both. So no link between candidates is lost, nothing inside a component is
+repeated, and members of a large group that have a few shingles of their own
+meet nobody.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import components, join_groups, small_batches, staged
+from .common import Steps, components, join_groups, small_batches
 from .textvec import U, Words, mix, slices
 
 #: Coordinates per band and bands. At similarity 0.85 a pair is missed with probability 4e-7, at 0.8 with 5e-5.
 ROWS, BANDS = 5, 25
-#: Longs of a sketch: the lowest bit of 64 coordinates each. Where whole buckets are compared, a pair whose sketches put
-#: its similarity MARGIN below the threshold is left out: at the threshold that is over 5 standard deviations away.
-LONGS, MARGIN = 32, 0.07
+#: Turns with centres drawn anew, and pairs of one centre that meet under one key, about.
+TURNS, PAIRS = 2, 2000
 _SIGMA = 77
-_SKETCH = [f"s{i}" for i in range(LONGS)]
 
 
 def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,14 +91,6 @@ def band_keys(shingles: np.ndarray, first: np.ndarray, rows: int = ROWS, bands:
     return out
 
 
-def sketches(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(texts, LONGS) sketches of the non-empty sets."""
-    out = np.zeros((len(first) - 1, LONGS), U)
-    for k, low in enumerate(_lows(shingles, first[:-1], 64 * LONGS)):
-        out[:, k // 64] |= (low & U(1)) << U(k % 64)
-    return out.view(np.int64)
-
-
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,12 +115,7 @@ def _sets(size: int):
         for batch in batches:
             for at, to, w in slices(batch.column(1)):
                 s, first = shingle_sets(w, size)
-                some = np.flatnonzero(np.diff(first))
-                sketch = np.zeros((to - at, LONGS), np.int64)
-                if len(some):
-                    sketch[some] = sketches(s, np.append(first[:-1][some], first[-1]))
-                shingles = pa.array([s[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), shingles, *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(LONGS))], ["id", "shingles", *_SKETCH])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(s.view(np.int64)))], ["id", "shingles"])
 
     return run
 
@@ -135,8 +124,9 @@ def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+            one, other = ((c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column(2), batch.column(3)))
+            for i in range(len(batch)):
+                x, y = (v[at[i] : at[i + 1]] for at, v in (one, other))
                 both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -145,74 +135,105 @@ def _linked(percent: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that meet the threshold on their full sets."""
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    return staged(both.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long"))
+    """The pairs (a, b) that meet the threshold on their full sets. m: a bound of the pairs that share b; where it is large, b's set is dealt over several keys."""
+    parts = F.ceil(F.col("m") / PAIRS).cast("int")
+    centres = pairs.groupBy("b").agg(F.max("m").alias("m")).join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b").select("b", "y", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    both = pairs.withColumn("part", F.pmod(F.xxhash64("a"), parts).cast("int")).join(centres, ["b", "part"]).join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long")
+
+
+def _open(rows: DataFrame, seed: int, steps: Steps) -> DataFrame:
+    """rows (bucket, rep, n, label) of buckets with several labels, with the number m of such rows and a member c, drawn for each bucket."""
+    chosen = F.min_by(F.struct("rep", "n", "label"), F.struct(F.xxhash64("rep", "bucket", F.lit(seed)), "rep")).alias("c")
+    open_ = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), chosen).where("lo < hi").select("bucket", "m", "c")
+    return join_groups(rows.select("bucket", "rep", "n", "label"), steps.staged(open_), ["bucket"], "m")
+
+
+def prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int, steps: Steps) -> DataFrame:
+    """(a, b, m) of rows (rep, n, label) with different labels that may meet the threshold; none that does is missing.
+
+    A set of n shingles that has o in common with another shares one of its
+    first n - o + 1, in any order that holds for all, and so does the other.
+    Here the rarest come first; a shingle found once counts, but meets nobody.
+    """
+    tokens = rows.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "n", F.explode("shingles").alias("token"))
+    often = steps.staged(tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1"))
+    shared = steps.staged(join_groups(tokens, often, ["token"], "f"))
+    whole, ordered = Window.partitionBy("rep"), Window.partitionBy("rep").orderBy("f", "token")
+    at = F.col("n") - F.count("*").over(whole) + F.row_number().over(ordered) - 1
+    heads = shared.withColumn("at", at).where(100 * (F.col("n") - F.col("at")) >= percent * F.col("n")).join(rows.select("rep", "label"), "rep")
+    heads = steps.staged(heads.select("token", "label", "rep", "n", "at"))
+    several = heads.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    per = heads.join(several, "token", "left_semi").select("token", "label").distinct()
+    differ = per.withColumnRenamed("label", "x_label").join(per.withColumnRenamed("label", "y_label"), "token").where("x_label < y_label")
+    named = lambda k: heads.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("label", "rep", "n", "at")))
+    met = differ.join(named("x"), ["token", "x_label"]).join(named("y"), ["token", "y_label"])
+    least = percent * (F.col("x_n") + F.col("y_n"))
+    met = met.where(((100 + percent) * (F.col("x_n") - F.col("x_at")) >= least) & ((100 + percent) * (F.col("y_n") - F.col("y_at")) >= least))
+    return met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"), F.lit(1).cast("long").alias("m")).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of df: key, n_shingles, component_id (smallest key reachable over links), kept.
 
     Link: 100 * intersection >= percent * union of the two sets. Null and
-    blank texts have n_shingles 0 and their own component. Keys are expected
-    to be unique and not null; rows with a null key are left out of all groups
-    and kept. An empty table gives none.
+    blank texts have n_shingles 0 and their own component. Rows that share a
+    key are one document, whose text is the smallest of theirs, and all get its
+    result. Rows with a null key are left out of all groups and kept. Columns
+    besides key and text are not read. An empty table gives none.
     """
     small_batches(df.sparkSession)
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    if texts.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
+        one = texts.where("id is not null").groupBy("id").agg(F.min("text").alias("text")).unionByName(texts.where("id is null"))
+        out = _grouped(one, size, percent)
+        out = texts.where("id is not null").select("id").join(out.where("id is not null"), "id").unionByName(out.where("id is null"))
+    else:
+        out = _grouped(texts, size, percent)
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _grouped(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(id, n, component_id) of texts (id, text); ids are unique or null."""
+    steps = Steps()
+    staged = steps.staged
     sigs = staged(texts.mapInArrow(_signatures(size), "id long, n long, d1 long, d2 long, bands array<long>"))
     some = sigs.where("n > 0 and id is not null")
     own = ["rep", "n"]
     classes = some.groupBy("d1", "d2", "n").agg(F.min(F.struct(F.col("id").alias("rep"), "bands")).alias("r"), F.count("*").alias("members"))
     classes = staged(classes.select("d1", "d2", "n", "members", "r.*"))
     rows = classes.select(*own, F.explode("bands").alias("bucket"))
-    centre = F.min(F.struct(*own)).alias("c")
-    buckets = staged(rows.groupBy("bucket").agg(centre, F.count("*").alias("m")).where("m > 1"))
-    rows = staged(join_groups(rows, buckets, ["bucket"], "m").select("bucket", *own, "c"))
+    buckets = staged(rows.groupBy("bucket").agg(F.min(F.struct(*own)).alias("c"), F.count("*").alias("m")).where("m > 1"))
+    rows = staged(join_groups(rows, buckets, ["bucket"], "m").select("bucket", *own, "m", "c"))
 
-    def possible(x: str, y: str):
-        return 100 * F.least(f"{x}n", f"{y}n") >= percent * F.greatest(f"{x}n", f"{y}n")
+    def with_centre(rows: DataFrame) -> DataFrame:
+        possible = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
+        return rows.where((F.col("rep") != F.col("c.rep")) & possible).groupBy(F.col("rep").alias("a"), F.col("c.rep").alias("b")).agg(F.max("m").alias("m"))
 
-    ordered = [F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")]
-    pairs = staged(rows.where((F.col("rep") != F.col("c.rep")) & possible("", "c.")).select(*ordered).distinct())
+    done = staged(with_centre(rows))
     # Full sets of all that share a bucket, once for every turn.
-    sets = staged(texts.join(rows.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text").mapInArrow(_sets(size), "id long, shingles binary, " + ", ".join(f"{c} long" for c in _SKETCH)))
-    links = _verified(pairs, sets, percent)
-    done = pairs
-    turn = 0
-    labels = components(links)
-    while True:
-        turn += 1
-        named = rows.select("bucket", *own).join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        chosen = F.min_by(F.struct(*own, "label"), F.struct(F.xxhash64(F.col("rep") + F.lit(turn)), "rep")).alias("c")
-        open_ = staged(named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), chosen).where("lo < hi").select("bucket", "m", "c"))
-        rows = staged(join_groups(named, open_, ["bucket"], "m"))
-        if turn <= 2:
-            found = rows.where((F.col("label") != F.col("c.label")) & possible("", "c.")).select(*ordered)
-        else:  # all pairs of different components that sizes and sketches allow: what is left after the turns above
-            full = staged(rows.select("bucket", *own, "label").join(sets.select(F.col("id").alias("rep"), *_SKETCH), "rep").join(classes.select("rep", "bands"), "rep"))
-            one, other = full.alias("x"), full.alias("y")
-            differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _SKETCH))
-            # A pair comes from the first bucket that it shares only; shared buckets are all open, as the labels differ.
-            first_shared = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket")
-            on = (differ <= int(64 * LONGS * (1 - percent / 100 + MARGIN) / 2)) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & possible("x.", "y.") & first_shared
-            found = one.join(other, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-        new = staged(found.distinct().join(done, ["a", "b"], "left_anti"))
-        if new.limit(1).count():
-            more = _verified(new, sets, percent)
-            if more.limit(1).count():
-                links = links.union(more)
-                labels = components(links)
-            done = done.union(new)
-        if turn > 2:
-            break
-    named = classes.select("d1", "d2", "members", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "members", F.coalesce("label", "rep").alias("component_id"))
-    out = join_groups(sigs.select("id", "n", "d1", "d2").where("n > 0 and id is not null"), staged(named), ["d1", "d2"], "members").select("id", "n", "component_id")
+    sets = staged(texts.join(rows.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text").mapInArrow(_sets(size), "id long, shingles array<long>"))
+    links = staged(_verified(done, sets, percent))
+    for turn in range(TURNS + 1):
+        labels = components(links)
+        named = rows.select("bucket", *own).join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        rows = staged(_open(named, turn, steps))
+        if turn < TURNS:
+            found = with_centre(rows.where(F.col("label") != F.col("c.label")))
+        else:
+            found = prefix_pairs(staged(rows.select(*own, "label").distinct()), sets, percent, steps)
+        new = staged(found.join(done.select("a", "b").union(done.select("b", "a")), ["a", "b"], "left_anti"))
+        links = links.union(staged(_verified(new, sets, percent)))
+        done = done.union(new)
+    named = classes.select("d1", "d2", "members", "rep").join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
+    named = staged(named.select("d1", "d2", "members", F.coalesce("label", "rep").alias("component_id")))
+    out = join_groups(sigs.select("id", "n", "d1", "d2").where("n > 0 and id is not null"), named, ["d1", "d2"], "members").select("id", "n", "component_id")
     out = out.unionByName(sigs.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    steps.drop_but(sigs, named)
+    return out
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """df without all but the smallest key of each group; columns stay."""
+    """df without all but the smallest key of each group; columns stay. Null keys stay."""
     gone = near_duplicates(df, key, text, size, percent).where(~F.col("kept")).select(F.col(key))
     return df.join(gone, key, "left_anti")
