@@ -1,29 +1,67 @@
-"""Facts of a clinical note: phrases and numbers, found with patterns that Spark's and RE2's engines read alike."""
+"""Facts of a clinical note: literal phrases and numbers, read alike by Spark and by RE2."""
 
 from __future__ import annotations
 
-#: Removed first, up to the end of the clause: what the note denies.
+#: These end what a denial reaches, as punctuation does.
+CONJUNCTIONS = " (and|but|however|although|yet|then) "
+#: Removed after that, up to the end of the clause: what the note denies.
 NEGATED = "(^|[ (])(no|not|without|denies|denied)( [^.;,]*)"
-#: Phrases: true if one occurs in what is left of the lower-cased note.
+#: Phrases: true if one of them occurs in what is left of the lower-cased note.
 PHRASES = {
-    "pain": "pain episode|pain crisis", "analgesic": "analgesic|morphine|ibuprofen|opioid", "other_cause": "explained by trauma", "at_home": "at home", "visit": "day hospital|emergency department|medical facility",
-    "admitted": "admitted|admission", "organ_failure": "organ failure", "life_support": "mechanical ventilation|vasopressor|renal replacement", "death": "died|death|deceased",
-    "complication": "acute chest syndrome|respiratory distress|dvt|deep vein thrombosis|pulmonary embolism|stroke|splenic sequestration|hyperhaemolysis|hyperhemolysis",
-    "infiltrate": "new lobar infiltrate|new segmental infiltrate|new lobar/segmental infiltrate", "chest_sign": "tachypnea|retractions|nasal flaring|accessory muscle|thoracic pain|cough|wheezing|rales",
-    "oxygen": "supplemental oxygen|fio2 [0-9]", "simple_transfusion": "simple transfusion|simple erythrocyte transfusion", "exchange": "exchange transfusion", "epo": "erythropoietin", "bipap": "bipap",
-    "high_flow": "high-flow", "supportive": "other supportive treatment", "critical": "vasopressor|vasoactive|intubated|intubation|invasive mechanical ventilation",
-    "spleen_present": "splenic sequestration", "reticulocytes": "reticulocyt", "spleen_treatment": "transfusion|iv fluids", "unstable": "hemodynamic instability|hemodynamically unstable", "splenectomy": "splenectomy",
-    "priapism": "priapism", "painful": "painful", "physician": "physician", "medication": "medication", "aspiration": "aspiration|irrigation", "shunt": "shunt",
+    "pain": ("pain episode", "pain crisis"), "analgesic": ("analgesic", "morphine", "ibuprofen", "opioid"), "other_cause": ("explained by trauma",), "at_home": ("at home",),
+    "visit": ("day hospital", "emergency department", "medical facility"), "admitted": ("admitted", "admission"), "organ_failure": ("organ failure",),
+    "life_support": ("mechanical ventilation", "vasopressor", "renal replacement"), "death": ("died", "death", "deceased"),
+    "complication": ("acute chest syndrome", "respiratory distress", "dvt", "deep vein thrombosis", "pulmonary embolism", "stroke", "splenic sequestration", "hyperhaemolysis", "hyperhemolysis"),
+    "infiltrate": ("new lobar infiltrate", "new segmental infiltrate", "new lobar/segmental infiltrate"),
+    "chest_sign": ("tachypnea", "retractions", "nasal flaring", "accessory muscle", "thoracic pain", "cough", "wheezing", "rales"), "oxygen_word": ("supplemental oxygen",),
+    "simple_transfusion": ("simple transfusion", "simple erythrocyte transfusion"), "exchange": ("exchange transfusion",), "epo": ("erythropoietin",), "bipap": ("bipap",), "high_flow": ("high-flow",),
+    "supportive": ("other supportive treatment",), "critical": ("vasopressor", "vasoactive", "intubated", "intubation", "invasive mechanical ventilation"), "spleen_present": ("splenic sequestration",),
+    "reticulocytes": ("reticulocyt",), "spleen_treatment": ("transfusion", "iv fluids"), "unstable": ("hemodynamic instability", "hemodynamically unstable"), "splenectomy": ("splenectomy",),
+    "priapism": ("priapism",), "painful": ("painful",), "physician": ("physician",), "medication": ("medication",), "aspiration": ("aspiration", "irrigation"), "shunt": ("shunt",),
 }
-#: Numbers: the first group as a double, null where there is none.
+_N = "([0-9]+(?:[.][0-9]+)?)"
+_TIME = f"{_N} ?(minute|hour|day)"
+#: Minutes in a unit of time.
+MINUTES = {"minute": 1, "hour": 60, "day": 1440}
+#: Numbers: (word that the pattern holds, pattern, group); null where there is none. Those with a unit of time in the next group are in minutes.
 NUMBERS = {
-    "pain_hours": "pain for ([0-9]+) hours", "temperature": "temperature ([0-9]+[.][0-9]) c", "spo2": "spo2 ([0-9]+)%", "spo2_was": "spo2 [0-9]+% from ([0-9]+)%", "pao2": "pao2 ([0-9]+)", "fio2": "fio2 ([0-9]+)%",
-    "hb": "hemoglobin ([0-9]+[.][0-9]) g/dl", "hb_was": "hemoglobin [0-9]+[.][0-9] g/dl from ([0-9]+[.][0-9])", "spleen_cm": "spleen ([0-9]+) cm", "spleen_was": "spleen [0-9]+ cm from ([0-9]+) cm", "priapism_minutes": "lasting ([0-9]+) minutes",
+    "pain_minutes": ("pain ", f"pain (?:for|lasting) {_TIME}", 1), "temperature": ("temperature", f"temperature {_N} ?c", 1), "temperature_f": ("temperature", f"temperature {_N} ?f", 1), "spo2": ("spo2", f"spo2 {_N}%", 1),
+    "spo2_was": ("spo2", f"spo2 {_N}% from {_N}%", 2), "pao2": ("pao2", f"pao2 {_N}", 1), "fio2": ("fio2", f"fio2 {_N}%", 1), "hb": ("hemoglobin", f"hemoglobin {_N} g/dl", 1), "hb_was": ("hemoglobin", f"hemoglobin {_N} g/dl from {_N}", 2),
+    "hct": ("hematocrit", f"hematocrit {_N}%", 1), "hct_was": ("hematocrit", f"hematocrit {_N}% from {_N}%", 2), "spleen_cm": ("spleen", f"spleen {_N} cm", 1), "spleen_was": ("spleen", f"spleen {_N} cm from {_N} cm", 2),
+    "priapism_minutes": ("lasting", f"lasting {_TIME}", 1),
 }
-#: Quantities whose mention without a number makes a note ambiguous.
-MENTIONS = "pain for several hours|high fever|low fio2|enlarged spleen|prolonged duration"
+TIMES = ("pain_minutes", "priapism_minutes")
+#: Ambiguous: quantities without their number, and doubt.
+MENTIONS = ("pain for several hours", "high fever", "low fio2", "enlarged spleen", "prolonged duration", "unclear", "uncertain", "equivocal", "cannot be excluded")
+#: All phrases, each once: what evidence consists of, with the numbers.
+LITERALS = tuple(dict.fromkeys(x for p in PHRASES.values() for x in p))
 
 
-def asserted(note: str, replace: str) -> str:
-    """SQL of the lower-cased note without what it denies; replace: regexp_replace of all matches as a format of (text, pattern, by)."""
-    return replace.format(f"lower({note})", f"'{NEGATED}'", "' '")
+def clauses(note: str, replace: str) -> str:
+    """SQL of the lower-cased note with conjunctions read as ends of clauses; replace: regexp_replace of all matches as a format of (text, pattern, by)."""
+    return replace.format(f"lower({note})", f"'{CONJUNCTIONS}'", "' ; '")
+
+
+def asserted(text: str, replace: str) -> str:
+    """SQL of the clauses without what they deny."""
+    return replace.format(text, f"'{NEGATED}'", "' '")
+
+
+def says(text: str, phrases: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{p}')" for p in phrases) + ")"
+
+
+def number(name: str, number_of: str) -> str:
+    """SQL of a number of said; number_of: a format that turns text into a double, null where it is empty."""
+    word, pattern, group = NUMBERS[name]
+    value = number_of.format(f"regexp_extract(said, '{pattern}', {group})")
+    if name in TIMES:
+        unit = f"regexp_extract(said, '{pattern}', {group + 1})"
+        value += f" * CASE {unit} " + " ".join(f"WHEN '{u}' THEN {m}" for u, m in MINUTES.items()) + " END"
+    return f"CASE WHEN contains(said, '{word}') THEN {value} END"
+
+
+def denied_and_said(text: str, asserted_text: str) -> str:
+    """SQL: some phrase is asserted in one place and denied in another, as fewer of its places are left in the asserted text."""
+    n = lambda t, p: f"length({t}) - length(replace({t}, '{p}', ''))"
+    return f"length({text}) <> length({asserted_text}) AND (" + " OR ".join(f"(contains({asserted_text}, '{p}') AND {n(text, p)} <> {n(asserted_text, p)})" for p in LITERALS) + ")"

@@ -39,11 +39,13 @@ RULES = (
 )
 #: (outcome, present, criteria): without the first the grade is -1, without the second 0.
 GATES = (
-    (PAIN, "pain", "pain_hours >= 2 and analgesic and not other_cause"),
-    (CHEST, "infiltrate", "temperature >= 38.5 or spo2_was - spo2 > 2 or pao2 < 60 or chest_sign"),
-    (SPLEEN, "spleen_present", "((hb_was - hb) * 5 >= hb_was or hb_was - hb >= 2) and reticulocytes and spleen_cm - spleen_was >= 2"),
+    (PAIN, "pain", "pain_minutes >= 120 and analgesic and not other_cause"),
+    (CHEST, "infiltrate", "temperature >= 38.5 or temperature_f >= 101.3 or spo2_was - spo2 > 2 or pao2 < 60 or chest_sign"),
+    (SPLEEN, "spleen_present", "((hb_was - hb) * 5 >= hb_was - 0.000001 or hb_was - hb >= 1.999999 or (hct_was - hct) * 5 >= hct_was - 0.000001) and reticulocytes and spleen_cm - spleen_was >= 2"),
     (PRIAPISM, "priapism", "priapism_minutes > 30 and painful and physician"),
 )
+#: (outcome, predicate): the rubric has no grade for this, so a human decides.
+GUARDS = ((PRIAPISM, "death"), (CHEST, "critical and rule_grade = 2"))
 #: Pairs of rules that may both hold without doubt (the higher includes or outranks the lower), by the lower one.
 BENIGN = ("R05", "R10", "R14", "R08", "R16")
 
@@ -76,5 +78,10 @@ def doubtful_sql() -> str:
     return " + ".join(f"CASE WHEN outcome = '{o}' and {holds(p)} THEN 1 ELSE 0 END" for r, o, _, _, p in RULES if r not in BENIGN)
 
 
+def guard_sql() -> str:
+    """Whether the note says something that the rubric gives no grade for."""
+    return " OR ".join(f"(outcome = '{o}' AND {p})" for o, p in GUARDS)
+
+
 def grade_sql() -> str:
     return f"CASE WHEN NOT present THEN {ABSENT} WHEN NOT criteria THEN {NOT_GRADABLE} ELSE rule_grade END"

@@ -3,32 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.facts import MENTIONS, NUMBERS, PHRASES, asserted
-from ..functions.rubric import RULES, criteria_sql, doubtful_sql, grade_sql, present_sql, rule_grade_sql
+from ..functions.facts import LITERALS, MENTIONS, NUMBERS, PHRASES, asserted, clauses, denied_and_said, number, says
+from ..functions.rubric import OUTCOMES, RULES, criteria_sql, doubtful_sql, grade_sql, guard_sql, present_sql, rule_grade_sql
 from ..plans.dialect import SPARK, Dialect, computed
 
+#: Review triggers: no rule matches; a phrase denied and asserted; several rules; criteria missing; ambiguous; a grade that the rubric leaves unsaid.
+TRIGGERS = ("q1", "q2", "q3", "q4", "q5", "guard")
+
 
 def fact_columns(d: Dialect, note: str = "note_text") -> list[list[tuple[str, str]]]:
-    """Steps of (name, SQL): the asserted part of the note, then facts. Booleans are never null; numbers are where not found."""
-    phrases = [(n, f"coalesce({d.matches.format('said', f"'{p}'")}, false)") for n, p in PHRASES.items()]
-    numbers = [(n, d.number.format(f"regexp_extract(said, '{p}', 1)")) for n, p in NUMBERS.items()]
-    return [[("said", asserted(f"coalesce({note}, '')", d.replace_all))], phrases + numbers]
+    """Steps of (name, SQL): the clauses of the note, the asserted ones, then facts. Booleans are never null; numbers are where not found."""
+    facts = [(n, says("said", p)) for n, p in PHRASES.items()] + [(n, number(n, d.number)) for n in NUMBERS]
+    return [[("noted", clauses(f"coalesce({note}, '')", d.replace_all))], [("said", asserted("noted", d.replace_all))], facts, [("oxygen", "oxygen_word OR fio2 IS NOT NULL")]]
+
+
+def grade_columns() -> list[list[tuple[str, str]]]:
+    """Steps of (name, SQL) from facts to predicted_grade."""
+    return [[("present", present_sql()), ("criteria", criteria_sql()), ("rule_grade", rule_grade_sql())], [("predicted_grade", grade_sql())]]
 
 
-def grade_columns(d: Dialect, note: str = "note_text") -> list[list[tuple[str, str]]]:
-    """Steps of (name, SQL) after the facts: predicted_grade, evidence, rationale, and review triggers q1 to q5."""
-    denied = " OR ".join(f"({d.matches.format(f"lower(coalesce({note}, ''))", f"'(^|[ (])(no|not|without) ({p})'")} AND {n})" for n, p in PHRASES.items() if n in ("death", "shunt", "admitted", "splenectomy"))
-    found = d.some.format(d.array.format(", ".join(f"coalesce(regexp_extract(said, '({p})', 1), '')" for p in PHRASES.values())))
+def reason_columns(d: Dialect) -> list[list[tuple[str, str]]]:
+    """Steps of (name, SQL) after the grade: evidence (array), rationale, and the review triggers."""
+    found = [f"CASE WHEN contains(said, '{p}') THEN '{p}' ELSE '' END" for p in LITERALS]
+    found += [f"CASE WHEN {n} IS NOT NULL THEN regexp_extract(said, '{NUMBERS[n][1]}', 0) ELSE '' END" for n in NUMBERS if not n.endswith("_was")]
     rationale = "CASE " + " ".join(f"WHEN outcome = '{o}' AND predicted_grade = {g} THEN '{c}'" for _, o, g, c, _ in RULES) + " WHEN predicted_grade = 0 THEN 'criteria not met' ELSE 'outcome not present' END"
     return [
-        [("present", present_sql()), ("criteria", criteria_sql()), ("rule_grade", rule_grade_sql()), ("doubtful", doubtful_sql()), ("evidence", d.join_list.format(found))],
-        [("predicted_grade", grade_sql())],
+        [("evidence", d.some.format(d.array.format(", ".join(found)))), ("rationale", rationale), ("doubtful", doubtful_sql())],
         [
-            ("rationale", rationale), ("q1", "present AND criteria AND rule_grade = 0"), ("q2", f"coalesce({denied}, false)"), ("q3", "present AND criteria AND doubtful > 1"), ("q4", "present AND NOT criteria"),
-            ("q5", f"coalesce({d.matches.format('said', f"'{MENTIONS}'")}, false)"),
+            ("q1", "present AND criteria AND rule_grade = 0"), ("q2", denied_and_said("noted", "said")), ("q3", "present AND criteria AND doubtful > 1"), ("q4", "present AND NOT criteria"),
+            ("q5", says("said", MENTIONS)), ("guard", f"present AND criteria AND ({guard_sql()})"),
         ],
-        [("human_review", "q1 OR q2 OR q3 OR q4 OR q5")],
+        [("human_review", " OR ".join(TRIGGERS))],
     ]
 
 
@@ -36,11 +43,34 @@ def with_facts(df: DataFrame, note: str = "note_text") -> DataFrame:
     return computed(df, fact_columns(SPARK, note))
 
 
+def predicted(df: DataFrame, note: str = "note_text") -> DataFrame:
+    """Add predicted_grade only: metrics need no evidence, and each step is evaluated whole."""
+    return computed(with_facts(df, note), grade_columns()).select(*df.columns, "predicted_grade")
+
+
 def graded(df: DataFrame, note: str = "note_text", facts: bool = False) -> DataFrame:
-    """Add predicted_grade, evidence, rationale, q1 to q5 and human_review to rows with outcome and a note.
+    """Add predicted_grade, evidence, rationale, the triggers q1 to q5 and guard, and human_review to rows with outcome and a note.
 
     An outcome without a rubric, a null or an empty note get -1. facts: keep the facts as well.
     """
-    kept = df.columns
-    out = computed(with_facts(df, note), grade_columns(SPARK, note))
-    return out if facts else out.select(*kept, "predicted_grade", "evidence", "rationale", "q1", "q2", "q3", "q4", "q5", "human_review")
+    out = computed(with_facts(df, note), grade_columns() + reason_columns(SPARK))
+    return out if facts else out.select(*df.columns, "predicted_grade", "evidence", "rationale", *TRIGGERS, "human_review")
+
+
+def graded_by(df: DataFrame, rubric: DataFrame, note: str = "note_text") -> DataFrame:
+    """graded() against a rubric read from files (outcome, grade, criterion; see sources.rubric_file): the criterion in place of the rationale.
+
+    An outcome that the rubric lacks gets -1. A grade that it lacks stays, with its review flag set.
+    """
+    per = F.broadcast(rubric.groupBy("outcome").agg(F.map_from_entries(F.collect_list(F.struct("grade", "criterion"))).alias("_criteria")).where(F.col("outcome").isin(*OUTCOMES)))  # four rows at most
+    out = graded(df, note).join(per, "outcome", "left")
+    known, at = F.col("_criteria").isNotNull(), F.try_element_at("_criteria", F.col("predicted_grade"))
+    grade = F.when(known, F.col("predicted_grade")).otherwise(-1)
+    missing = known & (F.col("predicted_grade") >= 1) & at.isNull()
+    return out.select(*df.columns, grade.alias("predicted_grade"), "evidence", F.when(known, F.coalesce(at, "rationale")).otherwise("outcome not present").alias("rationale"), (known & (F.col("human_review") | missing)).alias("human_review"))
+
+
+def every_outcome(df: DataFrame, note: str = "note_text") -> DataFrame:
+    """Grade a note for each outcome of the rubric: a row per outcome that the note describes, whatever its outcome column says."""
+    rows = df.withColumn("outcome", F.explode(F.array(*map(F.lit, OUTCOMES))))
+    return predicted(rows, note).where("predicted_grade >= 0")

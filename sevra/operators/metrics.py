@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.synthetic import STAGES
+
 GRADES = (-1, 0, 1, 2, 3, 4, 5)
 
+
 def accuracy(df: DataFrame, *by: str) -> DataFrame:
     """n, exact_pct, within_one_pct (literal, sentinels included), within_one_graded_pct (both from 1 to 5) per group."""
     near = F.coalesce(F.abs(F.col("predicted_grade") - F.col("gold_grade")) <= 1, F.lit(False))
@@ -55,11 +58,11 @@ def most_confused(df: DataFrame, k: int = 10) -> DataFrame:
 
 
 def trajectory(df: DataFrame, grade: str = "predicted_grade") -> DataFrame:
-    """Encounters of a patient in order: encounter_seq, stage, change since the one before, worst so far."""
-    w = Window.partitionBy("patient_id").orderBy("ts", "case_id")
-    seq = F.row_number().over(w)
-    stages = F.array(*map(F.lit, ("Presentation", "Admission", "Hospital Course", "Discharge")))
-    return df.select("patient_id", "case_id", grade, seq.alias("encounter_seq"), F.get(stages, F.pmod(seq - 1, F.lit(4))).alias("stage"), (F.col(grade) - F.lag(grade).over(w)).alias("change"), F.max(grade).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("worst"))
+    """Encounters of a patient in order of time, then of the stages: encounter_seq, stage, stage_ordinal (from 1), change since the one before, worst so far."""
+    ordinal = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage")).cast("int")
+    rows = df.withColumn("stage_ordinal", ordinal)
+    w = Window.partitionBy("patient_id").orderBy("ts", "stage_ordinal", "case_id")
+    return rows.select("patient_id", "case_id", grade, F.row_number().over(w).alias("encounter_seq"), "stage", "stage_ordinal", (F.col(grade) - F.lag(grade).over(w)).alias("change"), F.max(grade).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("worst"))
 
 
 def severity_profile(df: DataFrame, outcomes: list[str], names: list[str], grade: str = "predicted_grade") -> DataFrame:

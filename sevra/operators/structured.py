@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.rubric import OUTCOMES
 
-ANSWER = "outcome string, predicted_grade int, evidence array<string>, confidence string, bad string"
+ANSWER = "outcome string, predicted_grade int, evidence array<string>, rationale string, confidence string, human_review boolean, bad string"
+#: Strategies of asking: the note alone, or with the rubric's criteria.
+STRATEGIES = ("zero_shot", "rubric_grounded")
+#: What is recorded with every result, besides generation_params (a map).
+PROVENANCE = ("model_name", "model_version", "prompt_version", "schema_version", "case_version", "evaluated_on", "package_versions")
 
 
 def parsed(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Add predicted_grade, answered_outcome, evidence, confidence and well_formed.
+    """Add predicted_grade, answered_outcome, answered_evidence, answered_rationale, confidence, asks_review and well_formed.
 
     A truncated text, a grade that isn't a number, or a scalar where a list
     belongs is not well formed and gives no grade; neither does null.
@@ -19,7 +23,7 @@ def parsed(df: DataFrame, payload: str = "payload") -> DataFrame:
     a = F.from_json(payload, ANSWER, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
     out = df.withColumn("_a", a).withColumn("well_formed", F.col(payload).isNotNull() & F.col("_a.bad").isNull() & F.col("_a.predicted_grade").isNotNull())
     take = lambda c: F.when(F.col("well_formed"), F.col(f"_a.{c}"))
-    return out.withColumns({"predicted_grade": take("predicted_grade"), "answered_outcome": take("outcome"), "answered_evidence": take("evidence"), "confidence": take("confidence")}).drop("_a")
+    return out.withColumns({"predicted_grade": take("predicted_grade"), "answered_outcome": take("outcome"), "answered_evidence": take("evidence"), "answered_rationale": take("rationale"), "confidence": take("confidence"), "asks_review": take("human_review")}).drop("_a")
 
 
 def allowed(outcome: Column, grade: Column) -> Column:
@@ -35,9 +39,45 @@ def grounded(evidence: Column, note: Column) -> Column:
     return F.coalesce(F.forall(evidence, lambda e: F.contains(F.lower(note), F.lower(e))), F.lit(True))
 
 
-def prompt(note: Column, outcome: Column, criteria: Column) -> Column:
-    """The text that a model is asked with."""
-    return F.concat_ws("\n", F.concat(F.lit("Grade this outcome: "), outcome), F.lit("Criteria:"), criteria, F.lit("Note:"), note, F.lit('Answer in JSON with "outcome", "predicted_grade", "evidence" and "confidence".'))
+def reviewed(df: DataFrame, note: str = "note_text") -> DataFrame:
+    """Add q6 (low confidence), q7 (a grade that the rubric has no criterion for, or another outcome), q8 (evidence that the note lacks, or none for a grade) and needs_review to parsed answers.
+
+    An answer that is missing or not well formed needs review and sets none of the three.
+    """
+    ok, grade, ev = F.col("well_formed"), F.col("predicted_grade"), F.col("answered_evidence")
+    none = (grade >= 1) & (F.coalesce(F.size(ev), F.lit(0)) < 1)
+    flags = {
+        "q6": F.col("confidence") == "low", "q7": ~allowed(F.col("outcome"), grade) | ~F.col("answered_outcome").eqNullSafe(F.col("outcome")), "q8": ~grounded(ev, F.col(note)) | none,
+    }
+    out = df.withColumns({k: F.coalesce(ok & v, F.lit(False)) for k, v in flags.items()})
+    return out.withColumn("needs_review", ~F.coalesce(ok, F.lit(False)) | F.col("q6") | F.col("q7") | F.col("q8") | F.coalesce(F.col("asks_review"), F.lit(False)))
+
+
+def with_provenance(df: DataFrame, generation_params: dict[str, str] | None = None, **recorded: str) -> DataFrame:
+    """Add run, a struct of PROVENANCE and generation_params; what isn't given is null."""
+    if unknown := set(recorded) - set(PROVENANCE):
+        raise ValueError(f"not part of the provenance: {sorted(unknown)}")
+    params = F.create_map(*(F.lit(x) for kv in sorted((generation_params or {}).items()) for x in kv)).cast("map<string,string>")
+    return df.withColumn("run", F.struct(*(F.lit(recorded.get(c)).cast("string").alias(c) for c in PROVENANCE), params.alias("generation_params")))
+
+
+def serialised(df: DataFrame, note: str = "answer_json") -> DataFrame:
+    """Add a prediction as the JSON that answers have: outcome, predicted_grade, evidence, rationale, confidence, human_review."""
+    return df.withColumn(note, F.to_json(F.struct("outcome", "predicted_grade", "evidence", "rationale", "confidence", "human_review")))
+
+
+def prompt(note: Column, outcome: Column, criteria: Column | None = None) -> Column:
+    """The text that a model is asked with; without criteria (None, or null in a row) the note alone."""
+    given = [] if criteria is None else [F.when(criteria.isNotNull(), F.concat(F.lit("Criteria:\n"), criteria))]
+    return F.concat_ws("\n", F.concat(F.lit("Grade this outcome: "), outcome), *given, F.lit("Note:"), note, F.lit('Answer in JSON with "outcome", "predicted_grade", "evidence", "rationale", "confidence" and "human_review".'))
+
+
+def prompts(cases: DataFrame, rubric: DataFrame, note: str = "note_text") -> DataFrame:
+    """One row per case and strategy: case_id, strategy, prompt. rubric: outcome, grade, criterion."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("grade", "criterion"))), lambda x: F.concat(x["grade"].cast("string"), F.lit(": "), x["criterion"])), "\n")
+    per = F.broadcast(rubric.where(F.col("outcome").isin(*OUTCOMES)).groupBy("outcome").agg(lines.alias("_criteria")))  # four rows at most
+    both = cases.join(per, "outcome", "left").select("case_id", "outcome", note, "_criteria", F.explode(F.array(*map(F.lit, STRATEGIES))).alias("strategy"))
+    return both.select("case_id", "strategy", prompt(F.col(note), F.col("outcome"), F.when(F.col("strategy") == STRATEGIES[1], F.col("_criteria"))).alias("prompt"))
 
 
 def asked(df: DataFrame, client, prompt_column: str = "prompt", key: str = "case_id") -> DataFrame:

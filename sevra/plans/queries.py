@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.rubric import CHEST, OUTCOMES, PAIN, PRIAPISM, RULES, SCOPE, SPLEEN
 from ..operators import grading, metrics, structured
 from ..sources import synthetic
+from ..sources.tables import spread
+from . import views
 from .dialect import DUCK
 
-NAMES = ["pain", "chest", "spleen", "priapism"]
+NAMES = list(views.PROFILE)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts"))
 
 
 def _cases(spark, sf_dir) -> DataFrame:
@@ -27,15 +30,19 @@ def _graded(spark, sf_dir) -> DataFrame:
     return grading.graded(_cases(spark, sf_dir))
 
 
-def _replayed(spark, sf_dir) -> DataFrame:
+def _predicted(spark, sf_dir) -> DataFrame:
+    return grading.predicted(_cases(spark, sf_dir))
+
+
+def _replayed(spark, sf_dir, strategy: str = "rubric_grounded") -> DataFrame:
     """Recorded answers joined with the truth from the left, so that unanswered cases stay."""
     cases = _cases(spark, sf_dir)
-    return cases.join(structured.parsed(synthetic.payloads(cases)), "case_id", "left")
+    return cases.join(structured.parsed(synthetic.payloads(cases, strategy)), "case_id", "left")
 
 
 def _scored(spark, sf_dir) -> DataFrame:
     cols = ["case_id", "patient_id", "outcome", "gold_grade", "predicted_grade"]
-    return _graded(spark, sf_dir).select(*cols, F.lit("rules").alias("model")).unionByName(_replayed(spark, sf_dir).select(*cols, F.lit("replay").alias("model")))
+    return _predicted(spark, sf_dir).select(*cols, F.lit("rules").alias("model")).unionByName(_replayed(spark, sf_dir).select(*cols, F.lit("replay").alias("model")))
 
 
 def _rules(spark) -> DataFrame:
@@ -43,7 +50,7 @@ def _rules(spark) -> DataFrame:
 
 
 _PATTERN = """CASE WHEN predicted_grade <=> gold_grade THEN 'none' WHEN answered_outcome <> outcome THEN 'outcome' WHEN NOT grounded THEN 'hallucinated'
-    WHEN predicted_grade IN (-1, 0) AND gold_grade >= 1 THEN 'insufficient' WHEN well_formed AND NOT covers THEN 'missing_evidence'
+    WHEN predicted_grade >= 1 AND gold_grade = 0 THEN 'threshold' WHEN predicted_grade IN (-1, 0) AND gold_grade >= 1 THEN 'insufficient' WHEN well_formed AND NOT covers THEN 'missing_evidence'
     WHEN predicted_grade >= 1 AND gold_grade >= 1 AND abs(predicted_grade - gold_grade) = 1 THEN 'neighbour' ELSE 'other' END"""
 
 
@@ -70,20 +77,20 @@ def q_synthetic_cases(spark, sf_dir):
 
 
 def q_note_facts(spark, sf_dir):
-    return grading.with_facts(_cases(spark, sf_dir)).select("case_id", "admitted", "complication", "infiltrate", "chest_sign", "oxygen", "unstable", "shunt", "death", "pain_hours", "temperature", "fio2", "hb", "hb_was", "spleen_cm", "priapism_minutes")
+    return grading.with_facts(_cases(spark, sf_dir)).select("case_id", "admitted", "complication", "infiltrate", "chest_sign", "oxygen", "unstable", "shunt", "death", "pain_minutes", "temperature", "fio2", "hb", "hb_was", "spleen_cm", "priapism_minutes")
 
 
 def q_rule_grades(spark, sf_dir):
-    return _graded(spark, sf_dir).select("case_id", "outcome", "gold_grade", "predicted_grade", "evidence", "rationale", "human_review")
+    return _graded(spark, sf_dir).select("case_id", "outcome", "gold_grade", "predicted_grade", F.array_join("evidence", "; ").alias("evidence"), "rationale", "human_review")
 
 
 def q_flagged_cases(spark, sf_dir):
-    return _graded(spark, sf_dir).where("human_review").select("case_id", "patient_id", "outcome", "predicted_grade", "q1", "q2", "q3", "q4", "q5")
+    return _graded(spark, sf_dir).where("human_review").select("case_id", "patient_id", "outcome", "predicted_grade", *grading.TRIGGERS)
 
 
 def q_review_rates(spark, sf_dir):
     n = lambda c: F.sum(F.col(c).cast("long")).alias(c)
-    return _graded(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("cases"), n("human_review"), *map(n, ("q1", "q2", "q3", "q4", "q5")))
+    return _graded(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("cases"), n("human_review"), *map(n, grading.TRIGGERS))
 
 
 def q_accuracy_overall(spark, sf_dir):
@@ -99,7 +106,7 @@ def q_confusion_long(spark, sf_dir):
 
 
 def q_confusion_matrix(spark, sf_dir):
-    return metrics.confusion_matrix(_graded(spark, sf_dir))
+    return metrics.confusion_matrix(_predicted(spark, sf_dir))
 
 
 def q_kappa(spark, sf_dir):
@@ -111,11 +118,11 @@ def q_most_confused(spark, sf_dir):
 
 
 def q_grade_distribution(spark, sf_dir):
-    return metrics.distribution(_graded(spark, sf_dir), "predicted_grade", "outcome")
+    return metrics.distribution(_predicted(spark, sf_dir), "predicted_grade", "outcome")
 
 
 def q_outcome_distribution(spark, sf_dir):
-    return metrics.distribution(_graded(spark, sf_dir), "outcome")
+    return metrics.distribution(_predicted(spark, sf_dir), "outcome")
 
 
 def q_structured_answers(spark, sf_dir):
@@ -151,11 +158,11 @@ def q_invalid_grades(spark, sf_dir):
 def q_criterion_lookup(spark, sf_dir):
     """Predictions with the criterion of their grade."""
     rules = _rules(spark).select("outcome", F.col("grade").alias("predicted_grade"), "rule", "criterion")
-    return _graded(spark, sf_dir).join(F.broadcast(rules), ["outcome", "predicted_grade"]).groupBy("rule", "criterion").agg(F.count("*").alias("n"))
+    return _predicted(spark, sf_dir).join(F.broadcast(rules), ["outcome", "predicted_grade"]).groupBy("rule", "criterion").agg(F.count("*").alias("n"))
 
 
 def q_severity_profile(spark, sf_dir):
-    return metrics.severity_profile(_graded(spark, sf_dir), [PAIN, CHEST, SPLEEN, PRIAPISM], NAMES)
+    return metrics.severity_profile(_predicted(spark, sf_dir), [PAIN, CHEST, SPLEEN, PRIAPISM], NAMES)
 
 
 def q_severity_profile_cohort(spark, sf_dir):
@@ -164,23 +171,76 @@ def q_severity_profile_cohort(spark, sf_dir):
 
 
 def q_severity_trajectory(spark, sf_dir):
-    return metrics.trajectory(_graded(spark, sf_dir).where("predicted_grade >= 1"))
+    return metrics.trajectory(_predicted(spark, sf_dir).where("predicted_grade >= 1"))
 
 
 def q_model_comparison(spark, sf_dir):
     """Rules against recorded answers on the same cases."""
-    a = _graded(spark, sf_dir).select("case_id", "outcome", F.col("predicted_grade").alias("a"))
+    a = _predicted(spark, sf_dir).select("case_id", "outcome", F.col("predicted_grade").alias("a"))
     b = _replayed(spark, sf_dir).select("case_id", F.col("predicted_grade").alias("b"))
     return a.join(b, "case_id").groupBy("outcome").agg(F.count("*").alias("n"), F.sum(F.col("a").eqNullSafe(F.col("b")).cast("long")).alias("same"), F.sum(F.coalesce(F.col("a") > F.col("b"), F.lit(False)).cast("long")).alias("rules_higher"))
 
 
 def q_patient_view(spark, sf_dir):
-    return _replayed(spark, sf_dir).select("case_id", "patient_id", "outcome", "gold_grade", "predicted_grade", F.array_join("answered_evidence", "; ").alias("evidence"), "confidence", F.abs(F.col("predicted_grade") - F.col("gold_grade")).alias("distance"))
+    return views.patient_view(structured.reviewed(_replayed(spark, sf_dir)))
 
 
-def q_conversation_order(spark, sf_dir):
-    from pyspark.sql.window import Window
+def q_answer_review(spark, sf_dir):
+    """Triggers that need the answer: low confidence, unsupported, hallucinated."""
+    n = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+    return structured.reviewed(_replayed(spark, sf_dir)).groupBy("outcome").agg(F.count("*").alias("n"), *map(n, ("q6", "q7", "q8", "needs_review")))
+
+
+def q_incorrect_predictions(spark, sf_dir):
+    return _predicted(spark, sf_dir).where("NOT predicted_grade <=> gold_grade").select("case_id", "outcome", "gold_grade", "predicted_grade")
+
+
+def q_orphan_answers(spark, sf_dir):
+    """Answers to cases that don't exist."""
+    cases = _cases(spark, sf_dir)
+    return synthetic.payloads(cases).join(cases, "case_id", "left_anti").select("case_id", F.col("payload").isNotNull().alias("answered"))
+
+
+def q_prompt_strategies(spark, sf_dir):
+    """Recorded answers with the note alone and with the rubric, on the same cases."""
+    cols = ["case_id", "gold_grade", "predicted_grade"]
+    each = [_replayed(spark, sf_dir, s).select(*cols, F.lit(s).alias("strategy")) for s in structured.STRATEGIES]
+    return metrics.accuracy(each[0].unionByName(each[1]), "strategy")
+
+
+def q_prompt_texts(spark, sf_dir):
+    return structured.prompts(_cases(spark, sf_dir), _rules(spark)).select("case_id", "strategy", F.length("prompt").alias("n_chars"), F.md5("prompt").alias("digest"))
 
+
+def q_rubric_file_grades(spark, sf_dir):
+    """Cases joined with the rubric as a table: the criterion of the grade in place of the rationale."""
+    return grading.graded_by(_cases(spark, sf_dir), _rules(spark)).select("case_id", "outcome", "predicted_grade", "rationale", "human_review")
+
+
+def q_every_outcome(spark, sf_dir):
+    return grading.every_outcome(_cases(spark, sf_dir)).select("case_id", "outcome", "predicted_grade")
+
+
+def q_patient_encounters(spark, sf_dir):
+    """Patients with their encounters, one to many."""
+    w = Window.partitionBy("patient_id").orderBy("ts", "case_id")
+    met = _cases(spark, sf_dir).select("patient_id", "case_id", "stage", "ts", F.row_number().over(w).alias("encounter_seq"))
+    return synthetic.patients(_events(spark, sf_dir)).join(met, "patient_id").select("patient_id", "case_id", "encounter_seq", "stage", (F.col("ts") == F.col("first_ts")).alias("at_first"))
+
+
+def q_run_provenance(spark, sf_dir):
+    """Predictions by the run that made them."""
+    run = structured.with_provenance(_predicted(spark, sf_dir), {"temperature": "0"}, model_name="rules", model_version="2", prompt_version="none", schema_version="1", case_version="events", evaluated_on="2024-02-29", package_versions="pyspark 4")
+    return run.groupBy("run.model_name", "run.model_version", "run.prompt_version", "run.schema_version", "run.case_version", "run.evaluated_on", "run.package_versions", F.col("run.generation_params").getItem("temperature").alias("temperature")).agg(F.count("*").alias("n"))
+
+
+def q_published_views(spark, sf_dir):
+    """The dashboard's views, registered and read by SQL."""
+    names = views.publish(_graded(spark, sf_dir), structured.reviewed(_replayed(spark, sf_dir)))
+    return spark.sql(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in names))
+
+
+def q_conversation_order(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return t.select("conv_id", "turn", F.row_number().over(w).alias("seq"), "role", F.lag("role").over(w).alias("role_before"))
@@ -208,18 +268,19 @@ def _steps(source: str, steps, keep: str = "*") -> str:
 def oracle_sql() -> dict[str, str]:
     cases = _steps("SELECT * FROM events", synthetic.columns(DUCK), ", ".join(synthetic.KEPT))
     facts = _steps("SELECT * FROM cases", grading.fact_columns(DUCK))
-    graded = _steps("SELECT * FROM facts", grading.grade_columns(DUCK))
-    pay = _steps("SELECT case_id, outcome, gold_grade, gold_evidence FROM cases", synthetic.payload_columns(DUCK), "case_id, payload")
+    graded = _steps("SELECT * FROM facts", grading.grade_columns() + grading.reason_columns(DUCK))
+    pay_of = lambda s: _steps("SELECT case_id, outcome, gold_grade, gold_evidence FROM cases", synthetic.payload_columns(DUCK, s), "answer_id AS case_id, payload")
+    pay = pay_of("rubric_grounded")
     ok = "CASE WHEN json_valid(payload) THEN coalesce(json_type(payload, '$.predicted_grade') IN ('UBIGINT', 'BIGINT'), false) ELSE false END"
-    replayed = f"""SELECT c.*, well_formed, cast(json_extract_string(safe, '$.predicted_grade') AS int) AS predicted_grade, json_extract_string(safe, '$.outcome') AS answered_outcome,
+    replayed_of = lambda p: f"""SELECT c.*, well_formed, json_extract_string(safe, '$.rationale') AS rationale, cast(json_extract(safe, '$.human_review') AS boolean) AS asks_review, cast(json_extract_string(safe, '$.predicted_grade') AS int) AS predicted_grade, json_extract_string(safe, '$.outcome') AS answered_outcome,
         json_extract_string(safe, '$.confidence') AS confidence, cast(json_extract(safe, '$.evidence') AS varchar[]) AS ev
-        FROM cases c LEFT JOIN (SELECT *, CASE WHEN well_formed THEN payload ELSE '{{}}' END AS safe FROM (SELECT *, {ok} AS well_formed FROM pay)) p USING (case_id)"""
+        FROM cases c LEFT JOIN (SELECT *, CASE WHEN well_formed THEN payload ELSE '{{}}' END AS safe FROM (SELECT *, {ok} AS well_formed FROM {p})) p USING (case_id)"""
+    replayed = replayed_of("pay")
     ranges = " OR ".join(f"(outcome = '{o}' AND predicted_grade IN (-1, 0, {', '.join(map(str, g))}))" for o, (_, g) in OUTCOMES.items())
     explained = f"""SELECT *, {_PATTERN.replace('<=>', 'IS NOT DISTINCT FROM')} AS error_pattern FROM (SELECT *, coalesce(len(list_filter(ev, lambda x: NOT contains(lower(note_text), lower(x)))) = 0, true) AS grounded,
         gold_evidence = '' OR coalesce(list_contains(ev, gold_evidence), false) AS covers, coalesce({ranges}, false) AS in_range FROM replayed)"""
     scored = "SELECT case_id, patient_id, outcome, gold_grade, predicted_grade, 'rules' AS model FROM graded UNION ALL SELECT case_id, patient_id, outcome, gold_grade, predicted_grade, 'replay' FROM replayed"
     rules = "SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{o}', {g}, '{c}')" for r, o, g, c, _ in RULES) + ") t(rule, outcome, grade, criterion)"
-    base = f"WITH cases AS ({cases}), facts AS ({facts}), graded AS ({graded}), pay AS ({pay}), replayed AS ({replayed}), explained AS ({explained}), scored AS ({scored}), rules AS ({rules}) "
     scope = ", ".join(f"({i}, '{n}', {'NULL' if o is None else repr(o)}, {'NULL' if o is None else OUTCOMES[o][0]}, {'NULL' if o is None else len(OUTCOMES[o][1])})" for i, n, o in SCOPE)
     acc = """SELECT {by}, count(*) AS n, 100.0::double * count(*) FILTER (predicted_grade IS NOT DISTINCT FROM gold_grade) / count(*) AS exact_pct,
         100.0::double * count(*) FILTER (abs(predicted_grade - gold_grade) <= 1) / count(*) AS within_one_pct,
@@ -229,15 +290,22 @@ def oracle_sql() -> dict[str, str]:
         SELECT {by} n, (agree / n::double - coalesce(chance, 0) / (n::double * n)) / nullif(1 - coalesce(chance, 0) / (n::double * n), 0) AS kappa FROM n LEFT JOIN c {on}"""
     count_if = lambda c: f"count(*) FILTER ({c})"
     grades = ", ".join(f"{count_if(f'g.predicted_grade = {g}')} AS p_{str(g).replace('-', 'm')}" for g in metrics.GRADES)
-    stages = "['Presentation', 'Admission', 'Hospital Course', 'Discharge']"
+    stages = "[" + ", ".join(f"'{x}'" for x in synthetic.STAGES) + "]"
+    n_of = lambda cs: ", ".join(f"{count_if(c)} AS {c}" for c in cs)
+    reviewed = """SELECT *, coalesce(NOT well_formed, true) OR q6 OR q7 OR q8 OR coalesce(asks_review, false) AS needs_review FROM (SELECT *, coalesce(well_formed AND confidence = 'low', false) AS q6,
+        coalesce(well_formed AND (NOT in_range OR answered_outcome IS DISTINCT FROM outcome), false) AS q7, coalesce(well_formed AND (NOT grounded OR (predicted_grade >= 1 AND coalesce(len(ev), 0) < 1)), false) AS q8 FROM explained)"""
+    asks = "'Answer in JSON with \"outcome\", \"predicted_grade\", \"evidence\", \"rationale\", \"confidence\" and \"human_review\".'"
+    text = f"concat('Grade this outcome: ', outcome, chr(10), {{}}'Note:', chr(10), note_text, chr(10), {asks})"
+    lines = "(SELECT outcome, string_agg(concat(grade, ': ', criterion), chr(10) ORDER BY grade, criterion) AS lines FROM rules GROUP BY outcome)"
+    base = f"WITH cases AS ({cases}), facts AS ({facts}), graded AS ({graded}), pay AS ({pay}), replayed AS ({replayed}), explained AS ({explained}), reviewed AS ({reviewed}), scored AS ({scored}), rules AS ({rules}) "
     profile = "SELECT patient_id, " + ", ".join(f"max(predicted_grade) FILTER (outcome = '{o}') AS {n}" for o, n in zip([PAIN, CHEST, SPLEEN, PRIAPISM], NAMES, strict=True)) + " FROM graded GROUP BY patient_id"
     out = {
         "rubric_grades": "SELECT * FROM rules",
         "synthetic_cases": "SELECT * EXCLUDE (ts) FROM cases",
-        "note_facts": "SELECT case_id, admitted, complication, infiltrate, chest_sign, oxygen, unstable, shunt, death, pain_hours, temperature, fio2, hb, hb_was, spleen_cm, priapism_minutes FROM facts",
-        "rule_grades": "SELECT case_id, outcome, gold_grade, predicted_grade, evidence, rationale, human_review FROM graded",
-        "flagged_cases": "SELECT case_id, patient_id, outcome, predicted_grade, q1, q2, q3, q4, q5 FROM graded WHERE human_review",
-        "review_rates": "SELECT outcome, count(*) AS cases, " + ", ".join(f"{count_if(c)} AS {c}" for c in ("human_review", "q1", "q2", "q3", "q4", "q5")) + " FROM graded GROUP BY outcome",
+        "note_facts": "SELECT case_id, admitted, complication, infiltrate, chest_sign, oxygen, unstable, shunt, death, pain_minutes, temperature, fio2, hb, hb_was, spleen_cm, priapism_minutes FROM facts",
+        "rule_grades": "SELECT case_id, outcome, gold_grade, predicted_grade, array_to_string(evidence, '; ') AS evidence, rationale, human_review FROM graded",
+        "flagged_cases": "SELECT case_id, patient_id, outcome, predicted_grade, " + ", ".join(grading.TRIGGERS) + " FROM graded WHERE human_review",
+        "review_rates": "SELECT outcome, count(*) AS cases, " + n_of(("human_review", *grading.TRIGGERS)) + " FROM graded GROUP BY outcome",
         "accuracy_overall": acc.format(by="model"),
         "accuracy_by_outcome": acc.format(by="model, outcome"),
         "confusion_long": "SELECT model, outcome, gold_grade, predicted_grade, count(*) AS n FROM scored GROUP BY ALL",
@@ -254,10 +322,22 @@ def oracle_sql() -> dict[str, str]:
         "criterion_lookup": "SELECT rule, criterion, count(*) AS n FROM graded g JOIN rules r ON r.outcome = g.outcome AND r.grade = g.predicted_grade GROUP BY ALL",
         "severity_profile": profile,
         "severity_profile_cohort": f"SELECT name, grade, count(*) AS patients FROM (UNPIVOT ({profile}) ON pain, chest, spleen, priapism INTO NAME name VALUE grade) GROUP BY ALL",
-        "severity_trajectory": f"""SELECT patient_id, case_id, predicted_grade, cast(row_number() OVER w AS int) AS encounter_seq, {stages}[1 + (row_number() OVER w - 1) % 4] AS stage, predicted_grade - lag(predicted_grade) OVER w AS change,
-            max(predicted_grade) OVER (w ROWS UNBOUNDED PRECEDING) AS worst FROM graded WHERE predicted_grade >= 1 WINDOW w AS (PARTITION BY patient_id ORDER BY ts, case_id)""",
+        "severity_trajectory": f"""SELECT patient_id, case_id, predicted_grade, cast(row_number() OVER w AS int) AS encounter_seq, stage, stage_ordinal, predicted_grade - lag(predicted_grade) OVER w AS change,
+            max(predicted_grade) OVER (w ROWS UNBOUNDED PRECEDING) AS worst FROM (SELECT *, cast(list_position({stages}, stage) AS int) AS stage_ordinal FROM graded) WHERE predicted_grade >= 1 WINDOW w AS (PARTITION BY patient_id ORDER BY ts, stage_ordinal, case_id)""",
         "model_comparison": f"SELECT g.outcome, count(*) AS n, {count_if('g.predicted_grade IS NOT DISTINCT FROM r.predicted_grade')} AS same, {count_if('g.predicted_grade > r.predicted_grade')} AS rules_higher FROM graded g JOIN replayed r USING (case_id) GROUP BY g.outcome",
-        "patient_view": "SELECT case_id, patient_id, outcome, gold_grade, predicted_grade, array_to_string(ev, '; ') AS evidence, confidence, abs(predicted_grade - gold_grade) AS distance FROM replayed",
+        "patient_view": "SELECT case_id, patient_id, note_text, outcome, gold_grade, predicted_grade, array_to_string(ev, '; ') AS evidence, rationale, confidence, needs_review AS human_review, abs(predicted_grade - gold_grade) AS distance FROM reviewed",
+        "answer_review": f"SELECT outcome, count(*) AS n, {n_of(('q6', 'q7', 'q8', 'needs_review'))} FROM reviewed GROUP BY outcome",
+        "incorrect_predictions": "SELECT case_id, outcome, gold_grade, predicted_grade FROM graded WHERE predicted_grade IS DISTINCT FROM gold_grade",
+        "orphan_answers": "SELECT case_id, payload IS NOT NULL AS answered FROM pay WHERE case_id NOT IN (SELECT case_id FROM cases)",
+        "prompt_strategies": acc.format(by="strategy").replace("FROM scored", f"FROM (SELECT *, 'rubric_grounded' AS strategy FROM replayed UNION ALL SELECT *, 'zero_shot' FROM ({replayed_of(f'({pay_of("zero_shot")})')}))"),
+        "prompt_texts": f"SELECT case_id, strategy, length(prompt) AS n_chars, md5(prompt) AS digest FROM (SELECT case_id, 'zero_shot' AS strategy, {text.format('')} AS prompt FROM cases UNION ALL SELECT case_id, 'rubric_grounded', {text.format("'Criteria:', chr(10), lines, chr(10), ")} FROM cases JOIN {lines} USING (outcome))",
+        "rubric_file_grades": "SELECT case_id, g.outcome, predicted_grade, coalesce(criterion, rationale) AS rationale, human_review FROM graded g LEFT JOIN rules r ON r.outcome = g.outcome AND r.grade = g.predicted_grade",
+        "every_outcome": "SELECT case_id, outcome, predicted_grade FROM (" + _steps(f"SELECT * EXCLUDE (outcome), unnest([{', '.join(repr(o) for o in OUTCOMES)}]) AS outcome FROM facts", grading.grade_columns()) + ") WHERE predicted_grade >= 0",
+        "patient_encounters": "SELECT patient_id, case_id, cast(row_number() OVER (PARTITION BY patient_id ORDER BY ts, case_id) AS int) AS encounter_seq, stage, ts = min(ts) OVER (PARTITION BY patient_id) AS at_first FROM cases",
+        "run_provenance": "SELECT 'rules' AS model_name, '2' AS model_version, 'none' AS prompt_version, '1' AS schema_version, 'events' AS case_version, '2024-02-29' AS evaluated_on, 'pyspark 4' AS package_versions, '0' AS temperature, count(*) AS n FROM graded",
+        "published_views": "SELECT 'patient_view' AS name, count(*) AS n FROM cases UNION ALL SELECT 'severity_profile', count(DISTINCT patient_id) FROM cases UNION ALL SELECT 'severity_trajectory', count(*) FROM graded WHERE predicted_grade >= 1 UNION ALL "
+        "SELECT 'grade_distribution', count(DISTINCT (outcome, predicted_grade)) FROM graded UNION ALL SELECT 'outcome_distribution', count(DISTINCT outcome) FROM cases UNION ALL SELECT 'truth_vs_predicted', count(DISTINCT (outcome, gold_grade, predicted_grade)) FROM graded UNION ALL "
+        "SELECT 'accuracy_by_outcome', count(DISTINCT outcome) FROM cases UNION ALL SELECT 'confusion_matrix', 7 UNION ALL SELECT 'flagged_cases', count(*) FROM graded WHERE human_review",
     }
     out = {k: base + v for k, v in out.items()}
     out["outcome_scope"] = f"SELECT *, outcome IS NOT NULL AS encoded FROM (VALUES {scope}) t(ordinal, scope_name, outcome, booklet_page, n_grades)"

@@ -9,16 +9,11 @@ ENTRY = "outcome string, booklet_page int, definition string, diagnostic_criteri
 
 
 def read_rubric(spark: SparkSession, path: str) -> DataFrame:
-    """One row per outcome and grade of a file, a folder or a glob. Keys that start with _ are left out.
+    """One row per outcome and grade of a file, a folder or a glob, with the file it came from. Keys that start with _ are left out.
 
     Read as whole text and parsed in two steps, since the keys are data and one value is a plain string.
     """
     text = spark.read.text(path, wholetext=True)
-    entries = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "body")).where(~F.startswith("key", F.lit("_")))
-    e = entries.select(F.from_json("body", ENTRY).alias("e")).select("e.*")
-    return e.select("outcome", "booklet_page", "definition", "diagnostic_criteria", "validation", F.explode("grades").alias("g", "criterion")).withColumn("g", F.col("g").cast("int")).withColumnRenamed("g", "grade")
-
-
-def write_endpoints(graded: DataFrame, path: str) -> None:
-    """Grades as a dataset partitioned by outcome."""
-    graded.write.mode("overwrite").partitionBy("outcome").parquet(path)
+    entries = text.select(F.input_file_name().alias("file"), F.explode(F.from_json("value", "map<string,string>")).alias("key", "body")).where(~F.startswith("key", F.lit("_")))
+    e = entries.select("file", F.from_json("body", ENTRY).alias("e")).select("file", "e.*")
+    return e.select("outcome", "booklet_page", "definition", "diagnostic_criteria", "validation", "file", F.explode("grades").alias("g", "criterion")).withColumn("g", F.col("g").cast("int")).withColumnRenamed("g", "grade")

@@ -8,6 +8,7 @@ under a threshold, a missing sentence, a denial, a distracting mention.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.rubric import CHEST, OUTCOMES, PAIN, PRIAPISM, SPLEEN
 from ..plans.dialect import SPARK, Dialect, computed
@@ -26,7 +27,8 @@ OPENING = {
     PRIAPISM: ("Painful priapism lasting {minutes} minutes, assessed by a physician.", "Painful priapism lasting 30 minutes, assessed by a physician."),
 }
 NOTHING = "Routine follow-up of sickle cell disease without acute complaints."
-STAGES = ("Presentation", "Admission", "Hospital Course", "Discharge")
+#: Stages of an episode in order; the last is terminal.
+STAGES = ("Presentation", "Admission", "Hospital Course", "Discharge", "Death")
 #: Damage by number: 2 nothing to grade, 3 under the threshold, 4 no course, 5 a denial, 6 a distracting mention, 7 a quantity without its number.
 EXTRA = {5: " There was no shunt and no death.", 6: " A cousin had a stroke.", 7: " Prolonged duration was mentioned."}
 
@@ -57,30 +59,36 @@ def columns(d: Dialect) -> list[list[tuple[str, str]]]:
         [("outcome", outcome), ("damage", f"(case_id {d.div} 20) % 16")],
         [("true_grade", true_grade)],
         [("gold_grade", "CASE damage WHEN 2 THEN -1 WHEN 3 THEN 0 ELSE true_grade END"), ("course", course), ("opening", opening), ("extra", extra)],
-        [("note_text", f"CASE damage WHEN 2 THEN '{NOTHING}' WHEN 4 THEN opening ELSE concat(opening, ' ', course, extra) END"), ("gold_evidence", "CASE WHEN damage IN (2, 3) THEN '' ELSE course END")],
+        [("stage", "CASE WHEN contains(course, 'died') AND damage NOT IN (2, 4) THEN 'Death' ELSE CASE (case_id " + d.div + " 8) % 4 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(STAGES[:4])) + " END END"), ("note_text", f"CASE damage WHEN 2 THEN '{NOTHING}' WHEN 4 THEN opening ELSE concat(opening, ' ', course, extra) END"), ("gold_evidence", "CASE WHEN damage IN (2, 3) THEN '' ELSE course END")],
     ]
 
 
-KEPT = ("case_id", "patient_id", "ts", "outcome", "gold_grade", "note_text", "gold_evidence")
+KEPT = ("case_id", "patient_id", "ts", "stage", "outcome", "gold_grade", "note_text", "gold_evidence")
 
 
 def cases(events: DataFrame) -> DataFrame:
-    """One labelled case per event: case_id, patient_id, ts, outcome, gold_grade, note_text, gold_evidence."""
+    """One labelled case per event: case_id, patient_id, ts, stage, outcome, gold_grade, note_text, gold_evidence."""
     first, *rest = columns(SPARK)
     return computed(events.selectExpr(*(f"{s} AS {n}" for n, s in first)), rest).select(*KEPT)
 
 
-def payloads(cases_: DataFrame) -> DataFrame:
-    """Recorded answers of a model in JSON, some of them damaged: (case_id, payload)."""
-    return computed(cases_.select("case_id", "outcome", "gold_grade", "gold_evidence"), payload_columns(SPARK)).select("case_id", "payload")
+def patients(events: DataFrame) -> DataFrame:
+    """One row per patient: patient_id, first_ts."""
+    return events.groupBy(F.col("user_id").alias("patient_id")).agg(F.min("ts").alias("first_ts"))
 
 
-def payload_columns(d: Dialect) -> list[list[tuple[str, str]]]:
+def payloads(cases_: DataFrame, strategy: str = "rubric_grounded") -> DataFrame:
+    """Recorded answers of a model in JSON, some of them damaged, some for cases that don't exist: (case_id, payload)."""
+    return computed(cases_.select("case_id", "outcome", "gold_grade", "gold_evidence"), payload_columns(SPARK, strategy)).select(F.col("answer_id").alias("case_id"), "payload")
+
+
+def payload_columns(d: Dialect, strategy: str = "rubric_grounded") -> list[list[tuple[str, str]]]:
+    fault = {"rubric_grounded": f"(case_id {d.div} 11) % 13", "zero_shot": f"(case_id {d.div} 7) % 9"}[strategy]
     said = "CASE fault WHEN 2 THEN concat('\"', cast(gold_grade AS string), '\"') WHEN 3 THEN '9' WHEN 5 THEN cast(CASE WHEN gold_grade >= 2 THEN gold_grade - 1 ELSE gold_grade + 1 END AS string) ELSE cast(gold_grade AS string) END"
     evidence = "CASE WHEN fault = 6 THEN '[\"Liver biopsy\"]' WHEN gold_evidence = '' THEN '[]' ELSE concat('[\"', gold_evidence, '\"]') END"
-    body = "concat('{\"outcome\": \"', outcome, '\", \"predicted_grade\": ', said, ', \"evidence\": ', found, ', \"confidence\": \"', CASE fault WHEN 7 THEN 'low' ELSE 'high' END, '\"}')"
+    body = "concat('{\"outcome\": \"', outcome, '\", \"predicted_grade\": ', said, ', \"evidence\": ', found, ', \"rationale\": \"', CASE WHEN gold_evidence = '' THEN 'criteria not met' ELSE gold_evidence END, '\", \"confidence\": \"', CASE fault WHEN 7 THEN 'low' ELSE 'high' END, '\", \"human_review\": ', CASE WHEN fault = 8 THEN 'true' ELSE 'false' END, '}')"
     return [
-        [("fault", f"(case_id {d.div} 11) % 13")],
+        [("fault", fault), ("answer_id", "CASE WHEN case_id % 97 = 5 THEN -1 - case_id ELSE case_id END")],
         [("said", said), ("found", evidence)],
         [("payload", f"CASE fault WHEN 1 THEN substr({body}, 1, 40) WHEN 4 THEN NULL ELSE {body} END")],
     ]

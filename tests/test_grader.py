@@ -6,8 +6,10 @@ import pytest
 
 from sevra.functions.rubric import CHEST, OUTCOMES, PAIN, PRIAPISM, RULES, SPLEEN
 from sevra.operators import metrics, structured
-from sevra.operators.grading import graded
+from sevra.operators.grading import TRIGGERS, every_outcome, graded, graded_by
+from sevra.sources import sinks
 from sevra.sources.rubric_file import read_rubric
+from sevra.sources.tables import read_cases
 from sevra.streaming.grader import grade_stream
 
 SPLENIC = "Splenic sequestration with hemoglobin {} g/dL from 9.5 g/dL, high reticulocyte count, spleen {} cm from 2 cm. "
@@ -34,6 +36,21 @@ NOTES = [
     (PRIAPISM, "Painful priapism lasting 31 minutes, assessed by a physician. Resolved at home.", 1),
     (PRIAPISM, "Painful priapism lasting 90 minutes, assessed by a physician. In the emergency department, aspiration, no shunt.", 3),
     (PRIAPISM, "Painful priapism lasting 90 minutes, assessed by a physician. In the emergency department, shunt. The patient died.", 4),
+    # Denials end at a conjunction, units and decimals count.
+    (PAIN, "Acute pain episode with pain for 5 hours, treated with morphine. Admitted, did not respond to fluids and died.", 5),
+    (PAIN, "Acute pain episode with pain for 5 hours, treated with morphine. Admitted without organ failure but needed vasopressors.", 4),
+    (PAIN, "Acute pain episode with pain for 5 hours, treated with morphine. Admitted with no organ failure and no death.", 3),
+    (PAIN, "Acute pain episode with pain for 2.5 hours, treated with morphine. Managed at home.", 1),
+    (PAIN, "Acute pain episode with pain lasting 119 minutes, treated with morphine. Managed at home.", 0),
+    (PAIN, "Acute pain episode with pain lasting 2 days, treated with morphine. Managed at home.", 1),
+    (CHEST, "A new lobar infiltrate. Temperature 39 C. Antibiotics only.", 1),
+    (CHEST, "A new lobar infiltrate. Temperature 101.3 F. Antibiotics only.", 1),
+    (CHEST, "A new lobar infiltrate. Temperature 101.2 F. Antibiotics only.", 0),
+    (SPLEEN, "Splenic sequestration with hematocrit 24% from 30%, high reticulocyte count, spleen 4.5 cm from 2.5 cm. Observed.", 1),
+    (SPLEEN, "Splenic sequestration with hematocrit 25% from 30%, high reticulocyte count, spleen 4.5 cm from 2.5 cm. Observed.", 0),
+    (SPLEEN, SPLENIC.format("7.7", 4).replace("9.5", "9.7") + "Observed.", 1),
+    (PRIAPISM, "Painful priapism lasting 4 hours, assessed by a physician. Resolved at home.", 1),
+    (PRIAPISM, "Painful priapism lasting 0.5 hours, assessed by a physician. Resolved at home.", 0),
 ]
 
 
@@ -48,11 +65,63 @@ def test_thresholds_and_gates(spark):
     assert got == {i: g for i, (_, _, g) in enumerate(NOTES)}
 
 
-def test_review(spark):
-    rows = spark.createDataFrame([(1, CHEST, "A new lobar infiltrate with cough. Erythropoietin was given."), (2, CHEST, "A new lobar infiltrate with cough. BiPAP.")], "case_id long, outcome string, note_text string")
-    got = {r["case_id"]: r for r in graded(rows).collect()}
-    assert got[1]["human_review"] and got[1]["q1"] and not got[2]["human_review"]
-    assert "bipap" in got[2]["evidence"]
+def test_review_and_evidence(spark):
+    notes = [
+        (1, CHEST, "A new lobar infiltrate with cough. Erythropoietin was given."), (2, CHEST, "A new lobar infiltrate with cough. BiPAP."), (3, PRIAPISM, "Painful priapism lasting 90 minutes, assessed by a physician. In the emergency department, shunt. The patient died."),
+        (4, CHEST, "A new lobar infiltrate with cough. Given FiO2 30% and intubated."), (5, SPLEEN, SPLENIC.format("7.0", 5) + "IV fluids. No shunt. A shunt was seen."), (6, SPLEEN, SPLENIC.format("7.0", 5) + "IV fluids, spleen size unclear."),
+    ]
+    got = {r["case_id"]: r for r in graded(spark.createDataFrame(notes, "case_id long, outcome string, note_text string")).collect()}
+    assert {k: [t for t in TRIGGERS if r[t]] for k, r in got.items()} == {1: ["q1"], 2: [], 3: ["guard"], 4: ["guard"], 5: ["q2"], 6: ["q5"]}
+    assert all(r["human_review"] == (k != 2) for k, r in got.items()) and got[3]["predicted_grade"] == 4 and got[4]["predicted_grade"] == 2
+    assert "bipap" in got[2]["evidence"] and "fio2 30%" in got[4]["evidence"] and "fio2 3" not in got[4]["evidence"]
+    assert all(len(set(r["evidence"])) == len(r["evidence"]) for r in got.values()) and "splenic sequestration" in got[5]["evidence"]
+
+
+def test_every_outcome_and_rubric_table(spark):
+    df = spark.createDataFrame([(1, PAIN, NOTES[2][1] + " " + NOTES[11][1]), (2, "Stroke", NOTES[2][1])], "case_id long, outcome string, note_text string")
+    assert {(r["case_id"], r["outcome"], r["predicted_grade"]) for r in every_outcome(df).collect()} == {(1, PAIN, 3), (1, CHEST, 2), (2, PAIN, 3)}
+    rubric = spark.createDataFrame([(PAIN, 3, "stay in hospital"), (CHEST, 1, "mild")], "outcome string, grade int, criterion string")
+    got = {r["case_id"]: r for r in graded_by(spark.createDataFrame([(1, PAIN, NOTES[2][1]), (2, CHEST, NOTES[11][1]), (3, SPLEEN, NOTES[19][1])], "case_id long, outcome string, note_text string"), rubric).collect()}
+    assert (got[1]["predicted_grade"], got[1]["rationale"], got[1]["human_review"]) == (3, "stay in hospital", False)
+    assert got[2]["predicted_grade"] == 2 and got[2]["human_review"] and got[3]["predicted_grade"] == -1
+
+
+def test_answers_reviewed_serialised_and_prompts(spark):
+    good = {"outcome": PAIN, "predicted_grade": 3, "evidence": ["admitted"], "rationale": "r", "confidence": "high", "human_review": False}
+    answers = [good, good | {"confidence": "low"}, good | {"predicted_grade": 7}, good | {"evidence": ["biopsy"]}, good | {"evidence": []}, good | {"human_review": True}, None]
+    df = spark.createDataFrame([(i, PAIN, "Admitted.", a and json.dumps(a)) for i, a in enumerate(answers)], "case_id long, outcome string, note_text string, payload string")
+    got = {r["case_id"]: r for r in structured.reviewed(structured.parsed(df)).collect()}
+    assert [[q for q in ("q6", "q7", "q8") if got[i][q]] for i in range(7)] == [[], ["q6"], ["q7"], ["q8"], ["q8"], [], []]
+    assert [got[i]["needs_review"] for i in range(7)] == [False, True, True, True, True, True, True]
+    rows = graded(spark.createDataFrame([(1, PAIN, NOTES[2][1])], "case_id long, outcome string, note_text string")).selectExpr("*", "'high' AS confidence")
+    back = structured.parsed(structured.serialised(rows).select("case_id", "answer_json"), "answer_json").first()
+    assert back["well_formed"] and back["predicted_grade"] == 3 and back["answered_outcome"] == PAIN
+    texts = {r["strategy"]: r["prompt"] for r in structured.prompts(df.limit(1), spark.createDataFrame([(PAIN, 2, "b"), (PAIN, 1, "a")], "outcome string, grade int, criterion string")).collect()}
+    assert "Criteria:\n1: a\n2: b\nNote:\nAdmitted." in texts["rubric_grounded"] and "Criteria" not in texts["zero_shot"]
+    run = structured.with_provenance(df, {"top_p": "1"}, model_name="m").first()["run"]
+    assert run["model_name"] == "m" and run["model_version"] is None and run["generation_params"] == {"top_p": "1"}
+    with pytest.raises(ValueError):
+        structured.with_provenance(df, mood="good")
+
+
+def test_sinks_and_tables(spark, tmp_path):
+    rows = spark.createDataFrame([(i, o, n) for i, (o, n, _) in enumerate(NOTES)], "case_id long, outcome string, note_text string")
+    for run, df in (("a", rows), ("b", rows.limit(3)), ("a", rows.limit(5))):
+        sinks.write_predictions(df, str(tmp_path / "p"), run)
+    back = spark.read.parquet(str(tmp_path / "p"))
+    assert {r["run_id"]: r["count"] for r in back.groupBy("run_id").count().collect()} == {"a": 5, "b": 3}
+    sinks.write_metrics(metrics.distribution(rows, "outcome"), str(tmp_path / "m"), "outcomes")
+    assert spark.read.parquet(str(tmp_path / "m" / "outcomes")).count() == 5
+    sinks.write_endpoints(rows, str(tmp_path / "e"))
+    assert spark.read.parquet(str(tmp_path / "e")).count() == len(NOTES)
+    (tmp_path / "c.csv").write_text('case_id,patient_id,stage,outcome,gold_grade,note_text\n1,2,Discharge,X,3,"two\nlines, ""quoted"""\n')
+    assert read_cases(spark, str(tmp_path / "c.csv")).first()["note_text"] == 'two\nlines, "quoted"'
+
+
+def test_trajectory_orders_by_time_then_stage(spark):
+    rows = [(1, 10, 0, "Death", 5), (1, 11, 0, "Presentation", 1), (1, 12, -1, "Discharge", 2)]
+    got = metrics.trajectory(spark.createDataFrame(rows, "patient_id long, case_id long, ts long, stage string, predicted_grade int")).orderBy("encounter_seq").collect()
+    assert [(r["case_id"], r["change"], r["worst"], r["stage_ordinal"]) for r in got] == [(12, None, 2, 4), (11, -1, 2, 1), (10, 4, 5, 5)]
 
 
 @pytest.mark.parametrize("pairs,exact,near,kappa", [([(1, 1), (2, 2)], 100.0, 100.0, 1.0), ([(3, 3), (3, 3)], 100.0, 100.0, None), ([(1, None), (2, None)], 0.0, 0.0, 0.0), ([(-1, 0), (0, 1), (1, 3)], 0.0, 200 / 3, -0.2857142857)])
@@ -81,8 +150,11 @@ def test_model_seam(spark):
 
 def test_rubric_file(spark, tmp_path):
     doc = {"_source": "a booklet", "X": {"outcome": "X", "booklet_page": 7, "definition": "d", "diagnostic_criteria": "c", "validation": "v", "grades": {"1": "one", "3": "three"}}}
-    (tmp_path / "r.json").write_text(json.dumps(doc, indent=1).replace("\n", "\r\n"))
-    got = read_rubric(spark, str(tmp_path / "r.json")).orderBy("grade").collect()
+    for folder in ("one", "two"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "r.json").write_text(json.dumps(doc, indent=1).replace("\n", "\r\n"))
+    got = read_rubric(spark, str(tmp_path / "one")).orderBy("grade").collect()
+    assert len({r["file"] for r in read_rubric(spark, str(tmp_path / "*")).collect()}) == 2
     assert [(r["outcome"], r["booklet_page"], r["grade"], r["criterion"]) for r in got] == [("X", 7, 1, "one"), ("X", 7, 3, "three")]
 
 
