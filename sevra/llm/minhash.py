@@ -10,11 +10,11 @@ min over the set of pi(sigma(x) + k mod 2^32).
 
 Rows with equal sets form a class and only its representative goes on. In
 each band bucket, representatives are compared with a centre, never all with
-all: first with the smallest, then, where a bucket still spans several
-components, with centres drawn anew for each bucket. What is still apart goes
-through an exact prefix join: shingles are ordered by their frequency, rarest
-first, and two sets can only be linked if they share one among the first of
-both. So no link between candidates is lost, nothing inside a component is
+all: first with the one whose buckets are largest, then, where a bucket still
+spans several components, with the like of another component. What is still
+apart goes through an exact prefix join: shingles are ordered by their
+frequency, rarest first, and two sets can only be linked if they share one
+among the first of both. So no link between candidates is lost, nothing inside a component is
 repeated, and members of a large group that have a few shingles of their own
 meet nobody.
 """
@@ -34,7 +34,7 @@ from .textvec import U, Words, mix, slices
 
 #: Coordinates per band and bands. At similarity 0.85 a pair is missed with probability 4e-7, at 0.8 with 5e-5.
 ROWS, BANDS = 5, 25
-#: Turns with centres drawn anew, and pairs of one centre that meet under one key, about.
+#: Turns with another centre, and pairs of one centre that meet under one key, about.
 TURNS, PAIRS = 2, 2000
 _SIGMA = 77
 
@@ -142,34 +142,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long")
 
 
-def _open(rows: DataFrame, seed: int, steps: Steps) -> DataFrame:
-    """rows (bucket, rep, n, label) of buckets with several labels, with the number m of such rows and a member c, drawn for each bucket."""
-    chosen = F.min_by(F.struct("rep", "n", "label"), F.struct(F.xxhash64("rep", "bucket", F.lit(seed)), "rep")).alias("c")
+def _centred(rows: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """(rows, centres): rows (bucket, rep, n, label, fame, m) of buckets with several labels, with c: their most famous member, or where they have c_label, the label of a former one, the most famous of another label; and the buckets (bucket, m, c)."""
+    better = F.struct("fame", F.xxhash64("rep"), "rep")
+    other = F.col("label") != F.col("c_label") if "c_label" in rows.columns else F.lit(True)
+    chosen = F.max_by(F.struct("rep", "n", "label"), F.when(other, better)).alias("c")
     open_ = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), chosen).where("lo < hi").select("bucket", "m", "c")
-    return join_groups(rows.select("bucket", "rep", "n", "label"), steps.staged(open_), ["bucket"], "m")
+    centres = steps.staged(open_)
+    return steps.staged(join_groups(rows.select("bucket", "rep", "n", "label", "fame"), centres, ["bucket"], "m")), centres
 
 
 def prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int, steps: Steps) -> DataFrame:
     """(a, b, m) of rows (rep, n, label) with different labels that may meet the threshold; none that does is missing.
 
     A set of n shingles that has o in common with another shares one of its
-    first n - o + 1, in any order that holds for all, and so does the other.
-    Here the rarest come first; a shingle found once counts, but meets nobody.
+    first n - o + 1, in any order that holds for all, and so does the other. o
+    grows with the other's size, so each of the first shingles has a largest
+    size of the other, most. Here shingles of one label come first, which meet
+    nobody, then the rarest.
     """
-    tokens = rows.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "n", F.explode("shingles").alias("token"))
-    often = steps.staged(tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1"))
-    shared = steps.staged(join_groups(tokens, often, ["token"], "f"))
+    tokens = rows.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "n", "label", F.explode("shingles").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token", "f")
+    shared = steps.staged(join_groups(tokens, steps.staged(often), ["token"], "f"))
     whole, ordered = Window.partitionBy("rep"), Window.partitionBy("rep").orderBy("f", "token")
     at = F.col("n") - F.count("*").over(whole) + F.row_number().over(ordered) - 1
-    heads = shared.withColumn("at", at).where(100 * (F.col("n") - F.col("at")) >= percent * F.col("n")).join(rows.select("rep", "label"), "rep")
-    heads = steps.staged(heads.select("token", "label", "rep", "n", "at"))
-    several = heads.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    per = heads.join(several, "token", "left_semi").select("token", "label").distinct()
-    differ = per.withColumnRenamed("label", "x_label").join(per.withColumnRenamed("label", "y_label"), "token").where("x_label < y_label")
-    named = lambda k: heads.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("label", "rep", "n", "at")))
-    met = differ.join(named("x"), ["token", "x_label"]).join(named("y"), ["token", "y_label"])
-    least = percent * (F.col("x_n") + F.col("y_n"))
-    met = met.where(((100 + percent) * (F.col("x_n") - F.col("x_at")) >= least) & ((100 + percent) * (F.col("y_n") - F.col("y_at")) >= least))
+    left = F.col("n") - F.col("at")
+    heads = shared.withColumn("at", at).where(100 * left >= percent * F.col("n")).withColumn("most", F.floor((100 + percent) * left / percent).cast("long") - F.col("n"))
+    heads = steps.staged(heads.select("token", "label", "rep", "n", "most"))
+    # Of each shingle those stay that may meet the smallest and are met by the widest.
+    per = heads.groupBy("token").agg(F.count("*").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("smallest"), F.max("most").alias("widest")).where("lo < hi").select("token", "f", "smallest", "widest")
+    heads = steps.staged(join_groups(heads, steps.staged(per), ["token"], "f").where("most >= smallest and n <= widest").drop("f", "smallest", "widest"))
+    named = lambda k: heads.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("label", "rep", "n", "most")))
+    side = lambda k: named(k).groupBy("token", f"{k}_label").agg(F.min(f"{k}_n").alias(f"{k}_lo"), F.max(f"{k}_most").alias(f"{k}_hi"))
+    x, y = side("x"), side("y")
+    differ = x.join(y, (x["token"] == y["token"]) & (F.col("x_label") < F.col("y_label")) & (F.col("x_lo") <= F.col("y_hi")) & (F.col("y_lo") <= F.col("x_hi"))).select(x["token"].alias("token"), "x_label", "y_label", "y_lo", "y_hi")
+    x = named("x")
+    met = differ.join(x.withColumnsRenamed({"token": "t", "x_label": "l"}), (F.col("token") == F.col("t")) & (F.col("x_label") == F.col("l")) & (F.col("x_n") <= F.col("y_hi")) & (F.col("y_lo") <= F.col("x_most"))).drop("t", "l", "y_lo", "y_hi")
+    y = named("y").withColumnsRenamed({"token": "t", "y_label": "l"})
+    met = met.join(y, (F.col("token") == F.col("t")) & (F.col("y_label") == F.col("l")) & (F.col("x_n") <= F.col("y_most")) & (F.col("y_n") <= F.col("x_most")))
     return met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"), F.lit(1).cast("long").alias("m")).distinct()
 
 
@@ -203,25 +213,25 @@ def _grouped(texts: DataFrame, size: int, percent: int) -> DataFrame:
     classes = some.groupBy("d1", "d2", "n").agg(F.min(F.struct(F.col("id").alias("rep"), "bands")).alias("r"), F.count("*").alias("members"))
     classes = staged(classes.select("d1", "d2", "n", "members", "r.*"))
     rows = classes.select(*own, F.explode("bands").alias("bucket"))
-    buckets = staged(rows.groupBy("bucket").agg(F.min(F.struct(*own)).alias("c"), F.count("*").alias("m")).where("m > 1"))
-    rows = staged(join_groups(rows, buckets, ["bucket"], "m").select("bucket", *own, "m", "c"))
+    buckets = staged(rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
+    # A set is famous if its buckets are large: it has what its group has in common, so most links of a group meet in it.
+    rows = join_groups(rows, buckets, ["bucket"], "m").withColumn("fame", F.sum("m").over(Window.partitionBy("rep")))
+    rows, centres = _centred(rows.withColumn("label", F.col("rep")), steps)
 
     def with_centre(rows: DataFrame) -> DataFrame:
         possible = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
-        return rows.where((F.col("rep") != F.col("c.rep")) & possible).groupBy(F.col("rep").alias("a"), F.col("c.rep").alias("b")).agg(F.max("m").alias("m"))
+        return rows.where((F.col("label") != F.col("c.label")) & possible).groupBy(F.col("rep").alias("a"), F.col("c.rep").alias("b")).agg(F.max("m").alias("m"))
 
     done = staged(with_centre(rows))
     # Full sets of all that share a bucket, once for every turn.
     sets = staged(texts.join(rows.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text").mapInArrow(_sets(size), "id long, shingles array<long>"))
     links = staged(_verified(done, sets, percent))
     for turn in range(TURNS + 1):
-        labels = components(links)
-        named = rows.select("bucket", *own).join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        rows = staged(_open(named, turn, steps))
-        if turn < TURNS:
-            found = with_centre(rows.where(F.col("label") != F.col("c.label")))
-        else:
-            found = prefix_pairs(staged(rows.select(*own, "label").distinct()), sets, percent, steps)
+        labels = components(links).withColumnRenamed("node", "rep")
+        named = rows.select("bucket", *own, "fame").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        former = centres.select("bucket", "m", F.col("c.rep").alias("rep")).join(labels, "rep", "left").select("bucket", "m", F.coalesce("label", "rep").alias("c_label"))
+        rows, centres = _centred(join_groups(named, staged(former), ["bucket"], "m"), steps)
+        found = with_centre(rows) if turn < TURNS else prefix_pairs(staged(rows.select(*own, "label").distinct()), sets, percent, steps)
         new = staged(found.join(done.select("a", "b").union(done.select("b", "a")), ["a", "b"], "left_anti"))
         links = links.union(staged(_verified(new, sets, percent)))
         done = done.union(new)
