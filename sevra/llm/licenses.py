@@ -100,14 +100,15 @@ def matches(df: DataFrame, key: str = "doc_id", text: str = "text", templates: t
 
     A block is a line of a text, numbered from 0, or with windows a window,
     numbered from 0 among those of its length. Null and empty texts have no
-    matches; a template without tokens matches nothing.
+    matches; a template without tokens matches nothing. Rows that share a key
+    share their blocks' numbers, and each gives its own matches.
     """
     spark = df.sparkSession
     tokens = {i: _python_tokens(t[1]) for i, t in enumerate(templates)}
     tokens = {i: t for i, t in tokens.items() if t}
     if sum(map(len, tokens.values())) > MAX_TEMPLATE_TOKENS:
         raise ValueError(f"templates have more than {MAX_TEMPLATE_TOKENS} tokens")
-    schema = f"{key} long, block int, label string, template int, containment double"
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, block int, label string, template int, containment double"
     if not tokens:
         return spark.createDataFrame([], schema)
     need = {i: max(1, math.ceil(round(threshold * len(t), 9))) for i, t in tokens.items()}
@@ -116,7 +117,7 @@ def matches(df: DataFrame, key: str = "doc_id", text: str = "text", templates: t
     fewest = min(need.values())
     must = {i: tuple(templates[i][2]) if len(templates[i]) > 2 else () for i in tokens}
     spans = {i: _span(templates[i][1]) if windows else 0 for i in tokens}
-    blocks = _windows(df, key, text, tokens, need, must, spans) if windows else df.select(F.col(key).cast("long").alias("k"), F.lit(0).alias("span"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("block", "line"))
+    blocks = _windows(df, key, text, tokens, need, must, spans) if windows else df.select(F.col(key).alias("k"), F.lit(0).alias("span"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("block", "line"))
     if not windows:
         blocks = blocks.select("k", "span", "block", F.split(F.trim(_small(_spaced(F.col("line")))), " ").alias("words"))
     # A block that meets a template holds words of at least one of the templates' rarer tokens; counting comes first, over all blocks.
@@ -148,7 +149,7 @@ def _windows(df: DataFrame, key: str, text: str, tokens: dict[int, list[str]], n
     """(k, span, block, words): half-overlapping windows of 2 * span words of the texts that can hold a match, for each span of the templates."""
     # A match holds all that it must, the rarest first, else one at least of any |template| - need + 1 tokens; long ones are rare.
     signs = {x for i, t in tokens.items() for x in (must[i][:1] or sorted(t, key=lambda x: (-len(x), x))[: len(t) - need[i] + 1])}
-    rows = df.select(F.col(key).cast("long").alias("k"), _small(_spaced(F.col(text))).alias("w")).where(F.rlike("w", F.lit(" (?:" + "|".join(sorted(signs)) + ") ")))
+    rows = df.select(F.col(key).alias("k"), _small(_spaced(F.col(text))).alias("w")).where(F.rlike("w", F.lit(" (?:" + "|".join(sorted(signs)) + ") ")))
     rows = rows.select("k", F.split(F.trim("w"), " ").alias("w")).select("k", "w", F.explode(F.array(*map(F.lit, sorted(set(spans.values()))))).alias("span"))
     # A text's last window would lie whole in the one before it.
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("w") - F.col("span") - 1) / F.col("span")).cast("int")))
@@ -161,17 +162,19 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: tupl
 
     labels: those of phrases and of templates that a window matches; score: the highest
     containment of a matching template, 1 with a phrase, 0 without either.
-    Null and empty texts: counts 0, null places, empty labels. Rows that
-    repeat a key get the labels of all of them; a null key only its phrases'.
+    Null and empty texts: counts 0, null places, empty labels. Rows are told
+    apart by key and text, so repeated and null keys have each their own
+    labels. Other columns are not read; an empty table gives none.
     """
     spaced = F.col("spaced")
-    base = df.select(F.col(key).cast("long").alias(key), _spaced(F.col(text)).alias("spaced"))
-    base = base.select(key, F.when(F.trim(spaced) == "", F.lit(0)).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) - 1).cast("long").alias("n_words"), _phrases(spaced, phrases).alias("p"))
-    by_key = matches(df, key, text, templates, threshold, windows=True).groupBy(key).agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    rows = df.select(F.struct(F.col(f"`{key}`").cast("long").alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("h")).alias("id"), F.col(f"`{text}`").alias("text"))
+    base = rows.select("id", _spaced(F.col("text")).alias("spaced"))
+    base = base.select("id", F.when(F.trim(spaced) == "", F.lit(0)).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) - 1).cast("long").alias("n_words"), _phrases(spaced, phrases).alias("p"))
+    by_key = matches(rows, "id", "text", templates, threshold, windows=True).groupBy("id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     own = F.array_distinct(F.transform("p", lambda x: x["label"]))
     join = lambda x: F.array_join(F.array_sort(x), ",")
-    return base.join(by_key, key, "left").select(
-        key, "n_words", F.size("p").cast("long").alias("n_base"), F.array_min(F.transform("p", lambda x: x["at"])).alias("first_word"), F.array_max(F.transform("p", lambda x: x["at"])).alias("last_word"),
+    return base.join(by_key, "id", "left").select(
+        F.col("id.k").alias(key), "n_words", F.size("p").cast("long").alias("n_base"), F.array_min(F.transform("p", lambda x: x["at"])).alias("first_word"), F.array_max(F.transform("p", lambda x: x["at"])).alias("last_word"),
         join(own).alias("base_labels"), join(F.array_union(own, F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
         F.greatest(F.when(F.size("p") > 0, 1.0).otherwise(0.0), F.coalesce("best", F.lit(0.0))).alias("score"),
     )

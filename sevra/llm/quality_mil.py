@@ -20,7 +20,7 @@ from .common import small_batches
 from .textvec import U, Words, slices
 
 #: Words of a passage, most labelled rows that are learnt from, width of encoding and attention.
-PASSAGE, MAX_LABELLED, WIDTH, GATE = 64, 4000, 16, 8
+PASSAGE, MAX_LABELLED, MAX_CHARS, WIDTH, GATE = 64, 4000, 200_000, 16, 8
 N_FEATURES = 13
 
 
@@ -137,10 +137,11 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """A model from at most MAX_LABELLED labelled keys, those with the smallest hash. Rows without a label are passed over; of repeated keys the largest label counts."""
+    """A model from at most MAX_LABELLED labelled keys, those with the smallest hash. Rows without a label and texts of over MAX_CHARS are passed over; of repeated keys the largest label and the smallest text count. Empty tables give a model of the bias alone."""
     small_batches(docs.sparkSession)
-    rows = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64(F.col(key)), key).limit(MAX_LABELLED)
-    got = docs.select(key, text).join(F.broadcast(rows), key).select(F.col(key).cast("long").alias("k"), "y", F.col(text).alias("x")).mapInArrow(_collect, "k long, y int, x binary").toPandas()
+    rows = labels.where(F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{key}`").cast("long").alias("k")).agg(F.max(F.col(f"`{label}`").cast("int")).alias("y")).orderBy(F.xxhash64("k"), "k").limit(MAX_LABELLED)
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("x")).join(F.broadcast(rows), "k").groupBy("k").agg(F.max("y").alias("y"), F.min("x").alias("x"))
+    got = rows.where(F.coalesce(F.length("x"), F.lit(0)) <= MAX_CHARS).select("k", "y", "x").mapInArrow(_collect, "k long, y int, x binary").toPandas()
     got = got.sort_values("k", kind="stable")
     bags = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in got["x"]]
     doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags]) if bags else np.zeros(0, int)
@@ -148,7 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def scored(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) of every row; null and empty texts are one passage of zeros."""
+    """(key, score) of every row, repeated ones too; null and empty texts are one passage of zeros. Texts are read whole; other columns are not read. An empty table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,4 +157,4 @@ def scored(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(model.score(*passages(w)))], [key, "score"])
 
     small_batches(df.sparkSession)
-    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, score double")
+    return df.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("x")).mapInArrow(run, f"{key} long, score double")

@@ -12,18 +12,22 @@ from .common import crc_mod, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the production rules for every document."""
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their bins."""
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and license templates of every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt outside of the held-out fifth."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_mil.learn(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
     return _judged(quality_mil.scored(docs, model), 5, 0)
@@ -34,29 +38,35 @@ def _judged(scores: DataFrame, mod: int, held: int) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies: 3-word shingles, similarity 0.85 or more."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of identical texts."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or trees' verdict on every page's URL."""
     forest = url_filter.train(spark.createDataFrame(url_filter.seed_urls(), "url string, label int"))
     return url_filter.judged(table(spark, sf_dir, "pages"), forest)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt outside of the held-out quarter."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     weights = toxicity.learn(labels.where(crc_mod(F.col("doc_id"), 4) != 2), docs=docs)
     return _judged(toxicity.scored(docs, weights), 4, 2)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
@@ -64,8 +74,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+def _quality_sql() -> str:
+    """The counts and the rule table of op1 as SQL."""
+    metrics = {"n_words": "n_words", "mean_word_length": "CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 5.0 END", "symbol_ratio": "CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0.0 END"}
+    metrics |= {"capital_ratio": "CASE WHEN n_letters > 0 THEN n_capitals / n_letters ELSE 0.0 END", "stop_word_ratio": "CASE WHEN n_words > 0 THEN n_stop / n_words ELSE 1.0 END"}
+    metrics |= {"dup_line_ratio": "CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END", "repeat_word_ratio": "CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END"}
+    fails = [f"({metrics[r.metric]}) {op} {x}" for r in quality_rules.RULES for op, x in (("<", r.low), (">", r.high)) if x is not None]
+    stops = ", ".join(f"'{x}'" for x in sorted(set(quality_rules.STOP_WORDS)))
+    return rf"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents),
+        l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS lines FROM d),
+        p AS (SELECT r, i, array_to_string(w[i:i+7], ' ') AS span FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+        q AS (SELECT r, i FROM p QUALIFY count(*) OVER (PARTITION BY r, span) > 1),
+        c AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM q) GROUP BY r),
+        m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[ \t-\r]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+            coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS n_capitals, length(regexp_replace(t, '\P{{L}}+', '', 'g')) AS n_letters,
+            len(list_filter(w, lambda x: lower(x) IN ({stops}))) AS n_stop FROM d JOIN l USING (r) LEFT JOIN c USING (r))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+            NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR {" OR ".join(fails)}) AS kept FROM m"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_quality_rules": _quality_sql(),
         "op7_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .textvec import U, Words, mix, slices
 
-#: Buckets of the hashed features, bytes of a word's beginning, and most labelled rows that are learnt from.
-BITS, STEM, MAX_LABELLED = 22, 5, 6000
+#: Buckets of the hashed features, bytes of a word's beginning, most labelled rows that are learnt from, and longest text among them, so that they fit the driver.
+BITS, STEM, MAX_LABELLED, MAX_CHARS = 22, 5, 6000, 50_000
 
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -110,14 +110,19 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learning_rows(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", docs: DataFrame | None = None) -> list[tuple[int, np.ndarray]]:
     """(label, distinct buckets) of at most MAX_LABELLED rows, those with the smallest hash of the key, in a fixed mixed order.
 
-    docs: a table with key and text, if labelled has none. Rows without a label are passed over.
+    docs: a table with key and text, if labelled has none. Rows without a label
+    and texts of over MAX_CHARS are passed over; of rows that share a key, the
+    largest label and the smallest text count. Empty tables give none.
     """
     small_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("y"), *([] if docs is not None else [F.first(text).alias(text)]))
-    rows = rows.orderBy(F.xxhash64(F.col(key)), key).limit(MAX_LABELLED)
+    y = F.col(f"`{label}`").cast("int").alias("y")
+    own = [] if docs is not None else [F.col(f"`{text}`").alias("x")]
+    rows = labelled.where(F.col(f"`{label}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("k"), y, *own)
+    rows = rows.groupBy("k").agg(F.max("y").alias("y"), *([] if docs is not None else [F.min("x").alias("x")])).orderBy(F.xxhash64("k"), "k").limit(MAX_LABELLED)
     if docs is not None:  # at most MAX_LABELLED rows of two numbers
-        rows = docs.select(key, text).join(F.broadcast(rows), key)
-    got = rows.select(F.col(key).cast("long").alias("k"), "y", F.col(text).alias("x")).mapInArrow(_collect, "k long, y int, x binary").toPandas()
+        rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("x")).join(F.broadcast(rows), "k").groupBy("k").agg(F.max("y").alias("y"), F.min("x").alias("x"))
+    rows = rows.where(F.coalesce(F.length("x"), F.lit(0)) <= MAX_CHARS)
+    got = rows.select("k", "y", "x").mapInArrow(_collect, "k long, y int, x binary").toPandas()
     order = np.argsort(mix(got["k"].to_numpy(np.int64).view(U), 11), kind="stable") if len(got) else []
     return [(int(got["y"].iloc[i]), np.frombuffer(got["x"].iloc[i], np.int32)) for i in order]
 
@@ -128,7 +133,7 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
 
 
 def scored(df: DataFrame, weights: Weights, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) of every row; null and empty texts get the score of the bias."""
+    """(key, score) of every row, repeated ones too; null and empty texts get the score of the bias. Texts are read whole; other columns are not read. An empty table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weights.dense()
@@ -141,11 +146,11 @@ def scored(df: DataFrame, weights: Weights, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], [key, "score"])
 
     small_batches(df.sparkSession)
-    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, score double")
+    return df.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("x")).mapInArrow(run, f"{key} long, score double")
 
 
 def drop_toxic(df: DataFrame, weights: Weights, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without rows scored threshold or more; columns stay, repeated keys included; a null key is judged by its own text."""
+    """df without rows scored threshold or more; columns stay, repeated keys and rows included; each row is judged by its own text, a null or empty one by the bias. An empty table stays empty."""
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
