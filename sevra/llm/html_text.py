@@ -65,6 +65,7 @@ LABELLED = (
     (25, 0.2, 30, 0, 30, 0, 0, 1, 1), (6, 0, 0, 0, 0, 0, 0, 1, 1), (14, 0, 1, 1, 9, 0, 0, 1, 1), (4, 0, 1, 1, 3, 1, 0, 1, 1), (1, 0, 0, 0, 0, 0, 0, 1, 1), (8, 0, 40, 0, 3, 1, 0, 1, 1),
     (3, 1, 40, 0, 30, 0, 0, 1, 1), (6, 0.8, 20, 0.1, 50, 0, 0, 1, 1), (2, 1, 25, 0, 20, 0, 0, 1, 1), (18, 0.5, 25, 0, 20, 0, 0, 1, 1), (2, 1, 30, 0, 0, 0, 0, 1, 1), (1, 0, 2, 1, 2, 1, 0, 1, 1),
     (6, 0.7, 9, 0, 10, 0, 0, 1, 1), (2, 1, 8, 0, 7, 0, 0, 1, 1), (4, 1, 70, 0, 60, 0, 0, 1, 1), (5, 0.8, 3, 0, 0, 0, 0, 1, 1), (3, 1, 0, 0, 40, 0, 0, 1, 1), (5, 0.6, 4, 0, 0, 0, 0, 1, 1),
+    (3, 0.7, 0, 0, 6, 0.8, 0, 1, 1), (8, 0.6, 20, 0, 9, 0.7, 0, 1, 1), (10, 0.7, 9, 0.6, 12, 0.5, 0, 1, 1), (4, 0.75, 6, 0.6, 5, 0.8, 0, 1, 1), (6, 0.8, 5, 0.7, 40, 0, 0, 1, 1),
     (1, 0, 90, 0, 0, 0, 0, 1, 1), (2, 0, 150, 0, 30, 0, 0, 1, 1), (1, 0, 200, 0, 250, 0, 0, 1, 1), (300, 0, 1, 0, 2, 0, 0, 1, 1), (3, 0, 4, 1, 3, 1, 0, 1, 1), (12, 0, 2, 1, 2, 1, 0, 1, 1),
     (20, 0, 3, 1, 0, 0, 0, 1, 1), (8, 0, 4, 1, 2, 0, 0, 1, 1), (40, 0, 6, 1, 0, 0, 0, 1, 1), (3, 0, 1, 1, 0, 0, 0, 1, 1), (60, 0, 5, 1, 4, 0, 0, 1, 1), (2, 0, 1, 1, 4, 0, 1, 1, 1),
     (7, 0, 5, 1, 0, 0, 0, 1, 1), (10, 0, 4, 1, 0, 0, 0, 1, 1), (12, 0, 3, 1, 0, 0, 0, 1, 1), (14, 0, 2, 1, 0, 0, 0, 1, 1),
