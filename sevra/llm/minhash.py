@@ -44,7 +44,7 @@ def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.diff(w.first)
     key = mix(w.hash, 1)
     full = key.copy()
-    for k in range(1, size):
+    for k in range(1, min(size, len(key))):
         full[: len(full) - k] = mix(full[: len(full) - k] * U(0x9E3779B97F4A7C15) + key[k:], k + 1)
     out, first = [], np.zeros(w.n_docs + 1, np.int64)
     for d in range(w.n_docs):
