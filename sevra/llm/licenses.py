@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, staged
 
 THRESHOLD = 0.8
 #: Most tokens of all templates together; templates are broadcast, so their size is checked.
@@ -120,8 +120,8 @@ def matches(df: DataFrame, key: str = "doc_id", text: str = "text", templates: t
     blocks = _windows(df, key, text, tokens, need, must, spans) if windows else df.select(F.col(key).alias("k"), F.lit(0).alias("span"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("block", "line"))
     if not windows:
         blocks = blocks.select("k", "span", "block", F.split(F.trim(_small(_spaced(F.col("line")))), " ").alias("words"))
-    # A block that meets a template holds words of at least one of the templates' rarer tokens; counting comes first, over all blocks.
-    blocks = blocks.select("k", "span", "block", F.array_intersect("words", known).alias("tokens"))
+    # Texts are read once for blocks: what they have of the templates' tokens is written, then counted over all blocks, then joined.
+    blocks = staged(blocks.select("k", "span", "block", F.array_intersect("words", known).alias("tokens")).where(F.size("tokens") > 0))
     # One row per token of the templates: a bounded table.
     counted = blocks.select(F.explode("tokens").alias("token")).groupBy("token").count().collect()
     often = {r["token"]: r["count"] for r in counted}
