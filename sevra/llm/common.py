@@ -104,12 +104,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, to
     return rows.join(heavy, on).unionByName(tagged.where("_hot is null").drop("_hot").join(groups.where(F.col(size) < least), on))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, outer: Steps | None = None) -> DataFrame:
     """(node, label) of all nodes in links (a, b): label is the smallest node reachable.
 
     Minimum labels flow along links and jump to their label's label, so the number of rounds
     is logarithmic for chains; each round is written to the shared folder. The hub of a
-    star and the label of a large component are joined as heavy groups.
+    star and the label of a large component are joined as heavy groups. outer:
+    the steps that the result's own table belongs to.
     """
     steps = Steps()
     links = steps.staged(links.select(F.col("a"), F.col("b")).union(links.select(F.col("b"), F.col("a"))).distinct())
@@ -121,6 +122,8 @@ def components(links: DataFrame) -> DataFrame:
         low = steps.staged(low.select("node", "label", "links", F.least("label", "m").alias("low")))
         if not low.where("low < label").limit(1).count():
             steps.drop_but(low)
+            if outer is not None:
+                outer.tables += steps.tables
             return low.select("node", "label")
         # Every label is a node, so the label that a label has now is found among the nodes.
         ups = steps.staged(low.groupBy("low").agg(F.count("*").alias("members")).join(low.select(F.col("node").alias("low"), F.col("low").alias("up")), "low"))

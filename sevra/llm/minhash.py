@@ -226,16 +226,21 @@ def _grouped(texts: DataFrame, size: int, percent: int) -> DataFrame:
     # Full sets of all that share a bucket, once for every turn.
     sets = staged(texts.join(rows.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text").mapInArrow(_sets(size), "id long, shingles array<long>"))
     links = staged(_verified(done, sets, percent))
+    labels = components(links, steps).withColumnRenamed("node", "rep")
     for turn in range(TURNS + 1):
-        labels = components(links).withColumnRenamed("node", "rep")
         named = rows.select("bucket", *own, "fame").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         former = centres.select("bucket", "m", F.col("c.rep").alias("rep")).join(labels, "rep", "left").select("bucket", "m", F.coalesce("label", "rep").alias("c_label"))
         rows, centres = _centred(join_groups(named, staged(former), ["bucket"], "m"), steps)
+        if centres.isEmpty():
+            break
         found = with_centre(rows) if turn < TURNS else prefix_pairs(staged(rows.select(*own, "label").distinct()), sets, percent, steps)
         new = staged(found.join(done.select("a", "b").union(done.select("b", "a")), ["a", "b"], "left_anti"))
-        links = links.union(staged(_verified(new, sets, percent)))
+        more = staged(_verified(new, sets, percent))
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links, steps).withColumnRenamed("node", "rep")
         done = done.union(new)
-    named = classes.select("d1", "d2", "members", "rep").join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
+    named = classes.select("d1", "d2", "members", "rep").join(labels, "rep", "left")
     named = staged(named.select("d1", "d2", "members", F.coalesce("label", "rep").alias("component_id")))
     out = join_groups(sigs.select("id", "n", "d1", "d2").where("n > 0 and id is not null"), named, ["d1", "d2"], "members").select("id", "n", "component_id")
     out = out.unionByName(sigs.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")))
