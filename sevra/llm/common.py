@@ -36,38 +36,35 @@ def small_batches(spark: SparkSession, mb: int = 8, rows: int = 2000) -> None:
             spark.conf.set(key, str(most))
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage and outlives lost executors."""
-    at = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, at: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder (at: a folder of its own there) and read it back: cuts the lineage and outlives lost executors."""
+    at = at or _folder(df.sparkSession)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 class Steps:
-    """Staged tables of one run. On leaving, those that the result doesn't read are deleted; what it reads stays, as checkpoints do."""
+    """Staged tables of one run. drop_but deletes those that the result doesn't read; what it reads stays, as checkpoints do."""
 
     def __init__(self):
-        self.tables: list[DataFrame] = []
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def staged(self, df: DataFrame) -> DataFrame:
-        self.tables.append(staged(df))
-        return self.tables[-1]
+        at = _folder(df.sparkSession)
+        self.tables.append((staged(df, at), at))
+        return self.tables[-1][0]
 
     def drop_but(self, *kept: DataFrame) -> None:
         keep = {id(x) for x in kept}
-        for df in self.tables:
+        for df, at in self.tables:
             if id(df) not in keep:
-                delete(df.sparkSession, df.inputFiles())
-        self.tables = [x for x in self.tables if id(x) in keep]
-
-
-def delete(spark: SparkSession, files: list[str]) -> None:
-    """Delete the folders of a staged table."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for folder in {f.rsplit("/", 1)[0] for f in files}:
-        if "/staged-" in folder:
-            at = hadoop.Path(folder)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+                path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+                path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.tables = [x for x in self.tables if id(x[0]) in keep]
 
 
 def let(value: Column, body) -> Column:

@@ -3,6 +3,7 @@
 import collections
 import random
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -105,6 +106,16 @@ def test_prefix_pairs_miss_no_link(spark):
         assert want <= got and len(want) > 5
 
 
+def test_steps_delete_what_nothing_reads(spark):
+    steps = common.Steps()
+    one, two = steps.staged(spark.range(3)), steps.staged(spark.range(4))
+    at = [Path(x.removeprefix("file:")) for _, x in steps.tables]
+    at = [Path("/" + str(x).lstrip("/")) for x in at]
+    assert all(x.is_dir() for x in at)
+    steps.drop_but(two)
+    assert not at[0].exists() and two.count() == 4 and one.columns == ["id"]
+
+
 def test_components_of_a_star_and_a_chain(spark):
     links = [(5000, i) for i in range(1, 1500)] + [(10000 + i, 10001 + i) for i in range(40)] + [(3, 3)]
     got = {r["node"]: r["label"] for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
