@@ -70,8 +70,43 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3_license_scan that SQL can express."""
+    return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8_url_filter that SQL can express: host, path, rule, and the verdict where there is one."""
+    return op8_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+def mix_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op10_mixing that SQL can express, and whether a document keeps to the cap."""
+    return op10_mixing(spark, sf_dir).select("doc_id", "size", "source_size", (F.col("taken") <= 3 * F.col("size")).alias("capped"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {f.__name__: f for f in (license_base, url_rules, mix_sizes)}
+
+
+def _license_sql() -> str:
+    at = {p: f"list_filter(range(len(w) - {len(p.split()) - 1}), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{t}'" for k, t in enumerate(p.split())) + ")" for p in licenses.PHRASES}
+    labels = ", ".join(f"CASE WHEN len({a}) > 0 THEN '{licenses.PHRASES[p]}' END" for p, a in at.items())
+    every = " || ".join(at.values())
+    return rf"""
+        SELECT doc_id, len(w) AS n_words, len({every}) AS n_base, list_min({every}) AS first_word, list_max({every}) AS last_word,
+            array_to_string(list_sort(list_distinct(list_filter([{labels}], lambda x: x IS NOT NULL))), ',') AS base_labels
+        FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)"""
+
+
+def _url_sql() -> str:
+    fits = {r: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}')" for r, _ in url_filter.RULES for h, p in [r.split("/", 1)]}
+    longest = sorted(url_filter.RULES, key=lambda x: -len(x[0]))
+    case = lambda what: "CASE " + " ".join(f"WHEN {fits[r]} THEN '{what(r, v)}'" for r, v in longest) + " END"
+    return f"""
+        SELECT page_id, host, path, {case(lambda r, v: r)} AS rule, {case(lambda r, v: v)} AS rule_verdict FROM (
+            SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM (
+                SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)))"""
 
 
 def _quality_sql() -> str:
@@ -97,6 +132,11 @@ def _quality_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": _quality_sql(),
+        "license_base": _license_sql(),
+        "url_rules": _url_sql(),
+        "mix_sizes": r"""
+            SELECT doc_id, size, sum(size) OVER (PARTITION BY source)::bigint AS source_size, true AS capped
+            FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS size FROM documents)""",
         "op7_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
