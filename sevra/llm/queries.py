@@ -132,6 +132,15 @@ def _quality_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": _quality_sql(),
+        "op5_minhash_near_dedup": r"""
+            WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents),
+            s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (g) GROUP BY ALL),
+            l AS (SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+            r(doc_id, label) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, r.label FROM r JOIN l ON l.a = r.doc_id),
+            c AS (SELECT doc_id, min(label) AS component_id FROM r GROUP BY doc_id)
+            SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""",
         "license_base": _license_sql(),
         "url_rules": _url_sql(),
         "mix_sizes": r"""
