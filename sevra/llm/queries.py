@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, licenses, minhash, mixing, packing, quality_mil, quality_rules, toxicity, url_filter
+from . import exact_dedup, filter_audit, html_text, licenses, minhash, mixing, packing, quality_mil, quality_rules, resampling, token_counts, toxicity, url_filter
 from .common import crc_mod, table
 
 
@@ -70,6 +70,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over every document, in all orders, by lang. Nulls, empty texts and repeats as in filter_audit.audited."""
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document. The cache is a new one, so that each call counts all distinct texts; nulls and repeats as in token_counts.counted."""
+    return token_counts.counted(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents drawn towards the benchmark's words. Nulls, ties and repeats as in resampling.resampled."""
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op3_license_scan that SQL can express."""
     return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -129,8 +144,52 @@ def _quality_sql() -> str:
             NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR {" OR ".join(fails)}) AS kept FROM m"""
 
 
+def _audit_sql() -> str:
+    """op11 by windows and lists: each order is a list of bits, each step looks at the masks that its earlier filters leave."""
+    bit = "CASE substr(o, {i}, 1) WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 4 WHEN 'D' THEN 8 ELSE 16 END"
+    join = " AND ".join(f"{y} NOT IN ({', '.join('abcde'[:i])})" for i, y in enumerate("abcde") if i)
+    return rf"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents),
+        g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT doc_id, part, (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t))::int
+            + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::int AS mask FROM d),
+        m AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN g USING (doc_id) GROUP BY ALL),
+        l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (SELECT concat(a, b, c, d, e) AS o FROM {", ".join(f"(SELECT x AS {y} FROM l)" for y in "abcde")} WHERE {join}),
+        s AS (SELECT o, step, {bit.format(i="step")} AS bit, list_sum(list_transform(range(1, step), lambda i: {bit.format(i="i")}))::bigint AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+        r AS (SELECT part, o, step, bit, coalesce(before, 0)::int AS before FROM s, (SELECT DISTINCT part FROM m)),
+        c AS (SELECT r.part, o, step, bit, coalesce(sum(n) FILTER (mask & (before | bit::int) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & bit::int > 0 AND mask & before = 0), 0) AS removed,
+            coalesce(sum(n) FILTER (mask & bit::int > 0 AND mask & before > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails, coalesce(sum(good) FILTER (mask & bit::int > 0 AND mask & before = 0), 0) AS good_lost,
+            coalesce(sum(toxic) FILTER (mask & bit::int > 0 AND mask & before = 0), 0) AS toxic_lost FROM r JOIN m USING (part) GROUP BY ALL)
+        SELECT part, o AS filter_order, step::int AS step, kept::bigint AS kept, removed::bigint AS removed, redundant::bigint AS redundant, unique_fails::bigint AS unique_fails, good_lost::bigint AS good_lost,
+            toxic_lost::bigint AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::bigint AS shapley FROM c"""
+
+
+def _resampling_sql() -> str:
+    """op13 with crc32 spelt out, as the checking engine has none, over distinct words."""
+    words = lambda t: rf"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {t}"
+    return rf"""
+        WITH RECURSIVE k(i, n, c) AS (SELECT i, 0, i FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, n + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM k WHERE n < 8),
+        tab AS (SELECT list(c ORDER BY i) AS t FROM k WHERE n = 8),
+        d AS (SELECT doc_id, row_number() OVER () AS r, {words("documents")}),
+        fd AS (SELECT r, unnest(w) AS f FROM d), fb AS (SELECT unnest(w) AS f FROM (SELECT {words("benchmark")})),
+        v AS (SELECT DISTINCT f FROM (SELECT f FROM fd UNION ALL SELECT f FROM fb)),
+        b AS (SELECT f, xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+            lambda c, x: xor(c // 256, t[(xor(c, x) % 256) + 1])), 4294967295) % 10000 AS b FROM (SELECT f, hex(encode(f)) AS h FROM v), tab),
+        s AS (SELECT b, count(*) AS s FROM fd JOIN b USING (f) GROUP BY b), t AS (SELECT b, count(*) AS t FROM fb JOIN b USING (f) GROUP BY b),
+        n AS (SELECT (SELECT count(*) FROM fd) AS s_all, (SELECT count(*) FROM fb) AS t_all),
+        g AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::double * (s_all + 10000)::double / ((s + 1)::double * (t_all + 10000)::double)))::bigint AS gain FROM s LEFT JOIN t USING (b), n),
+        w AS (SELECT r, floor(sum(gain)::double / count(*))::bigint AS weight FROM fd JOIN b USING (f) JOIN g USING (b) GROUP BY r),
+        x AS (SELECT doc_id, len(w)::bigint AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256(concat('2024:', doc_id)), 1, 8))::bigint AS h FROM d LEFT JOIN w USING (r)),
+        y AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint AS score FROM x),
+        z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id, weight, n_features) AS rank, 10 * count(*) OVER () // 100 AS most FROM y WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, rank FROM y LEFT JOIN (SELECT doc_id, rank FROM z WHERE rank <= most) USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_filter_audit": _audit_sql(),
+        "op13_importance_resampling": _resampling_sql(),
         "op1_quality_rules": _quality_sql(),
         "op5_minhash_near_dedup": r"""
             WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents),
