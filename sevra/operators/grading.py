@@ -2,75 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.facts import LITERALS, MENTIONS, NUMBERS, PHRASES, asserted, clauses, denied_and_said, number, says
-from ..functions.rubric import OUTCOMES, RULES, criteria_sql, doubtful_sql, grade_sql, guard_sql, present_sql, rule_grade_sql
-from ..plans.dialect import SPARK, Dialect, computed
+from ..functions import lexicon as lx
+from ..functions import reading
+from ..functions.rubric import CORE, OUTCOMES, REQUIRED, Rubric, quoted
+from ..plans.dialect import computed
 
 #: Review triggers: no rule matches; a phrase denied and asserted; several rules; criteria missing; ambiguous; a grade that the rubric leaves unsaid.
 TRIGGERS = ("q1", "q2", "q3", "q4", "q5", "guard")
+#: What graded() adds.
+ADDED = ("predicted_grade", "evidence", "rationale", *TRIGGERS, "human_review")
 
 
-def fact_columns(d: Dialect, note: str = "note_text") -> list[list[tuple[str, str]]]:
-    """Steps of (name, SQL): the clauses of the note, the asserted ones, then facts. Booleans are never null; numbers are where not found."""
-    facts = [(n, says("said", p)) for n, p in PHRASES.items()] + [(n, number(n, d.number)) for n in NUMBERS]
-    return [[("noted", clauses(f"coalesce({note}, '')", d.replace_all))], [("said", asserted("noted", d.replace_all))], facts, [("oxygen", "oxygen_word OR fio2 IS NOT NULL")]]
+def grade_columns(rubric: Rubric = CORE, facts: str = "") -> list[list[tuple[str, str]]]:
+    """Steps of (name, SQL) from facts to predicted_grade; facts: what stands before a fact's name."""
+    return [[("present", rubric.present_sql(facts)), ("criteria", rubric.criteria_sql(facts)), ("rule_grade", rubric.rule_grade_sql(facts))], [("predicted_grade", rubric.grade_sql())]]
 
 
-def grade_columns() -> list[list[tuple[str, str]]]:
-    """Steps of (name, SQL) from facts to predicted_grade."""
-    return [[("present", present_sql()), ("criteria", criteria_sql()), ("rule_grade", rule_grade_sql())], [("predicted_grade", grade_sql())]]
-
-
-def reason_columns(d: Dialect) -> list[list[tuple[str, str]]]:
-    """Steps of (name, SQL) after the grade: evidence (array), rationale, and the review triggers."""
-    found = [f"CASE WHEN contains(said, '{p}') THEN '{p}' ELSE '' END" for p in LITERALS]
-    found += [f"CASE WHEN {n} IS NOT NULL THEN regexp_extract(said, '{NUMBERS[n][1]}', 0) ELSE '' END" for n in NUMBERS if not n.endswith("_was")]
-    rationale = "CASE " + " ".join(f"WHEN outcome = '{o}' AND predicted_grade = {g} THEN '{c}'" for _, o, g, c, _ in RULES) + " WHEN predicted_grade = 0 THEN 'criteria not met' ELSE 'outcome not present' END"
+def reason_columns(rubric: Rubric = CORE, facts: str = "", contains: str = "array_contains({}, {})") -> list[list[tuple[str, str]]]:
+    """Steps of (name, SQL) after the grade: rationale and the review triggers."""
+    named = " OR ".join(f"(outcome = {quoted(o)} AND (" + " OR ".join(contains.format(f"{facts}unread", quoted(q)) for q in qs) + "))" for o, qs in REQUIRED.items())
     return [
-        [("evidence", d.some.format(d.array.format(", ".join(found)))), ("rationale", rationale), ("doubtful", doubtful_sql())],
+        [("rationale", rubric.rationale_sql()), ("doubtful", rubric.doubtful_sql(facts))],
         [
-            ("q1", "present AND criteria AND rule_grade = 0"), ("q2", denied_and_said("noted", "said")), ("q3", "present AND criteria AND doubtful > 1"), ("q4", "present AND NOT criteria"),
-            ("q5", says("said", MENTIONS)), ("guard", f"present AND criteria AND ({guard_sql()})"),
+            ("q1", "present AND criteria AND rule_grade = 0"), ("q2", f"{facts}conflict"), ("q3", "present AND criteria AND doubtful > 1"), ("q4", "present AND NOT criteria"),
+            ("q5", f"{facts}doubt OR coalesce({named}, false)"), ("guard", f"present AND criteria AND ({rubric.guard_sql(facts)})"),
         ],
         [("human_review", " OR ".join(TRIGGERS))],
     ]
 
 
-def with_facts(df: DataFrame, note: str = "note_text") -> DataFrame:
-    return computed(df, fact_columns(SPARK, note))
+def _inlined(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column as the single row of an inlined array: what stands above is not rewritten in terms of what it is computed from, which would repeat that for every use."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
+def read(df: DataFrame, note: str = "note_text", name: str = "facts", lexicon=lx.DEFAULT, evidence: bool = True) -> DataFrame:
+    """Add the facts of the note as one struct (see functions.reading.read)."""
+    return _inlined(df, name, reading.read(note, lexicon, evidence))
+
 
+def _worked(df: DataFrame, note: str, steps: list[list[tuple[str, str]]], added: dict[str, str], lexicon, evidence: bool = True) -> DataFrame:
+    """df with the columns added (name to SQL). While the steps are worked out, df's columns have other names, so none is mistaken for a fact; those named like an added one are replaced."""
+    carried = {f"_{i}": c for i, c in enumerate(df.columns)}
+    rows = df.select(*(F.col(f"`{c}`").alias(k) for k, c in carried.items()), F.col("outcome").cast("string").alias("outcome"), F.col(f"`{note}`").alias("note"))
+    rows = computed(read(rows, "note", "f", lexicon, evidence), steps)
+    names = {c.lower() for c in added}
+    return rows.select(*(F.col(k).alias(c) for k, c in carried.items() if c.lower() not in names), *(F.expr(sql).alias(c) for c, sql in added.items()))
 
-def predicted(df: DataFrame, note: str = "note_text") -> DataFrame:
-    """Add predicted_grade only: metrics need no evidence, and each step is evaluated whole."""
-    return computed(with_facts(df, note), grade_columns()).select(*df.columns, "predicted_grade")
+
+def predicted(df: DataFrame, note: str = "note_text", rubric: Rubric = CORE, lexicon=lx.DEFAULT) -> DataFrame:
+    """Add predicted_grade only: metrics need no evidence."""
+    return _worked(df, note, grade_columns(rubric, "f."), {"predicted_grade": "predicted_grade"}, lexicon, evidence=False)
+
+
+def graded(df: DataFrame, note: str = "note_text", facts: bool = False, rubric: Rubric = CORE, lexicon=lx.DEFAULT) -> DataFrame:
+    """Add ADDED to rows with outcome and a note.
+
+    An outcome without a rubric, a null or an empty note get -1. Columns of df
+    stay as they are, whatever they are called, but for those named like one
+    of ADDED, which are replaced. facts: keep the struct of facts as well.
+    """
+    added = {c: "f.evidence" if c == "evidence" else c for c in ADDED} | ({"facts": "f"} if facts else {})
+    return _worked(df, note, grade_columns(rubric, "f.") + reason_columns(rubric, "f."), added, lexicon)
 
 
-def graded(df: DataFrame, note: str = "note_text", facts: bool = False) -> DataFrame:
-    """Add predicted_grade, evidence, rationale, the triggers q1 to q5 and guard, and human_review to rows with outcome and a note.
+def misreads(df: DataFrame, note: str = "note_text", rubric: Rubric = CORE, lexicon=lx.DEFAULT) -> DataFrame:
+    """Add rule_predicted, the grade, and misreads, an array of (threshold, grade): what the grade would be, had one threshold been taken for the opposite.
 
-    An outcome without a rubric, a null or an empty note get -1. facts: keep the facts as well.
+    Only thresholds of the row's outcome whose quantity the note gives are there, in the rubric's order.
     """
-    out = computed(with_facts(df, note), grade_columns() + reason_columns(SPARK))
-    return out if facts else out.select(*df.columns, "predicted_grade", "evidence", "rationale", *TRIGGERS, "human_review")
+    one = [f"named_struct('threshold', {quoted(t)}, 'grade', CASE WHEN outcome = {quoted(o)} THEN {rubric.misread_sql(t, 'f.')} END)" for t, o, _ in rubric.thresholds]
+    every = f"filter(array({', '.join(one)}), x -> x.grade IS NOT NULL)" if one else "cast(array() AS array<struct<threshold: string, grade: int>>)"
+    first, *rest = grade_columns(rubric, "f.")
+    return _worked(df, note, [[*first, ("wrong", every)], *rest], {"rule_predicted": "predicted_grade", "misreads": "wrong"}, lexicon, evidence=False)
 
 
 def graded_by(df: DataFrame, rubric: DataFrame, note: str = "note_text") -> DataFrame:
-    """graded() against a rubric read from files (outcome, grade, criterion; see sources.rubric_file): the criterion in place of the rationale.
+    """graded() with the criteria of a table (outcome, grade, criterion; see sources.rubric_file.read_rubric) in place of the rationale.
 
-    An outcome that the rubric lacks gets -1. A grade that it lacks stays, with its review flag set.
+    An outcome that the table lacks gets -1. A grade that it lacks stays, with
+    its review flag set. The conditions stay those of the package; to grade by
+    those of a file, pass graded() what sources.rubric_file.read_rules gives.
     """
     per = F.broadcast(rubric.groupBy("outcome").agg(F.map_from_entries(F.collect_list(F.struct("grade", "criterion"))).alias("_criteria")).where(F.col("outcome").isin(*OUTCOMES)))  # four rows at most
     out = graded(df, note).join(per, "outcome", "left")
     known, at = F.col("_criteria").isNotNull(), F.try_element_at("_criteria", F.col("predicted_grade"))
     grade = F.when(known, F.col("predicted_grade")).otherwise(-1)
     missing = known & (F.col("predicted_grade") >= 1) & at.isNull()
-    return out.select(*df.columns, grade.alias("predicted_grade"), "evidence", F.when(known, F.coalesce(at, "rationale")).otherwise("outcome not present").alias("rationale"), (known & (F.col("human_review") | missing)).alias("human_review"))
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ADDED]
+    return out.select(*kept, grade.alias("predicted_grade"), "evidence", F.when(known, F.coalesce(at, "rationale")).otherwise("outcome not present").alias("rationale"), (known & (F.col("human_review") | missing)).alias("human_review"))
 
 
-def every_outcome(df: DataFrame, note: str = "note_text") -> DataFrame:
+def every_outcome(df: DataFrame, note: str = "note_text", rubric: Rubric = CORE) -> DataFrame:
     """Grade a note for each outcome of the rubric: a row per outcome that the note describes, whatever its outcome column says."""
-    rows = df.withColumn("outcome", F.explode(F.array(*map(F.lit, OUTCOMES))))
-    return predicted(rows, note).where("predicted_grade >= 0")
+    rows = df.withColumn("outcome", F.explode(F.array(*map(F.lit, rubric.outcomes))))
+    return predicted(rows, note, rubric).where("predicted_grade >= 0")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.alignment import supported
 from ..functions.rubric import OUTCOMES
 
 ANSWER = "outcome string, predicted_grade int, evidence array<string>, rationale string, confidence string, human_review boolean, bad string"
@@ -35,8 +36,13 @@ def allowed(outcome: Column, grade: Column) -> Column:
 
 
 def grounded(evidence: Column, note: Column) -> Column:
-    """Every piece of evidence occurs in the note, letters in any case; true without evidence."""
-    return F.coalesce(F.forall(evidence, lambda e: F.contains(F.lower(note), F.lower(e))), F.lit(True))
+    """The note supports every piece of evidence, verbatim or by its words (see functions.alignment); true without evidence, false for a null piece."""
+    return F.coalesce(F.forall(evidence, lambda e: supported(e, note)), F.lit(True))
+
+
+def covers(evidence: Column, gold: Column) -> Column:
+    """Some piece of evidence supports the gold evidence; true without gold evidence."""
+    return (F.coalesce(gold, F.lit("")) == "") | F.coalesce(F.exists(evidence, lambda e: supported(gold, e)), F.lit(False))
 
 
 def reviewed(df: DataFrame, note: str = "note_text") -> DataFrame:

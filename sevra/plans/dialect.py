@@ -11,16 +11,9 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Dialect:
     div: str
-    matches: str
-    replace_all: str
-    join_list: str
-    array: str
-    some: str
-    number: str
 
 
-SPARK = Dialect("div", "regexp_like({}, {})", "regexp_replace({}, {}, {})", "array_join({}, '; ')", "array({})", "filter({}, x -> x <> '')", "try_cast(nullif({}, '') AS double)")
-DUCK = Dialect("//", "regexp_matches({}, {})", "regexp_replace({}, {}, {}, 'g')", "array_to_string({}, '; ')", "[{}]", "list_filter({}, lambda x: x <> '')", "try_cast(nullif({}, '') AS double)")
+SPARK, DUCK = Dialect("div"), Dialect("//")
 
 
 def computed(df: DataFrame, steps: list[list[tuple[str, str]]]) -> DataFrame:

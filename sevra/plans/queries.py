@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.rubric import CHEST, OUTCOMES, PAIN, PRIAPISM, RULES, SCOPE, SPLEEN
+from ..functions import alignment
+from ..functions.lexicon import PLURAL
+from ..functions.rubric import CHEST, CORE, OUTCOMES, PAIN, PRIAPISM, RULES, SCOPE, SPLEEN
 from ..operators import grading, metrics, structured
 from ..sources import synthetic
 from ..sources.tables import spread
 from . import views
 from .dialect import DUCK
+from .reading_sql import ctes
 
 NAMES = list(views.PROFILE)
+_NOTE_FACTS = ("admitted", "complication", "infiltrate", "chest_sign", "oxygen", "unstable", "shunt", "death", "pain_minutes", "temperature", "fio2", "hb", "hb_was", "spleen_cm", "priapism_minutes", "conflict", "doubt")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,15 +53,19 @@ def _rules(spark) -> DataFrame:
     return spark.createDataFrame([(r, o, g, c) for r, o, g, c, _ in RULES], "rule string, outcome string, grade int, criterion string")
 
 
-_PATTERN = """CASE WHEN predicted_grade <=> gold_grade THEN 'none' WHEN answered_outcome <> outcome THEN 'outcome' WHEN NOT grounded THEN 'hallucinated'
-    WHEN predicted_grade >= 1 AND gold_grade = 0 THEN 'threshold' WHEN predicted_grade IN (-1, 0) AND gold_grade >= 1 THEN 'insufficient' WHEN well_formed AND NOT covers THEN 'missing_evidence'
-    WHEN predicted_grade >= 1 AND gold_grade >= 1 AND abs(predicted_grade - gold_grade) = 1 THEN 'neighbour' ELSE 'other' END"""
+#: The first that holds names an error. misread: names of thresholds that turn the true grade into the one predicted.
+_PATTERN = """CASE WHEN predicted_grade <=> gold_grade THEN 'none' WHEN answered_outcome <> outcome THEN 'outcome' WHEN NOT grounded THEN 'hallucinated' WHEN predicted_grade IN (-1, 0) AND gold_grade >= 1 THEN 'insufficient'
+    WHEN well_formed AND NOT covers THEN 'missing_evidence' WHEN predicted_grade >= 1 AND gold_grade >= 1 AND abs(predicted_grade - gold_grade) = 1 THEN 'neighbour' WHEN misread <> '' THEN 'threshold' ELSE 'other' END"""
 
 
 def _explained(spark, sf_dir) -> DataFrame:
     ev = F.col("answered_evidence")
-    covers = (F.col("gold_evidence") == "") | F.coalesce(F.array_contains(ev, F.col("gold_evidence")), F.lit(False))
-    out = _replayed(spark, sf_dir).withColumns({"grounded": structured.grounded(ev, F.col("note_text")), "covers": covers, "in_range": structured.allowed(F.col("outcome"), F.col("predicted_grade"))})
+    rows = grading.misreads(_replayed(spark, sf_dir))
+    wrong = F.filter("misreads", lambda m: (m["grade"] == F.col("predicted_grade")) & (F.col("rule_predicted") == F.col("gold_grade")) & (m["grade"] != F.col("gold_grade")))
+    out = rows.withColumns({
+        "grounded": structured.grounded(ev, F.col("note_text")), "covers": structured.covers(ev, F.col("gold_evidence")), "in_range": structured.allowed(F.col("outcome"), F.col("predicted_grade")),
+        "misread": F.array_join(F.transform(wrong, lambda m: m["threshold"]), ","),
+    })
     return out.withColumn("error_pattern", F.expr(_PATTERN))
 
 
@@ -77,7 +85,12 @@ def q_synthetic_cases(spark, sf_dir):
 
 
 def q_note_facts(spark, sf_dir):
-    return grading.with_facts(_cases(spark, sf_dir)).select("case_id", "admitted", "complication", "infiltrate", "chest_sign", "oxygen", "unstable", "shunt", "death", "pain_minutes", "temperature", "fio2", "hb", "hb_was", "spleen_cm", "priapism_minutes")
+    return grading.read(_cases(spark, sf_dir), evidence=False).select("case_id", *(f"facts.{c}" for c in _NOTE_FACTS), F.array_join(F.array_sort("facts.unread"), ",").alias("unread"))
+
+
+def q_threshold_misreads(spark, sf_dir):
+    """Answers that are what the grade would be, had one threshold been misread."""
+    return _explained(spark, sf_dir).where("misread <> ''").select("case_id", "outcome", "gold_grade", "predicted_grade", "misread", "error_pattern")
 
 
 def q_rule_grades(spark, sf_dir):
@@ -265,10 +278,26 @@ def _steps(source: str, steps, keep: str = "*") -> str:
     return f"SELECT {keep} FROM ({sql})"
 
 
+def _supported_sql() -> str:
+    """CTEs that end in supported (case_id, grounded, covers): pairs of evidence and text, aligned by a recursion over a sentence's words."""
+    empty = ", ".join(f"'{w}'" for w in alignment.EMPTY_WORDS)
+    words = lambda t: rf"list_transform(list_filter(regexp_extract_all(regexp_replace(lower({t}), '{PLURAL}', '\1', 'g'), '{alignment.WORD}'), lambda w: w NOT IN ({empty})), lambda w: substr(w, 1, {alignment.STEM}))"
+    return rf"""pieces AS (SELECT case_id, note_text, gold_evidence, unnest(ev) AS e FROM replayed),
+        asks AS (SELECT e AS what, note_text AS text FROM pieces UNION SELECT gold_evidence, e FROM pieces),
+        told_apart AS (SELECT *, contains(lower(text), lower(what)) AS verbatim FROM asks),
+        aligning AS (SELECT what, text, {words("what")} AS x, unnest(regexp_split_to_array(lower(text), '{alignment.SENTENCE}')) AS s FROM told_apart WHERE NOT verbatim),
+        lines AS (SELECT DISTINCT what, text, x, s, {words("s")} AS y FROM aligning WHERE len(x) > 0),
+        lcs AS (SELECT what, text, x, s, y, 0 AS k, list_transform(range(len(x)), lambda i: 0::bigint) AS best FROM lines UNION ALL
+            SELECT what, text, x, s, y, k + 1, list_transform(range(1, len(x) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: CASE WHEN x[i] = y[k + 1] THEN coalesce(best[i - 1], 0) + 1 ELSE best[i] END))) FROM lcs WHERE k < len(y)),
+        aligned AS (SELECT what, text, bool_or(100 * best[len(x)] >= {alignment.SHARE} * len(x)) AS yes FROM lcs WHERE k = len(y) GROUP BY what, text),
+        judged AS (SELECT what, text, verbatim OR coalesce(yes, false) AS yes FROM told_apart LEFT JOIN aligned USING (what, text)),
+        of_pieces AS (SELECT case_id, bool_and(n.yes) AS grounded, bool_or(g.yes) AS covers FROM pieces p JOIN judged n ON n.what = e AND n.text = note_text JOIN judged g ON g.what = gold_evidence AND g.text = e GROUP BY case_id),
+        supported AS (SELECT case_id, coalesce(grounded, true) AS grounded, gold_evidence = '' OR coalesce(covers, false) AS covers FROM replayed LEFT JOIN of_pieces USING (case_id))"""
+
+
 def oracle_sql() -> dict[str, str]:
     cases = _steps("SELECT * FROM events", synthetic.columns(DUCK), ", ".join(synthetic.KEPT))
-    facts = _steps("SELECT * FROM cases", grading.fact_columns(DUCK))
-    graded = _steps("SELECT * FROM facts", grading.grade_columns() + grading.reason_columns(DUCK))
+    graded = _steps("SELECT * FROM facts", grading.grade_columns() + grading.reason_columns(contains="list_contains({}, {})"))
     pay_of = lambda s: _steps("SELECT case_id, outcome, gold_grade, gold_evidence FROM cases", synthetic.payload_columns(DUCK, s), "answer_id AS case_id, payload")
     pay = pay_of("rubric_grounded")
     ok = "CASE WHEN json_valid(payload) THEN coalesce(json_type(payload, '$.predicted_grade') IN ('UBIGINT', 'BIGINT'), false) ELSE false END"
@@ -277,8 +306,11 @@ def oracle_sql() -> dict[str, str]:
         FROM cases c LEFT JOIN (SELECT *, CASE WHEN well_formed THEN payload ELSE '{{}}' END AS safe FROM (SELECT *, {ok} AS well_formed FROM {p})) p USING (case_id)"""
     replayed = replayed_of("pay")
     ranges = " OR ".join(f"(outcome = '{o}' AND predicted_grade IN (-1, 0, {', '.join(map(str, g))}))" for o, (_, g) in OUTCOMES.items())
-    explained = f"""SELECT *, {_PATTERN.replace('<=>', 'IS NOT DISTINCT FROM')} AS error_pattern FROM (SELECT *, coalesce(len(list_filter(ev, lambda x: NOT contains(lower(note_text), lower(x)))) = 0, true) AS grounded,
-        gold_evidence = '' OR coalesce(list_contains(ev, gold_evidence), false) AS covers, coalesce({ranges}, false) AS in_range FROM replayed)"""
+    flips = ", ".join(f"CASE WHEN outcome = '{o}' AND ({CORE.misread_sql(t)}) = predicted_grade THEN '{t}' END" for t, o, _ in CORE.thresholds)
+    rule_grade = _steps("SELECT * FROM facts", grading.grade_columns(), "case_id, predicted_grade AS rule_predicted, " + ", ".join(f for f in ("present", "criteria", "rule_grade")))
+    explained = f"""SELECT *, {_PATTERN.replace('<=>', 'IS NOT DISTINCT FROM')} AS error_pattern FROM (SELECT r.*, grounded, covers, coalesce({ranges}, false) AS in_range, coalesce(misread, '') AS misread FROM replayed r JOIN supported USING (case_id)
+        LEFT JOIN (SELECT case_id, array_to_string(list_filter([{flips}], lambda x: x IS NOT NULL), ',') AS misread FROM (SELECT f.*, r.predicted_grade, rule_predicted FROM facts f JOIN ({rule_grade}) USING (case_id) JOIN replayed r USING (case_id))
+            WHERE rule_predicted = gold_grade AND predicted_grade <> gold_grade) USING (case_id))"""
     scored = "SELECT case_id, patient_id, outcome, gold_grade, predicted_grade, 'rules' AS model FROM graded UNION ALL SELECT case_id, patient_id, outcome, gold_grade, predicted_grade, 'replay' FROM replayed"
     rules = "SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{o}', {g}, '{c}')" for r, o, g, c, _ in RULES) + ") t(rule, outcome, grade, criterion)"
     scope = ", ".join(f"({i}, '{n}', {'NULL' if o is None else repr(o)}, {'NULL' if o is None else OUTCOMES[o][0]}, {'NULL' if o is None else len(OUTCOMES[o][1])})" for i, n, o in SCOPE)
@@ -297,12 +329,13 @@ def oracle_sql() -> dict[str, str]:
     asks = "'Answer in JSON with \"outcome\", \"predicted_grade\", \"evidence\", \"rationale\", \"confidence\" and \"human_review\".'"
     text = f"concat('Grade this outcome: ', outcome, chr(10), {{}}'Note:', chr(10), note_text, chr(10), {asks})"
     lines = "(SELECT outcome, string_agg(concat(grade, ': ', criterion), chr(10) ORDER BY grade, criterion) AS lines FROM rules GROUP BY outcome)"
-    base = f"WITH cases AS ({cases}), facts AS ({facts}), graded AS ({graded}), pay AS ({pay}), replayed AS ({replayed}), explained AS ({explained}), reviewed AS ({reviewed}), scored AS ({scored}), rules AS ({rules}) "
+    base = f"WITH RECURSIVE cases AS ({cases}), {ctes()}, graded AS ({graded}), pay AS ({pay}), replayed AS ({replayed}), {_supported_sql()}, explained AS ({explained}), reviewed AS ({reviewed}), scored AS ({scored}), rules AS ({rules}) "
     profile = "SELECT patient_id, " + ", ".join(f"max(predicted_grade) FILTER (outcome = '{o}') AS {n}" for o, n in zip([PAIN, CHEST, SPLEEN, PRIAPISM], NAMES, strict=True)) + " FROM graded GROUP BY patient_id"
     out = {
         "rubric_grades": "SELECT * FROM rules",
         "synthetic_cases": "SELECT * EXCLUDE (ts) FROM cases",
-        "note_facts": "SELECT case_id, admitted, complication, infiltrate, chest_sign, oxygen, unstable, shunt, death, pain_minutes, temperature, fio2, hb, hb_was, spleen_cm, priapism_minutes FROM facts",
+        "note_facts": f"SELECT case_id, {', '.join(_NOTE_FACTS)}, array_to_string(list_sort(unread), ',') AS unread FROM facts",
+        "threshold_misreads": "SELECT case_id, outcome, gold_grade, predicted_grade, misread, error_pattern FROM explained WHERE misread <> ''",
         "rule_grades": "SELECT case_id, outcome, gold_grade, predicted_grade, array_to_string(evidence, '; ') AS evidence, rationale, human_review FROM graded",
         "flagged_cases": "SELECT case_id, patient_id, outcome, predicted_grade, " + ", ".join(grading.TRIGGERS) + " FROM graded WHERE human_review",
         "review_rates": "SELECT outcome, count(*) AS cases, " + n_of(("human_review", *grading.TRIGGERS)) + " FROM graded GROUP BY outcome",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rubric import Rubric, parsed
+
 ENTRY = "outcome string, booklet_page int, definition string, diagnostic_criteria string, validation string, grades map<string,string>"
 
 
@@ -17,3 +19,18 @@ def read_rubric(spark: SparkSession, path: str) -> DataFrame:
     entries = text.select(F.input_file_name().alias("file"), F.explode(F.from_json("value", "map<string,string>")).alias("key", "body")).where(~F.startswith("key", F.lit("_")))
     e = entries.select("file", F.from_json("body", ENTRY).alias("e")).select("file", "e.*")
     return e.select("outcome", "booklet_page", "definition", "diagnostic_criteria", "validation", "file", F.explode("grades").alias("g", "criterion")).withColumn("g", F.col("g").cast("int")).withColumnRenamed("g", "grade")
+
+
+#: Most files of rules; their text goes to the driver.
+MAX_FILES = 100
+
+
+def read_rules(spark: SparkSession, path: str) -> Rubric:
+    """The rubric with its conditions from a file, a folder or a glob, to grade by (see functions.rubric.parsed).
+
+    Files are taken in order of their names. More than MAX_FILES of them, and whatever a condition must not hold, are errors.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value").limit(MAX_FILES + 1).collect()
+    if len(files) > MAX_FILES:
+        raise ValueError(f"more than {MAX_FILES} files")
+    return parsed(*(r["value"] for r in sorted(files, key=lambda r: r["file"])))

@@ -46,11 +46,16 @@ def _text(template: str, d: Dialect) -> str:
     return "concat(" + ", ".join(x for x in out if x != "''") + ")"
 
 
+def _true_grade(d: Dialect) -> str:
+    """SQL of the grade that the course of a case's note describes."""
+    return "CASE outcome " + " ".join(f"WHEN '{o}' THEN CASE (case_id {d.div} 4) % {len(g)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(g)) + " END" for o, (_, g) in OUTCOMES.items()) + " END"
+
+
 def columns(d: Dialect) -> list[list[tuple[str, str]]]:
     """Steps of (name, SQL) from event_id, user_id and ts to a labelled case; each step sees the one before."""
     names = list(OUTCOMES)
     outcome = "CASE case_id % 4 " + " ".join(f"WHEN {i} THEN '{o}'" for i, o in enumerate(names)) + " END"
-    true_grade = "CASE outcome " + " ".join(f"WHEN '{o}' THEN CASE (case_id {d.div} 4) % {len(g)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(g)) + " END" for o, (_, g) in OUTCOMES.items()) + " END"
+    true_grade = _true_grade(d)
     course = "CASE " + " ".join(f"WHEN outcome = '{o}' AND true_grade = {g} THEN {_text(t, d)}" for (o, g), t in COURSE.items()) + " END"
     opening = "CASE " + " ".join(f"WHEN outcome = '{o}' THEN CASE WHEN damage = 3 THEN {_text(b, d)} ELSE {_text(a, d)} END" for o, (a, b) in OPENING.items()) + " END"
     extra = "CASE damage " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in EXTRA.items()) + " ELSE '' END"
@@ -84,8 +89,9 @@ def payloads(cases_: DataFrame, strategy: str = "rubric_grounded") -> DataFrame:
 
 def payload_columns(d: Dialect, strategy: str = "rubric_grounded") -> list[list[tuple[str, str]]]:
     fault = {"rubric_grounded": f"(case_id {d.div} 11) % 13", "zero_shot": f"(case_id {d.div} 7) % 9"}[strategy]
-    said = "CASE fault WHEN 2 THEN concat('\"', cast(gold_grade AS string), '\"') WHEN 3 THEN '9' WHEN 5 THEN cast(CASE WHEN gold_grade >= 2 THEN gold_grade - 1 ELSE gold_grade + 1 END AS string) ELSE cast(gold_grade AS string) END"
-    evidence = "CASE WHEN fault = 6 THEN '[\"Liver biopsy\"]' WHEN gold_evidence = '' THEN '[]' ELSE concat('[\"', gold_evidence, '\"]') END"
+    # 9: a value under a threshold taken for one above; 10: evidence in other words.
+    said = f"CASE WHEN fault = 9 AND gold_grade = 0 THEN cast({_true_grade(d)} AS string) ELSE CASE fault WHEN 2 THEN concat('\"', cast(gold_grade AS string), '\"') WHEN 3 THEN '9' WHEN 5 THEN cast(CASE WHEN gold_grade >= 2 THEN gold_grade - 1 ELSE gold_grade + 1 END AS string) ELSE cast(gold_grade AS string) END END"
+    evidence = "CASE WHEN fault = 6 THEN '[\"Liver biopsy\"]' WHEN gold_evidence = '' THEN '[]' ELSE concat('[\"', CASE fault WHEN 10 THEN 'Documented: ' ELSE '' END, gold_evidence, '\"]') END"
     body = "concat('{\"outcome\": \"', outcome, '\", \"predicted_grade\": ', said, ', \"evidence\": ', found, ', \"rationale\": \"', CASE WHEN gold_evidence = '' THEN 'criteria not met' ELSE gold_evidence END, '\", \"confidence\": \"', CASE fault WHEN 7 THEN 'low' ELSE 'high' END, '\", \"human_review\": ', CASE WHEN fault = 8 THEN 'true' ELSE 'false' END, '}')"
     return [
         [("fault", fault), ("answer_id", "CASE WHEN case_id % 97 = 5 THEN -1 - case_id ELSE case_id END")],

@@ -73,7 +73,7 @@ def test_review_and_evidence(spark):
     got = {r["case_id"]: r for r in graded(spark.createDataFrame(notes, "case_id long, outcome string, note_text string")).collect()}
     assert {k: [t for t in TRIGGERS if r[t]] for k, r in got.items()} == {1: ["q1"], 2: [], 3: ["guard"], 4: ["guard"], 5: ["q2"], 6: ["q5"]}
     assert all(r["human_review"] == (k != 2) for k, r in got.items()) and got[3]["predicted_grade"] == 4 and got[4]["predicted_grade"] == 2
-    assert "bipap" in got[2]["evidence"] and "fio2 30%" in got[4]["evidence"] and "fio2 3" not in got[4]["evidence"]
+    assert "bipap" in got[2]["evidence"] and "fio2 30 %" in got[4]["evidence"] and "fio2 3" not in got[4]["evidence"]
     assert all(len(set(r["evidence"])) == len(r["evidence"]) for r in got.values()) and "splenic sequestration" in got[5]["evidence"]
 
 
