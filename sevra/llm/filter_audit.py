@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that a task holds while it looks for copies among its own rows.
-HELD = 64 << 20
+#: Bytes of text that a task holds while it looks for copies among its own rows, and that a routed partition gets, about.
+HELD, ROUTED = 64 << 20, 64 << 20
 _CAPITALS = bytes(range(65, 91))
 _SYMBOLS = b"#$%&*|"
 #: Bytes that continue a code point.
@@ -134,7 +134,8 @@ def masks(df: DataFrame, key: str = "doc_id", text: str = "text", part: str = "l
     """
     spark = df.sparkSession
     rows = df.select(F.col(f"`{key}`"), F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")), F.col(f"`{text}`")).rdd
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.getNumPartitions())
+    total = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // ROUTED)
     routed = rows.mapPartitions(lambda it: _screened(it, filters, held)).repartitionAndSortWithinPartitions(parts, lambda k: k)
     found = routed.mapPartitions(lambda it: _chained(it, 1 << len(filters)))
     return spark.createDataFrame(found, f"id {df.schema[key].dataType.simpleString()}, part string, n long, mask int", verifySchema=False)
