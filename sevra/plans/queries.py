@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +11,19 @@ from pyspark.sql.window import Window
 
 from ..functions import alignment
 from ..functions.lexicon import PLURAL
-from ..functions.rubric import CHEST, CORE, OUTCOMES, PAIN, PRIAPISM, RULES, SCOPE, SPLEEN
-from ..operators import grading, metrics, structured
-from ..sources import synthetic
+from ..functions.rubric import CHEST, CORE, CORE_TEXT, OUTCOMES, PAIN, PRIAPISM, RULES, SCOPE, SPLEEN, parsed
+from ..operators import answers, grading, metrics, structured
+from ..sources import sinks, staging, synthetic
+from ..sources.rubric_file import read_rules
+from ..sources.staging import staged
 from ..sources.tables import spread
 from . import views
 from .dialect import DUCK
 from .reading_sql import ctes
 
 NAMES = list(views.PROFILE)
+#: Thresholds of the changed rubric: outcome, id, condition.
+CHANGED = ((PAIN, "T1", "pain_minutes >= 180"), (CHEST, "T2", "temperature >= 38.4"), (CHEST, "T6", "fio2 >= 40"), (SPLEEN, "T9", "spleen_cm - spleen_was >= 3.999999"), (PRIAPISM, "T10", "priapism_minutes > 60"))
 _NOTE_FACTS = ("admitted", "complication", "infiltrate", "chest_sign", "oxygen", "unstable", "shunt", "death", "pain_minutes", "temperature", "fio2", "hb", "hb_was", "spleen_cm", "priapism_minutes", "conflict", "doubt")
 
 
@@ -38,9 +43,9 @@ def _predicted(spark, sf_dir) -> DataFrame:
     return grading.predicted(_cases(spark, sf_dir))
 
 
-def _replayed(spark, sf_dir, strategy: str = "rubric_grounded") -> DataFrame:
+def _replayed(spark, sf_dir, strategy: str = "rubric_grounded", cases: DataFrame | None = None) -> DataFrame:
     """Recorded answers joined with the truth from the left, so that unanswered cases stay."""
-    cases = _cases(spark, sf_dir)
+    cases = _cases(spark, sf_dir) if cases is None else cases
     return cases.join(structured.parsed(synthetic.payloads(cases, strategy)), "case_id", "left")
 
 
@@ -249,8 +254,59 @@ def q_run_provenance(spark, sf_dir):
 
 def q_published_views(spark, sf_dir):
     """The dashboard's views, registered and read by SQL."""
-    names = views.publish(_graded(spark, sf_dir), structured.reviewed(_replayed(spark, sf_dir)))
-    return spark.sql(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in names))
+    cases = staged(_cases(spark, sf_dir))
+    names = views.publish(grading.graded(cases), structured.reviewed(_replayed(spark, sf_dir, cases=cases)))
+    return spark.sql(" UNION ALL ".join(f"SELECT '{n.removeprefix(views.PREFIX)}' AS name, count(*) AS n FROM {n}" for n in names))
+
+
+def q_metric_cells(spark, sf_dir):
+    """Accuracy and kappa of two runs from their stored cells: each run adds its own, and no row is read again."""
+    at = staging.folder(spark)
+    for run, rows in (("rules", _predicted(spark, sf_dir)), ("replay", _replayed(spark, sf_dir))):
+        sinks.add_cells(metrics.cells(rows, "outcome"), at, run)
+    cells = sinks.read_cells(spark, at)
+    return metrics.accuracy_of_cells(cells, "run_id").join(metrics.kappa_of_cells(cells, "run_id").drop("n"), "run_id")
+
+
+def q_episodes(spark, sf_dir):
+    """Encounters by episode of six hours, with the stage in the note's own words."""
+    return metrics.episodes(_predicted(spark, sf_dir))
+
+
+def q_episode_totals(spark, sf_dir):
+    return metrics.episode_totals(_predicted(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))).select("patient_id", F.unix_micros("begun").alias("begun"), F.unix_micros("ended").alias("ended"), "encounters", "worst")
+
+
+def q_rules_from_file(spark, sf_dir):
+    """Grades under the package's rubric against those under a file with other thresholds: written, read back, checked and compiled."""
+    at = staging.folder(spark)
+    spark.createDataFrame([(_changed_text(),)], "value string").write.text(at)
+    rules, cases = read_rules(spark, at), _cases(spark, sf_dir)
+    both = grading.predicted(grading.predicted(cases).withColumnRenamed("predicted_grade", "before"), rubric=rules)
+    return both.groupBy("outcome", "before", F.col("predicted_grade").alias("after")).agg(F.count("*").alias("n"))
+
+
+def q_asked_cases(spark, sf_dir):
+    """The answer store after two runs over the cases, of which the first could not answer every third: no case is asked twice once it has an answer."""
+    prompts = structured.prompts(_cases(spark, sf_dir), _rules(spark)).where("strategy = 'zero_shot'").select("case_id", "prompt")
+    store = staging.folder(spark)
+    for run, every in (("first", 3), ("second", 0)):
+        answers.ask(prompts, _replier(every), store, "replier", "zero_shot", run, batches=2)
+    return answers.answers(spark, store).select("case_id", "payload", F.col("n_failed").alias("failed"))
+
+
+def _replier(refused: int):
+    """A stand-in for a model: answers with the length of the prompt, but for lengths that `refused` divides."""
+
+    def make():
+        def ask(texts: list[str]) -> list[str]:
+            if refused and len(texts[0]) % refused == 0:
+                raise TimeoutError("no answer")
+            return [str(len(t)) for t in texts]
+
+        return ask
+
+    return make
 
 
 def q_conversation_order(spark, sf_dir):
@@ -278,6 +334,13 @@ def _steps(source: str, steps, keep: str = "*") -> str:
     return f"SELECT {keep} FROM ({sql})"
 
 
+def _changed_text() -> str:
+    doc = json.loads(CORE_TEXT)
+    for outcome, threshold, condition in CHANGED:
+        doc[outcome]["thresholds"][threshold] = condition
+    return json.dumps(doc)
+
+
 def _supported_sql() -> str:
     """CTEs that end in supported (case_id, grounded, covers): pairs of evidence and text, aligned by a recursion over a sentence's words."""
     empty = ", ".join(f"'{w}'" for w in alignment.EMPTY_WORDS)
@@ -331,6 +394,11 @@ def oracle_sql() -> dict[str, str]:
     lines = "(SELECT outcome, string_agg(concat(grade, ': ', criterion), chr(10) ORDER BY grade, criterion) AS lines FROM rules GROUP BY outcome)"
     base = f"WITH RECURSIVE cases AS ({cases}), {ctes()}, graded AS ({graded}), pay AS ({pay}), replayed AS ({replayed}), {_supported_sql()}, explained AS ({explained}), reviewed AS ({reviewed}), scored AS ({scored}), rules AS ({rules}) "
     profile = "SELECT patient_id, " + ", ".join(f"max(predicted_grade) FILTER (outcome = '{o}') AS {n}" for o, n in zip([PAIN, CHEST, SPLEEN, PRIAPISM], NAMES, strict=True)) + " FROM graded GROUP BY patient_id"
+    stage = "CASE WHEN contains(note_text, 'died') THEN 5 WHEN contains(note_text, 'discharged') THEN 4 WHEN contains(note_text, 'Admitted') THEN 2 WHEN contains(note_text, 'Seen in the') THEN 1 END"
+    begun = f"SELECT *, {stages}[ordinal] AS stage, CASE WHEN ts - lag(ts) OVER (PARTITION BY patient_id ORDER BY ts, ordinal NULLS FIRST, case_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS begins FROM (SELECT * EXCLUDE (stage), {stage} AS ordinal FROM graded)"
+    kap_all = """SELECT model AS run_id, n, exact_pct, within_one_pct, within_one_graded_pct, (agree / n::double - chance / (n::double * n)) / nullif(1 - chance / (n::double * n), 0) AS kappa FROM (""" + acc.format(by="model") + """) JOIN
+        (SELECT model, count(*) FILTER (predicted_grade = gold_grade) AS agree FROM scored GROUP BY model) USING (model) JOIN (SELECT model, sum(g * q)::double AS chance FROM (SELECT model, gold_grade AS k, count(*) AS g FROM scored GROUP BY ALL)
+        JOIN (SELECT model, coalesce(predicted_grade, -9) AS k, count(*) AS q FROM scored GROUP BY ALL) USING (model, k) GROUP BY model) USING (model)"""
     out = {
         "rubric_grades": "SELECT * FROM rules",
         "synthetic_cases": "SELECT * EXCLUDE (ts) FROM cases",
@@ -366,6 +434,13 @@ def oracle_sql() -> dict[str, str]:
         "prompt_texts": f"SELECT case_id, strategy, length(prompt) AS n_chars, md5(prompt) AS digest FROM (SELECT case_id, 'zero_shot' AS strategy, {text.format('')} AS prompt FROM cases UNION ALL SELECT case_id, 'rubric_grounded', {text.format("'Criteria:', chr(10), lines, chr(10), ")} FROM cases JOIN {lines} USING (outcome))",
         "rubric_file_grades": "SELECT case_id, g.outcome, predicted_grade, coalesce(criterion, rationale) AS rationale, human_review FROM graded g LEFT JOIN rules r ON r.outcome = g.outcome AND r.grade = g.predicted_grade",
         "every_outcome": "SELECT case_id, outcome, predicted_grade FROM (" + _steps(f"SELECT * EXCLUDE (outcome), unnest([{', '.join(repr(o) for o in OUTCOMES)}]) AS outcome FROM facts", grading.grade_columns()) + ") WHERE predicted_grade >= 0",
+        "metric_cells": kap_all,
+        "episodes": f"""SELECT patient_id, case_id, predicted_grade, episode, cast(row_number() OVER w AS int) AS encounter_seq, stage, predicted_grade - lag(predicted_grade) OVER w AS change, max(predicted_grade) OVER (w ROWS UNBOUNDED PRECEDING) AS worst,
+            coalesce(ordinal >= max(ordinal) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS in_order FROM (SELECT *, cast(sum(begins) OVER (PARTITION BY patient_id ORDER BY ts, ordinal NULLS FIRST, case_id) AS int) AS episode FROM ({begun}))
+            WINDOW w AS (PARTITION BY patient_id, episode ORDER BY ts, ordinal NULLS FIRST, case_id)""",
+        "episode_totals": f"SELECT patient_id, epoch_us(min(ts)) AS begun, epoch_us(max(ts)) AS ended, count(*) AS encounters, max(predicted_grade) AS worst FROM (SELECT *, sum(begins) OVER (PARTITION BY patient_id ORDER BY ts, case_id) AS e FROM ({begun.replace('ordinal NULLS FIRST, ', '')})) GROUP BY patient_id, e",
+        "rules_from_file": f"SELECT outcome, before, predicted_grade AS after, count(*) AS n FROM ({_steps('SELECT * EXCLUDE (present, criteria, rule_grade, predicted_grade, rationale, doubtful, q1, q2, q3, q4, q5, guard, human_review), predicted_grade AS before FROM graded', grading.grade_columns(parsed(_changed_text())))}) GROUP BY ALL",
+        "asked_cases": f"SELECT case_id, cast(length(p) AS varchar) AS payload, cast(length(p) % 3 = 0 AS bigint) AS failed FROM (SELECT case_id, {text.format('')} AS p FROM cases)",
         "patient_encounters": "SELECT patient_id, case_id, cast(row_number() OVER (PARTITION BY patient_id ORDER BY ts, case_id) AS int) AS encounter_seq, stage, ts = min(ts) OVER (PARTITION BY patient_id) AS at_first FROM cases",
         "run_provenance": "SELECT 'rules' AS model_name, '2' AS model_version, 'none' AS prompt_version, '1' AS schema_version, 'events' AS case_version, '2024-02-29' AS evaluated_on, 'pyspark 4' AS package_versions, '0' AS temperature, count(*) AS n FROM graded",
         "published_views": "SELECT 'patient_view' AS name, count(*) AS n FROM cases UNION ALL SELECT 'severity_profile', count(DISTINCT patient_id) FROM cases UNION ALL SELECT 'severity_trajectory', count(*) FROM graded WHERE predicted_grade >= 1 UNION ALL "

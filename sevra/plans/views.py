@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rubric import CHEST, PAIN, PRIAPISM, SPLEEN
 from ..operators import metrics
+from ..sources.staging import staged
 
 PROFILE = {"pain": PAIN, "chest": CHEST, "spleen": SPLEEN, "priapism": PRIAPISM}
 
@@ -19,13 +20,23 @@ def patient_view(df: DataFrame) -> DataFrame:
     )
 
 
-def publish(graded: DataFrame, answers: DataFrame) -> list[str]:
-    """Register the views of graded cases (with human_review) and reviewed answers; returns their names. Nothing is computed before a view is read."""
+#: What stands before the names of registered views.
+PREFIX = "sevra_"
+
+
+def publish(graded: DataFrame, answers: DataFrame, prefix: str = PREFIX) -> list[str]:
+    """Register the views of graded cases (with human_review) and reviewed answers; returns their names, prefix included. A view of that name is replaced.
+
+    Graded cases are worked out once and written to the shared folder, as are
+    the cells that all counts derive from; answers are computed when their view is read.
+    """
+    rows = staged(graded.drop("note_text"))
+    cells = staged(metrics.cells(rows, "outcome"))
     views = {
-        "patient_view": patient_view(answers), "severity_profile": metrics.severity_profile(graded, list(PROFILE.values()), list(PROFILE)), "severity_trajectory": metrics.trajectory(graded.where("predicted_grade >= 1")),
-        "grade_distribution": metrics.distribution(graded, "predicted_grade", "outcome"), "outcome_distribution": metrics.distribution(graded, "outcome"), "truth_vs_predicted": metrics.confusion(graded, "outcome"),
-        "accuracy_by_outcome": metrics.accuracy(graded, "outcome"), "confusion_matrix": metrics.confusion_matrix(graded), "flagged_cases": graded.where("human_review"),
+        "patient_view": patient_view(answers), "severity_profile": metrics.severity_profile(rows, list(PROFILE.values()), list(PROFILE)), "severity_trajectory": metrics.trajectory(rows.where("predicted_grade >= 1")),
+        "grade_distribution": metrics.distribution_of_cells(cells, "predicted_grade", "outcome"), "outcome_distribution": metrics.distribution_of_cells(cells, "outcome"), "truth_vs_predicted": metrics.confusion_of_cells(cells, "outcome"),
+        "accuracy_by_outcome": metrics.accuracy_of_cells(cells, "outcome"), "confusion_matrix": metrics.confusion_matrix_of_cells(cells), "flagged_cases": rows.where("human_review"),
     }
     for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return list(views)
+        df.createOrReplaceTempView(f"{prefix}{name}")
+    return [f"{prefix}{name}" for name in views]

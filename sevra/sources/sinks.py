@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,13 @@ def write_answers(df: DataFrame, path: str, column: str = "answer_json") -> None
 def write_endpoints(graded: DataFrame, path: str) -> None:
     """Grades as a dataset partitioned by outcome."""
     graded.write.mode("overwrite").partitionBy("outcome").parquet(path)
+
+
+def add_cells(cells: DataFrame, path: str, run_id: str) -> None:
+    """Metric cells of a run (see metrics.cells) beside those of others; writing a run again replaces its cells, so none counts twice."""
+    write_predictions(cells, path, run_id)
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of all runs, with run_id; metrics of any grouping add them up."""
+    return spark.read.parquet(path)
