@@ -14,9 +14,14 @@ all: first with the one whose buckets are largest, then, where a bucket still
 spans several components, with the like of another component. What is still
 apart goes through an exact prefix join: shingles are ordered by their
 frequency, rarest first, and two sets can only be linked if they share one
-among the first of both. So no link between candidates is lost, nothing inside a component is
-repeated, and members of a large group that have a few shingles of their own
-meet nobody.
+among the first of both. Before two rows meet there, each is held against the
+other's whole component: how many of its shingles occur there at all bounds
+what it can have in common with any member. So no link between candidates is
+lost, nothing inside a component is repeated, and members of a large group that
+have a few shingles of their own meet nobody.
+
+Sets hold hashes of 64 bits, and links are confirmed on whole sets of these:
+exact but for chance collisions (see textvec.Words.strong).
 """
 
 from __future__ import annotations
@@ -42,7 +47,7 @@ _SIGMA = 77
 def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, first): the sorted distinct shingles of each text one after another; first has n_docs + 1 indices."""
     lengths = np.diff(w.first)
-    key = mix(w.hash, 1)
+    key = mix(w.strong(), 1)
     full = key.copy()
     for k in range(1, min(size, len(key))):
         full[: len(full) - k] = mix(full[: len(full) - k] * U(0x9E3779B97F4A7C15) + key[k:], k + 1)
@@ -172,15 +177,23 @@ def prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int, steps: Steps) -
     # Of each shingle those stay that may meet the smallest and are met by the widest.
     per = heads.groupBy("token").agg(F.count("*").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("smallest"), F.max("most").alias("widest")).where("lo < hi").select("token", "f", "smallest", "widest")
     heads = steps.staged(join_groups(heads, steps.staged(per), ["token"], "f").where("most >= smallest and n <= widest").drop("f", "smallest", "widest"))
-    named = lambda k: heads.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("label", "rep", "n", "most")))
-    side = lambda k: named(k).groupBy("token", f"{k}_label").agg(F.min(f"{k}_n").alias(f"{k}_lo"), F.max(f"{k}_most").alias(f"{k}_hi"))
-    x, y = side("x"), side("y")
-    differ = x.join(y, (x["token"] == y["token"]) & (F.col("x_label") < F.col("y_label")) & (F.col("x_lo") <= F.col("y_hi")) & (F.col("y_lo") <= F.col("x_hi"))).select(x["token"].alias("token"), "x_label", "y_label", "y_lo", "y_hi")
-    x = named("x")
-    met = differ.join(x.withColumnsRenamed({"token": "t", "x_label": "l"}), (F.col("token") == F.col("t")) & (F.col("x_label") == F.col("l")) & (F.col("x_n") <= F.col("y_hi")) & (F.col("y_lo") <= F.col("x_most"))).drop("t", "l", "y_lo", "y_hi")
-    y = named("y").withColumnsRenamed({"token": "t", "y_label": "l"})
-    met = met.join(y, (F.col("token") == F.col("t")) & (F.col("y_label") == F.col("l")) & (F.col("x_n") <= F.col("y_most")) & (F.col("y_n") <= F.col("x_most")))
-    return met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"), F.lit(1).cast("long").alias("m")).distinct()
+    # Which components may a row meet: those that hold one of its heads, with sizes that fit.
+    sides = heads.groupBy("token", F.col("label").alias("other")).agg(F.min("n").alias("lo"), F.max("most").alias("hi"))
+    met = heads.join(sides, "token").where("label <> other AND n <= hi AND lo <= most").groupBy("rep", "n", "label", "other").agg(F.min("lo").alias("lo"))
+    met = steps.staged(met)
+    # Of these, those that hold enough of its shingles, wherever they stand: as many as it can share with any of their rows.
+    smallest = rows.groupBy(F.col("label").alias("other")).agg(F.min("n").alias("least_n"))
+    held = shared.select("token", F.col("label").alias("other")).distinct()
+    common = met.join(shared.select("rep", "token"), "rep").join(held, ["token", "other"]).groupBy("rep", "n", "label", "other").agg(F.count("*").alias("c"))
+    able = common.join(smallest, "other").where((100 + percent) * F.col("c") >= percent * (F.col("n") + F.col("least_n"))).select("rep", "label", "other")
+    able = steps.staged(able)
+    mutual = able.join(able.select(F.col("other").alias("label"), F.col("label").alias("other")).distinct(), ["label", "other"])
+    open_ = steps.staged(heads.join(mutual.select("rep", "other"), "rep"))
+    named = lambda k: open_.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("label", "other", "rep", "n", "most")))
+    x, y = named("x"), named("y").withColumnRenamed("token", "t")
+    both = (F.col("token") == F.col("t")) & (F.col("x_label") == F.col("y_other")) & (F.col("x_other") == F.col("y_label"))
+    pairs = x.where("x_label < x_other").join(y.where("y_label > y_other"), both & (F.col("x_n") <= F.col("y_most")) & (F.col("y_n") <= F.col("x_most")))
+    return pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"), F.lit(1).cast("long").alias("m")).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -189,8 +202,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     Link: 100 * intersection >= percent * union of the two sets. Null and
     blank texts have n_shingles 0 and their own component. Rows that share a
     key are one document, whose text is the smallest of theirs, and all get its
-    result. Rows with a null key are left out of all groups and kept. Columns
-    besides key and text are not read. An empty table gives none.
+    result. Rows with a null key are left out of all groups and kept. Keys are
+    whole numbers, or text of such; other text is an error. Columns besides key
+    and text are not read. An empty table gives none.
     """
     small_batches(df.sparkSession)
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -208,6 +222,8 @@ def _grouped(texts: DataFrame, size: int, percent: int) -> DataFrame:
     steps = Steps()
     staged = steps.staged
     sigs = staged(texts.mapInArrow(_signatures(size), "id long, n long, d1 long, d2 long, bands array<long>"))
+    # What the result reads holds no band keys.
+    ids = staged(sigs.select("id", "n", "d1", "d2"))
     some = sigs.where("n > 0 and id is not null")
     own = ["rep", "n"]
     classes = some.groupBy("d1", "d2", "n").agg(F.min(F.struct(F.col("id").alias("rep"), "bands")).alias("r"), F.count("*").alias("members"))
@@ -242,13 +258,13 @@ def _grouped(texts: DataFrame, size: int, percent: int) -> DataFrame:
         done = done.union(new)
     named = classes.select("d1", "d2", "members", "rep").join(labels, "rep", "left")
     named = staged(named.select("d1", "d2", "members", F.coalesce("label", "rep").alias("component_id")))
-    out = join_groups(sigs.select("id", "n", "d1", "d2").where("n > 0 and id is not null"), named, ["d1", "d2"], "members").select("id", "n", "component_id")
-    out = out.unionByName(sigs.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")))
-    steps.drop_but(sigs, named)
+    out = join_groups(ids.where("n > 0 and id is not null"), named, ["d1", "d2"], "members").select("id", "n", "component_id")
+    out = out.unionByName(ids.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")))
+    steps.drop_but(ids, named)
     return out
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """df without all but the smallest key of each group; columns stay. Null keys stay."""
+    """df without all but the smallest key of each group; columns stay. Null keys stay, and all rows that share the key that stays, equal ones too. An empty table stays empty."""
     gone = near_duplicates(df, key, text, size, percent).where(~F.col("kept")).select(F.col(key))
     return df.join(gone, key, "left_anti")

@@ -17,6 +17,9 @@ U = np.uint64
 _P = 0x9E3779B97F4A7C15
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256).astype(U) | U(1)
 _POW: dict[str, np.ndarray] = {"p": np.ones(1, U), "i": np.ones(1, U)}
+#: Primes and bases of a second hash: modulo 2^64 alone, words made for it (such as long ones of two letters that mirror each other) are known to collide.
+_PRIMES = ((2**31 - 1, 1_103_515_245), (2**31 - 19, 1_664_525_003))
+_PRIME_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Bytes of text handled at once, so that the working arrays stay small; a longer text is one slice.
 SLICE = 1 << 19
 
@@ -30,6 +33,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["p"], _POW["i"]
 
 
+def _prime_powers(prime: int, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo a prime, by doubling."""
+    known = _PRIME_POW.get(prime)
+    if known is None or len(known[0]) < n:
+        out = []
+        for b in (base % prime, pow(base, -1, prime)):
+            powers = np.ones(1, np.int64)
+            while len(powers) < n:
+                powers = np.concatenate((powers, powers * pow(b, len(powers), prime) % prime))
+            out.append(powers)
+        known = _PRIME_POW[prime] = (out[0], out[1])
+    return known
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64-bit values."""
     x = x + U((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64)
@@ -59,6 +76,17 @@ class Words:
         #: Index of the first word of each text, and the number of words at the end.
         self.first = np.searchsorted(self.doc, np.arange(self.n_docs + 1))
 
+    def strong(self) -> np.ndarray:
+        """Hashes of the words from hash and from polynomials modulo two primes. Different words share one only by chance: of two words of n bytes, with about 2^-64, or (n / 2^31)^2 where they were made to collide modulo 2^64."""
+        out, b = self.hash, self.bytes.astype(np.int64) + 1
+        for prime, base in _PRIMES:
+            power, inverse = _prime_powers(prime, base, max(SLICE, len(b)) + 1)
+            total = np.zeros(len(b) + 1, np.int64)
+            np.cumsum(b * power[: len(b)] % prime, out=total[1:])
+            value = (total[self.end] - total[self.start]) % prime * inverse[self.start] % prime
+            out = mix(out * U(_P) + value.astype(U), 7)
+        return out
+
     def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the bytes from start to end."""
         return mix((self._sum[end] - self._sum[start]) * self._inv[start] + (end - start).astype(U))
