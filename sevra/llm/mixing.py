@@ -3,11 +3,11 @@
 The words of each source are packed into blocks of BLOCK words, documents in
 the order of a hash of key and text. The mix is SHARDS output shards of slots,
 a block each. Each shard draws from a multinomial how many of its slots every
-source gets, with the targets as probabilities. A source's slots are numbered
-through the shards; so that its words meet the target to a block, those beyond
-its target's number are cut from the last shards and missing ones are dealt
-over all. Slot k takes block (step * k + shift) mod blocks, a pseudorandom
-permutation of the source's blocks, passed through again after its end. Blocks
+source gets, with the targets as probabilities, and takes so many of its own
+stretch of the source's places (see _slots, which also says how the source
+meets its target). Place k is block (step * k + shift) mod blocks, a
+pseudorandom permutation of the source's blocks. So the draws decide how many
+blocks of each stretch are taken, the permutation which ones these are. Blocks
 join their documents by index.
 """
 
@@ -78,28 +78,40 @@ def draw(shard: int, slots: list[int], seed: int, shards: int = SHARDS) -> np.nd
     return np.random.default_rng([seed, shard]).multinomial(total // shards + (shard < total % shards), np.array(slots) / max(1, total))
 
 
-def _slots(spark: SparkSession, sources: list[dict], seed: int) -> DataFrame:
-    """(source number, shard, slot), drawn shard by shard and repaired to the sources' slots."""
+def _slots(spark: SparkSession, sources: list[dict], seed: int, shards: int) -> DataFrame:
+    """(source number, shard, slot), drawn shard by shard.
+
+    The places of a source's permutation are dealt over the shards, each a
+    stretch of its own. A shard takes its stretch from the front: as many
+    places as it drew slots, passing through it again where it drew more. So
+    that the source meets its target to a block and none is taken more than
+    once beyond another, a shard's number is held between the whole passes
+    that all make and one more; of what is then too much the last shards give
+    up, and what is missing the first shards with room take.
+    """
     goal = [x["slots"] for x in sources]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                n = draw(shard, goal, seed)
+                n = draw(shard, goal, seed, shards)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(np.full(len(n), shard)), pa.array(n)], ["i", "shard", "n"])
 
-    drawn = spark.range(SHARDS if sum(goal) else 0).mapInArrow(run, "i long, shard long, n long").where("n > 0")
-    per = Window.partitionBy("i")
-    goals = F.broadcast(spark.createDataFrame(list(enumerate(goal)), "i long, goal long"))  # one row per source
-    drawn = drawn.withColumn("first", F.sum("n").over(per.orderBy("shard")) - F.col("n")).join(goals, "i")
-    cut = drawn.select("i", "shard", "first", F.least("n", F.col("goal") - F.col("first")).alias("n")).where("n > 0")
-    # A source that no shard drew is missing as a whole.
-    got = goals.join(drawn.groupBy("i").agg(F.sum("n").alias("drawn")), "i", "left").select("i", F.lit(None).cast("long").alias("shard"), F.coalesce("drawn", F.lit(0)).alias("first"), "goal")
-    short = got.select("i", "shard", "first", (F.col("goal") - F.col("first")).alias("n")).where("n > 0")
-    runs = cut.union(short).withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / RUN)))).repartition("i", "shard", "run")
+    drawn = spark.range(shards if sum(goal) else 0).mapInArrow(run, "i long, shard long, n long")
+    goals = F.broadcast(spark.createDataFrame([(i, x["slots"], x["blocks"], x["slots"] // x["blocks"]) for i, x in enumerate(sources) if x["slots"]], "i long, goal long, blocks long, passes long"))  # one row per source
+    edge = lambda k: F.floor(k * F.col("blocks") / F.lit(shards)).cast("long")
+    per = Window.partitionBy("i").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(per), F.lit(0))
+    rows = drawn.join(goals, "i").withColumn("at", edge(F.col("shard"))).withColumn("len", edge(F.col("shard") + 1) - F.col("at")).withColumn("left", F.col("goal") - F.col("passes") * F.col("blocks"))
+    rows = rows.withColumn("want", F.least("len", F.greatest(F.lit(0), F.col("n") - F.col("passes") * F.col("len"))))
+    rows = rows.withColumn("part", F.greatest(F.lit(0), F.least("want", F.col("left") - before("want")))).withColumn("room", F.col("len") - F.col("part"))
+    rows = rows.withColumn("lacking", F.col("left") - F.sum("part").over(Window.partitionBy("i"))).withColumn("part", F.col("part") + F.greatest(F.lit(0), F.least("room", F.col("lacking") - before("room"))))
+    # A pass over the whole stretch each, then the part.
+    passes = F.transform(F.sequence(F.lit(0), F.col("passes")), lambda p: F.struct((p * F.col("blocks") + F.col("at")).alias("first"), F.when(p < F.col("passes"), F.col("len")).otherwise(F.col("part")).alias("n")))
+    runs = rows.select("i", "shard", F.explode(passes).alias("r")).select("i", "shard", "r.*").where("n > 0")
+    runs = runs.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / RUN)))).repartition("i", "shard", "run")
     from_ = F.col("first") + F.col("run") * RUN
-    slots = runs.select("i", "shard", F.explode(F.sequence(from_, F.least(F.col("first") + F.col("n"), from_ + RUN) - 1)).alias("slot"))
-    return slots.select("i", F.coalesce("shard", F.pmod("slot", F.lit(SHARDS))).cast("int").alias("shard"), "slot")
+    return runs.select("i", F.col("shard").cast("int").alias("shard"), F.explode(F.sequence(from_, F.least(F.col("first") + F.col("n"), from_ + RUN) - 1)).alias("slot"))
 
 
 def default_weights(source: str | None, place: int) -> float:
@@ -125,7 +137,7 @@ def _placed(df: DataFrame, key: str, text: str, source: str, weights, whole: boo
     inside = Window.partitionBy("s", "part").orderBy("h", "k", "size", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("end", F.sum("size").over(inside)).join(before, F.col("s").eqNullSafe(F.col("s2")) & (F.col("part") == F.col("p2"))).join(sources, F.col("s").eqNullSafe(F.col("src")))
     placed = placed.select("k", "s", "i", "size", "id", "source_size", "target", (F.col("offset") + F.col("end") - F.col("size")).alias("a"), (F.col("offset") + F.col("end")).alias("b"), F.monotonically_increasing_id().alias("row"))
-    slots = _slots(spark, planned, seed).join(sources.select("i", "blocks", "step", "shift"), "i")
+    slots = _slots(spark, planned, seed, 1 if whole else SHARDS).join(sources.select("i", "blocks", "step", "shift"), "i")
     slots = slots.select("i", "shard", "slot", F.pmod(F.pmod("slot", "blocks") * F.col("step") + F.col("shift"), "blocks").alias("block"))
     return steps.staged(placed), slots, sources
 
@@ -173,8 +185,8 @@ def resampled(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     """df as the mix takes it, in whole rows: each row as often as its words are taken, rounded; columns stay.
 
     Here blocks keep their order, which is that of a hash of the documents: the
-    permutation acts on documents, so that a pass over part of a source takes
-    whole ones, all but the one at its end. A source's words differ from its
+    permutation acts on documents, and there is one shard, so that a pass over
+    part of a source takes whole ones, all but the one at its end. A source's words differ from its
     target by at most half of that row and a block. Rows are told apart by
     their place, not by key: null and repeated keys stay, each row by itself.
     Columns of any name stay as they are. An empty table gives none.

@@ -31,11 +31,21 @@ def test_mix_follows_its_draws(spark):
     drawn = [mixing.draw(k, goal, mixing.SEED) for k in range(mixing.SHARDS)]
     want = {}
     for i, x in enumerate(planned):
-        at, shards = 0, []
+        blocks, goal_ = x["blocks"], x["slots"]
+        edges = [k * blocks // mixing.SHARDS for k in range(mixing.SHARDS + 1)]
+        passes = goal_ // blocks if blocks else 0
+        parts, left = [], goal_ - passes * blocks
         for k in range(mixing.SHARDS):
-            shards += [k] * int(drawn[k][i])
-        shards = shards[: x["slots"]] + [k % mixing.SHARDS for k in range(len(shards), x["slots"])]
-        want |= {(x["source"], at): (k, (at * x["step"] + x["shift"]) % x["blocks"]) for at, k in enumerate(shards)}
+            parts.append(min(max(0, int(drawn[k][i]) - passes * (edges[k + 1] - edges[k])), edges[k + 1] - edges[k], left))
+            left -= parts[-1]
+        for k in range(mixing.SHARDS):
+            more = min(left, edges[k + 1] - edges[k] - parts[k])
+            parts[k] += more
+            left -= more
+        for k in range(mixing.SHARDS):
+            slots = [p * blocks + at for p in range(passes) for at in range(edges[k], edges[k + 1])] + [passes * blocks + edges[k] + j for j in range(parts[k])]
+            want |= {(x["source"], slot): (k, (slot % blocks * x["step"] + x["shift"]) % blocks) for slot in slots}
+        assert sum(s == x["source"] for s, _ in want) == goal_
     assert {(r["source"], r["slot"]): (r["shard"], r["block"]) for r in got} == want
     # A pass takes every block once, and a block's spans are the words of BLOCK places.
     for x in planned:

@@ -7,10 +7,12 @@ from collections import Counter
 from itertools import permutations
 from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 
-from sevra.llm import filter_audit, resampling, token_counts
+from sevra.llm import common, filter_audit, minhash, mixing, resampling, textvec, token_counts
 
 SPACED = regex.compile(r"[^\x20\x09-\x0D]+")
 
@@ -168,3 +170,94 @@ def test_resampling_edges(spark):
     assert {(r["doc_id"], r["n_features"], r["rank"]) for r in got} == {(1, 2, None), (2, 0, None)} and [r["weight"] for r in got if r["doc_id"] == 2] == [0]
     tied = spark.createDataFrame([(2, "w " * 20), (2, "w " * 20), (3, "v " * 20)], schema)
     assert sorted(r["rank"] for r in resampling.resampled(tied, some, percent=100).collect()) == [1, 2, 3]
+
+
+def test_other_draws_change_what_is_taken(spark, monkeypatch):
+    """The same permutations with other draws: other words are taken, as many of each source."""
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.choice([0, 5, 30, 130, 700]), rng.choice(["a", "hot", "hot", "hot", None])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    draw = mixing.draw
+    got = []
+    for change in (0, 1):
+        monkeypatch.setattr(mixing, "draw", lambda shard, slots, seed, shards=mixing.SHARDS, c=change: draw(shard, slots, seed + c, shards))
+        got.append({r["doc_id"]: (r["taken"], r["target"]) for r in mixing.mixed(docs).collect()})
+    one, other = got
+    assert sum(one[i] != other[i] for i in one) > 20
+    size = {i: len(t) // 2 for i, t, _ in rows}
+    for result in got:
+        taken, target = Counter(), {}
+        for i, _, s in rows:
+            taken[s] += result[i][0]
+            target[s] = result[i][1]
+            assert result[i][0] <= 3 * size[i]
+        assert all(abs(taken[s] - target[s]) <= 2 * mixing.BLOCK for s in target)
+
+
+@pytest.mark.parametrize("members", [30, 90])
+def test_families_just_below_the_threshold_do_not_meet(spark, members, monkeypatch):
+    """Three families that differ at two places each, with one changed word per text: alike at 0.78, so no pair may be compared, at any size."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for family in range(3):
+        own = list(base)
+        own[40 * family + 10] = own[40 * family + 30] = f"family{family}"
+        for i in range(members):
+            text = list(own)
+            text[140] = f"t{family}x{i}"
+            rows.append((len(rows), family, " ".join(text)))
+    found = []
+    real = minhash.prefix_pairs
+    monkeypatch.setattr(minhash, "prefix_pairs", lambda *a: found.append(real(*a).count()) or real(*a))
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, size=3, percent=85).collect()}
+    assert got == {i: family * members for i, family, _ in rows}
+    # The last turn by itself, with every row in it.
+    steps = common.Steps()
+    sets = docs.withColumnRenamed("doc_id", "id").mapInArrow(minhash._sets(3), "id long, shingles array<long>")
+    labels = spark.createDataFrame([(i, family) for i, family, _ in rows], "rep long, label long")
+    sized = sets.selectExpr("id AS rep", "size(shingles) AS n").selectExpr("rep", "cast(n AS long) AS n").join(labels, "rep")
+    assert real(sized, sets, 85, steps).count() == 0 and not any(found)
+
+
+def test_last_turn_misses_no_link(spark):
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(40)]
+    rows = []
+    for i in range(120):
+        text = rng.choices(words, k=30) if i % 4 == 0 or not rows else [w if rng.random() > 0.04 else rng.choice(words) for w in rows[-1][1]]
+        rows.append((i, text))
+    sets = {i: {tuple(t[k : k + 3]) for k in range(len(t) - 2)} for i, t in rows}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "id long, text string")
+    hashed = docs.mapInArrow(minhash._sets(3), "id long, shingles array<long>")
+    labels = {i: i // 4 * 4 + (i % 4 > 1) * 2 for i, _ in rows}  # halves of families, so that many links are open
+    sized = spark.createDataFrame([(i, len(sets[i]), labels[i]) for i, _ in rows], "rep long, n long, label long")
+    got = {(r["a"], r["b"]) for r in minhash.prefix_pairs(sized, hashed, 80, common.Steps()).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and labels[a] != labels[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert want and want <= got and len(got) < 10 * len(want)
+
+
+def test_mirrored_words_stay_apart(spark):
+    """Words that collide in every polynomial modulo 2^64: the first is a Thue-Morse word, the second its mirror."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    one, other = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    w = next(textvec.slices(pa.array([f"{one} {other} x x"])))[2]
+    assert len(set(w.hash.tolist())) < 3 and len(set(w.strong().tolist())) == 3
+    rows = [(1, f"{one} one two three"), (2, f"{other} one two three"), (3, one), (4, other)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_strong_hashes_by_hand():
+    texts = ["Ab ab  c", "", None, "é é \t ab", "x" * 3000 + " ab"]
+    for at, to, w in textvec.slices(pa.array(texts)):
+        words = [x.lower() for t in texts[at:to] for x in (t or "").split()]
+        by_word = {}
+        for word, h in zip(words, w.strong().tolist(), strict=True):
+            assert by_word.setdefault(word, h) == h
+        assert len(set(by_word.values())) == len(by_word)
+    for prime, base in textvec._PRIMES:
+        power, inverse = textvec._prime_powers(prime, base, 5000)
+        assert all(int(power[i]) == pow(base, i, prime) and int(power[i]) * int(inverse[i]) % prime == 1 for i in (0, 1, 2, 77, 4999))
+    assert np.all(textvec.mix(np.arange(9, dtype=np.uint64)) != 0)
