@@ -12,11 +12,11 @@ from pyspark.sql.window import Window
 from ..functions import alignment
 from ..functions.lexicon import PLURAL
 from ..functions.rubric import CHEST, CORE, CORE_TEXT, OUTCOMES, PAIN, PRIAPISM, RULES, SCOPE, SPLEEN, parsed
-from ..operators import answers, grading, metrics, structured
+from ..operators import answers, grading, metrics, raters, structured
 from ..sources import sinks, staging, synthetic
 from ..sources.rubric_file import read_rules
 from ..sources.staging import staged
-from ..sources.tables import spread
+from ..sources.tables import read_raw, spread
 from . import views
 from .dialect import DUCK
 from .reading_sql import ctes
@@ -295,6 +295,25 @@ def q_asked_cases(spark, sf_dir):
     return answers.answers(spark, store).select("case_id", "payload", F.col("n_failed").alias("failed"))
 
 
+def q_rater_agreement(spark, sf_dir):
+    """Krippendorff's alpha of three raters, of which two leave cases out: the rules and both ways of asking."""
+    cols = ["case_id", "outcome", F.col("predicted_grade").alias("grade")]
+    asked = [_replayed(spark, sf_dir, s).where("predicted_grade BETWEEN -1 AND 5").select(*cols, F.lit(s).alias("rater")) for s in structured.STRATEGIES]
+    return raters.alpha(_predicted(spark, sf_dir).select(*cols, F.lit("rules").alias("rater")).unionByName(asked[0]).unionByName(asked[1]), "outcome")
+
+
+def q_raw_notes(spark, sf_dir):
+    """Notes read from files of a raw area and graded; rows that don't fit are set aside with their reason and counted."""
+    at = staging.folder(spark)
+    key = F.when(F.col("case_id") % 1000 == 7, F.concat(F.lit("x"), F.col("case_id").cast("string"))).otherwise(F.col("case_id").cast("string"))
+    note = F.when(F.col("case_id") % 1000 != 8, F.col("note_text"))
+    outcome = F.when(F.col("case_id") % 1000 == 9, F.lit("Gout")).otherwise(F.col("outcome"))
+    _cases(spark, sf_dir).select(key.alias("case_id"), "patient_id", "stage", outcome.alias("outcome"), "gold_grade", note.alias("note_text")).write.csv(at, header=True, quote='"', escape='"')
+    cases, aside = read_raw(spark, at)
+    graded = grading.predicted(cases).groupBy("outcome", "predicted_grade").agg(F.count("*").alias("n"))
+    return graded.select(F.lit(None).cast("string").alias("reason"), "outcome", "predicted_grade", "n").unionByName(aside.groupBy("reason").agg(F.count("*").alias("n")).select("reason", F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("int").alias("predicted_grade"), "n"))
+
+
 def _replier(refused: int):
     """A stand-in for a model: answers with the length of the prompt, but for lengths that `refused` divides."""
 
@@ -399,6 +418,19 @@ def oracle_sql() -> dict[str, str]:
     kap_all = """SELECT model AS run_id, n, exact_pct, within_one_pct, within_one_graded_pct, (agree / n::double - chance / (n::double * n)) / nullif(1 - chance / (n::double * n), 0) AS kappa FROM (""" + acc.format(by="model") + """) JOIN
         (SELECT model, count(*) FILTER (predicted_grade = gold_grade) AS agree FROM scored GROUP BY model) USING (model) JOIN (SELECT model, sum(g * q)::double AS chance FROM (SELECT model, gold_grade AS k, count(*) AS g FROM scored GROUP BY ALL)
         JOIN (SELECT model, coalesce(predicted_grade, -9) AS k, count(*) AS q FROM scored GROUP BY ALL) USING (model, k) GROUP BY model) USING (model)"""
+    zero = replayed_of(f"({pay_of('zero_shot')})")
+    ones = " + ".join(f"(u >= {t})::int" for t in raters.WEIGHTS)
+    alpha = f"""SELECT outcome, max(cases) FILTER (r = 0) AS cases, max(ratings) FILTER (r = 0) AS ratings, max(alpha) FILTER (r = 0) AS alpha, (list(alpha ORDER BY alpha) FILTER (r > 0 AND alpha IS NOT NULL))[{-(-raters.REPLICATES * raters.TAIL // 100):.0f}] AS low,
+        (list(alpha ORDER BY alpha) FILTER (r > 0 AND alpha IS NOT NULL))[{-(-raters.REPLICATES * (100 - raters.TAIL) // 100):.0f}] AS high FROM (
+        SELECT outcome, r, sum(w) AS cases, sum(w * m)::bigint AS ratings, 1 - (sum(w * m) - 1) * sum(w * apart) / nullif(power(sum(w * m), 2) - any_value(same), 0) AS alpha FROM (
+            SELECT u.outcome, u.case_id, r, w, m, (m * m - sq) / (m - 1)::double AS apart, same FROM (
+                SELECT outcome, case_id, sum(k)::double AS m, sum(k * k)::double AS sq FROM (SELECT outcome, case_id, grade, count(*) AS k FROM rated GROUP BY ALL) GROUP BY ALL HAVING sum(k) > 1) u
+            JOIN drawn USING (case_id) JOIN (SELECT outcome, r, sum(power(n, 2)) AS same FROM (SELECT outcome, r, grade, sum(w)::double AS n FROM (SELECT *, count(*) OVER (PARTITION BY outcome, case_id) AS m FROM rated) JOIN drawn USING (case_id) WHERE m > 1 GROUP BY ALL) GROUP BY ALL) USING (outcome, r))
+        GROUP BY outcome, r) GROUP BY outcome"""
+    drawn = f"""SELECT case_id, 0 AS r, 1::bigint AS w FROM cases UNION ALL SELECT case_id, 8 * k + j + 1 AS r, ({ones})::bigint AS w FROM (SELECT case_id, k, j, ('0x' || substr(md5(concat(case_id, ':', k)), (4 * j + 1)::int, 4))::int AS u
+        FROM cases, (SELECT unnest(range({-(-raters.REPLICATES // 8)})) AS k), (SELECT unnest(range(8)) AS j)) WHERE 8 * k + j < {raters.REPLICATES}"""
+    rated = f"SELECT case_id, outcome, predicted_grade AS grade FROM graded UNION ALL SELECT case_id, outcome, predicted_grade FROM replayed WHERE predicted_grade BETWEEN -1 AND 5 UNION ALL SELECT case_id, outcome, predicted_grade FROM ({zero}) WHERE predicted_grade BETWEEN -1 AND 5"
+    alpha = f", drawn AS ({drawn}), rated AS ({rated}) {alpha}"
     out = {
         "rubric_grades": "SELECT * FROM rules",
         "synthetic_cases": "SELECT * EXCLUDE (ts) FROM cases",
@@ -434,6 +466,9 @@ def oracle_sql() -> dict[str, str]:
         "prompt_texts": f"SELECT case_id, strategy, length(prompt) AS n_chars, md5(prompt) AS digest FROM (SELECT case_id, 'zero_shot' AS strategy, {text.format('')} AS prompt FROM cases UNION ALL SELECT case_id, 'rubric_grounded', {text.format("'Criteria:', chr(10), lines, chr(10), ")} FROM cases JOIN {lines} USING (outcome))",
         "rubric_file_grades": "SELECT case_id, g.outcome, predicted_grade, coalesce(criterion, rationale) AS rationale, human_review FROM graded g LEFT JOIN rules r ON r.outcome = g.outcome AND r.grade = g.predicted_grade",
         "every_outcome": "SELECT case_id, outcome, predicted_grade FROM (" + _steps(f"SELECT * EXCLUDE (outcome), unnest([{', '.join(repr(o) for o in OUTCOMES)}]) AS outcome FROM facts", grading.grade_columns()) + ") WHERE predicted_grade >= 0",
+        "rater_agreement": alpha,
+        "raw_notes": """SELECT CASE case_id % 1000 WHEN 7 THEN 'does not fit the schema' WHEN 8 THEN 'no note' WHEN 9 THEN 'no such outcome' END AS reason, CASE WHEN case_id % 1000 NOT IN (7, 8, 9) THEN outcome END AS outcome,
+            CASE WHEN case_id % 1000 NOT IN (7, 8, 9) THEN predicted_grade END AS predicted_grade, count(*) AS n FROM graded GROUP BY ALL""",
         "metric_cells": kap_all,
         "episodes": f"""SELECT patient_id, case_id, predicted_grade, episode, cast(row_number() OVER w AS int) AS encounter_seq, stage, predicted_grade - lag(predicted_grade) OVER w AS change, max(predicted_grade) OVER (w ROWS UNBOUNDED PRECEDING) AS worst,
             coalesce(ordinal >= max(ordinal) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS in_order FROM (SELECT *, cast(sum(begins) OVER (PARTITION BY patient_id ORDER BY ts, ordinal NULLS FIRST, case_id) AS int) AS episode FROM ({begun}))

@@ -10,10 +10,11 @@ from test_reading import NOTES as WORDED
 
 from sevra.functions import alignment
 from sevra.functions.rubric import CHEST, CORE, CORE_TEXT, PAIN, SPLEEN, parsed
-from sevra.operators import answers, metrics
+from sevra.operators import answers, metrics, raters
 from sevra.operators.grading import graded, misreads, predicted
-from sevra.sources import sinks
-from sevra.sources.rubric_file import read_rules
+from sevra.sources import sinks, yaml_subset
+from sevra.sources.rubric_file import read_rubric, read_rules
+from sevra.sources.tables import read_raw
 from sevra.streaming.episodes import episode_stream
 from pyspark.sql import functions as F
 
@@ -210,3 +211,106 @@ def test_episode_totals_of_a_stream_equal_those_of_a_table(spark, tmp_path):
     assert got and not got - want
     end = max(r[0] for r in rows)
     assert all(k[2].timestamp() > end - 7 * 3600 for k in want - got)
+
+
+def test_alpha_of_a_worked_example(spark):
+    """Three raters of fifteen cases with missing ratings, whose alphas are published: 0.691 by name, 0.811 by distance."""
+    a, b, c = "* * * * * 3 4 1 2 1 1 3 3 * 3", "1 * 2 1 3 3 4 3 * * * * * * *", "* * 2 1 3 4 4 * 2 1 1 3 3 * 4"
+    rows = [(i, r, None if g == "*" else int(g)) for r, line in zip("abc", (a, b, c), strict=True) for i, g in enumerate(line.split())]
+    df = spark.createDataFrame([*rows, (None, "a", 1)], "case_id long, rater string, grade int")
+    for metric, want in (("nominal", 0.691), ("interval", 0.811)):
+        r = raters.alpha(df, metric=metric).first()
+        assert (r["cases"], r["ratings"]) == (12, 26) and r["alpha"] == pytest.approx(want, abs=5e-4) and r["low"] < r["alpha"] < r["high"] <= 1
+    assert raters.alpha(df.where("grade = 3")).first()["alpha"] is None
+    assert raters.alpha(df.where("rater = 'a'")).count() == 0 or raters.alpha(df.where("rater = 'a'")).first()["alpha"] is None
+    with pytest.raises(Exception, match="no such grade"):
+        raters.alpha(df.withColumn("grade", F.lit(9))).collect()
+
+
+def test_alpha_and_its_intervals_by_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(i, r, rng.choice([None, 1, 2, 2, 5, -1])) for i in range(60) for r in "abcd"]
+    got = raters.alpha(spark.createDataFrame(rows, "case_id long, rater string, grade int"), metric="interval").first()
+    draws = {r["case_id"]: r["w"] for r in spark.range(60).select(F.col("id").alias("case_id"), raters.weights(F.col("id")).alias("w")).collect()}
+    units = {i: [g for k, _, g in rows if k == i and g is not None] for i in range(60)}
+    units = {i: g for i, g in units.items() if len(g) > 1}
+
+    def by_hand(weight):
+        pairs = [(weight(i) / (len(g) - 1), x, y) for i, g in units.items() for j, x in enumerate(g) for k, y in enumerate(g) if j != k]
+        n = Counter()
+        for i, g in units.items():
+            for x in g:
+                n[x] += weight(i)
+        total = n.total()
+        return 1 - (total - 1) * sum(w * (x - y) ** 2 for w, x, y in pairs) / sum(n[x] * n[y] * (x - y) ** 2 for x in n for y in n)
+
+    again = sorted(by_hand(lambda i, r=r: draws[i][r]) for r in range(raters.REPLICATES))
+    assert got["alpha"] == pytest.approx(by_hand(lambda i: 1)) and got["low"] == pytest.approx(again[0]) and got["high"] == pytest.approx(again[38])
+    mean = sum(sum(w) for w in draws.values()) / (60 * raters.REPLICATES)
+    assert abs(mean - 1) < 0.06 and len({tuple(w) for w in draws.values()}) == 60
+
+
+def test_raw_rows_are_graded_or_set_aside(spark, tmp_path):
+    good = f'{{}},1,Discharge,{PAIN},3,"Acute pain episode with pain for 5 hours, treated with morphine. Admitted."'
+    rows = [good.format(1), good.format("x2"), f"3,1,Discharge,{PAIN},3,", "4,1,Discharge,Gout,3,note", f"5,1,Discharge,{PAIN},9,note", f",1,Discharge,{PAIN},3,note", f"7,1,Discharge,{PAIN}", good.format(8).replace(",3,", ",three,")]
+    (tmp_path / "a.csv").write_text("case_id,patient_id,stage,outcome,gold_grade,note_text\n" + "\n".join(rows) + "\n")
+    (tmp_path / "b.csv").write_text("case_id,patient_id,stage,outcome,gold_grade,note_text\n" + good.format(9) + "\n")
+    cases, aside = read_raw(spark, str(tmp_path))
+    assert {r["case_id"]: r["predicted_grade"] for r in graded(cases).collect()} == {1: 3, 9: 3}
+    got = Counter((r["reason"], r["file"].split("/")[-1]) for r in aside.collect())
+    assert got == {("does not fit the schema", "a.csv"): 3, ("no note", "a.csv"): 1, ("no such outcome", "a.csv"): 1, ("grade outside of -1 to 5", "a.csv"): 1, ("no case_id", "a.csv"): 1}
+    assert good.format("x2") in {r["row"] for r in aside.collect()}
+
+
+YAML = """# a rubric
+---
+_source: 'a ''booklet'''
+"X (one)":
+  outcome: X (one)
+  booklet_page: 7   # page
+  definition: >
+    two lines
+    of text
+  diagnostic_criteria: "c: d # no comment"
+  validation: v
+  grades:
+    1: one
+    "3": 'three'
+  present: pain
+  criteria: T1 and analgesic
+  when:
+    1: visit
+    3: admitted
+  thresholds:
+    T1: pain_minutes >= 120
+  review:
+  - death
+  overlaps: [1, 3]
+"""
+
+
+def test_yaml_says_what_json_says(spark, tmp_path):
+    doc = {"outcome": "X (one)", "booklet_page": 7, "definition": "two lines of text", "diagnostic_criteria": "c: d # no comment", "validation": "v", "grades": {"1": "one", "3": "three"}, "present": "pain", "criteria": "T1 and analgesic"}
+    doc = {"_source": "a 'booklet'", "X (one)": doc | {"when": {"1": "visit", "3": "admitted"}, "thresholds": {"T1": "pain_minutes >= 120"}, "review": ["death"], "overlaps": [1, 3]}}
+    assert yaml_subset.parsed_yaml(YAML) == doc
+    for name, body in (("r.yaml", YAML), ("r.json", json.dumps(doc))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / name).write_text(body)
+    one, two = (read_rubric(spark, str(tmp_path / n)).drop("file") for n in ("r.yaml", "r.json"))
+    assert Counter(map(tuple, one.collect())) == Counter(map(tuple, two.collect())) and one.count() == 2
+    assert read_rules(spark, str(tmp_path / "r.yaml")) == read_rules(spark, str(tmp_path / "r.json"))
+    lines = []
+    for outcome, entry in json.loads(CORE_TEXT).items():
+        lines.append(f"{json.dumps(outcome)}: {json.dumps(entry)}" if isinstance(entry, str) else f"{json.dumps(outcome)}:")
+        for key, value in entry.items() if isinstance(entry, dict) else ():
+            lines += [f"  {key}:", *(f"    {json.dumps(a)}: {json.dumps(b)}" for a, b in value.items())] if isinstance(value, dict) else [f"  {key}: {json.dumps(value)}"]
+    assert yaml_subset.parsed_yaml("\n".join(lines)) == json.loads(CORE_TEXT) and parsed(yaml_subset.as_json("\n".join(lines))) == CORE
+
+
+@pytest.mark.parametrize(
+    "text,line",
+    [("a:\n  b: 1\n   c: 2", 3), ("a:\n    b: 1\n  c: 2", 3), ("a: 1\n\tb: 2", 2), ("a: 1\na: 2", 2), ("a:\n  - x\n  y: 1", 3), ("a: 'x", 1), ("a: [1, 2", 1), ("a: {b: 1}", 1), ("just text", 1), ("a: 1\n- b", 2)],
+)
+def test_yaml_errors_name_the_line(text, line):
+    with pytest.raises(yaml_subset.YamlError, match=f"f.yaml, line {line}: "):
+        yaml_subset.parsed_yaml(text, "f.yaml")
