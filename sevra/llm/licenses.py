@@ -14,7 +14,9 @@ Tokens are ordered by their frequency in all blocks, rarest first; then
 - length filter: the block has at least `need` tokens of any template,
 - positional filter: from a shared token on, enough tokens remain in both,
 
-and candidates are counted exactly. Tokens outside all templates can't count
+and candidates are counted exactly. A set says nothing of order, so the scan
+then asks for the template's neighbouring words as well (PAIRS): words of a
+notice that are strewn over a window are none. Tokens outside all templates can't count
 towards any of them and are dropped at the start.
 """
 
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import let, staged
 
 THRESHOLD = 0.8
+#: In scans, the least share of a template's pairs of neighbouring words that the window must hold as neighbours too, and the least number of them (or all), and each token that tells the template apart in one of these pairs.
+PAIRS, LEAST_PAIRS = 0.6, 4
 #: Most tokens of all templates together; templates are broadcast, so their size is checked.
 MAX_TEMPLATE_TOKENS = 100_000
 #: Phrases of the base and their labels (fixed values).
@@ -53,6 +57,11 @@ TEMPLATES = (
         for x, name in (("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"), ("by-nd", "Attribution-NoDerivatives"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives"))
     ),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("unlicense", "This is free and unencumbered software released into the public domain.", ("unencumbered",)),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License", ("eclipse",)),
+    *((label, f"SPDX-License-Identifier: {name}", ("identifier", name.lower().split("-")[0])) for label, name in (("mit", "MIT"), ("apache", "Apache-2.0"), ("bsd", "BSD-3-Clause"), ("mpl", "MPL-2.0"), ("isc", "ISC"), ("epl", "EPL-2.0"), ("unlicense", "Unlicense"), ("cc0", "CC0-1.0"))),
+    *(("gpl", f"SPDX-License-Identifier: GPL-{v}-{x}", ("identifier", "gpl")) for v in ("2.0", "3.0") for x in ("only", "or-later")),
 )
 _GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,9 +76,27 @@ def _small(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
-def _python_tokens(text: str) -> list[str]:
+def _python_words(text: str) -> list[str]:
     out = "".join(c.lower() if "A" <= c <= "Z" else c if c.isdigit() and c < "\x80" or "a" <= c <= "z" or c >= "\x80" else " " for c in text)
-    return sorted(set(out.split()))
+    return out.split()
+
+
+def _python_tokens(text: str) -> list[str]:
+    return sorted(set(_python_words(text)))
+
+
+def _python_pairs(text: str) -> list[str]:
+    w = _python_words(text)
+    return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
+
+
+def _need_pairs(share: float, n: int) -> int:
+    return max(math.ceil(round(share * n, 9)), min(n, LEAST_PAIRS))
+
+
+def _neighbours(words: Column) -> Column:
+    """The pairs of neighbouring words."""
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def _phrases(spaced: Column, phrases: dict[str, str]) -> Column:
@@ -95,13 +122,14 @@ def _span(text: str) -> int:
     return 1 << max(3, (len("".join(c if c.isalnum() else " " for c in text).split()) - 1).bit_length())
 
 
-def matches(df: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[tuple, ...] = TEMPLATES, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
-    """(key, block, label, template, containment) of every pair of block and template at or above the threshold.
+def matches(df: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[tuple, ...] = TEMPLATES, threshold: float = THRESHOLD, windows: bool = False, pairs: float = 0.0) -> DataFrame:
+    """(key, block, label, template, containment) of every pair of block and template at or above the threshold, and with that share of pairs (see PAIRS).
 
     A block is a line of a text, numbered from 0, or with windows a window,
     numbered from 0 among those of its length. Null and empty texts have no
-    matches; a template without tokens matches nothing. Rows that share a key
-    share their blocks' numbers, and each gives its own matches.
+    matches, an empty table none; a template without tokens matches nothing.
+    Rows that share a key share their blocks' numbers, and each gives its own
+    matches.
     """
     spark = df.sparkSession
     tokens = {i: _python_tokens(t[1]) for i, t in enumerate(templates)}
@@ -121,7 +149,10 @@ def matches(df: DataFrame, key: str = "doc_id", text: str = "text", templates: t
     if not windows:
         blocks = blocks.select("k", "span", "block", F.split(F.trim(_small(_spaced(F.col("line")))), " ").alias("words"))
     # Texts are read once for blocks: what they have of the templates' tokens is written, then counted over all blocks, then joined.
-    blocks = staged(blocks.select("k", "span", "block", F.array_intersect("words", known).alias("tokens")).where(F.size("tokens") > 0))
+    nearby = {i: _python_pairs(templates[i][1]) for i in tokens}
+    every_pair = F.array(*map(F.lit, sorted({x for ps in nearby.values() for x in ps}) if pairs else [])).cast("array<string>")
+    seen = F.array_intersect(_neighbours(F.col("words")), every_pair) if pairs else every_pair
+    blocks = staged(blocks.select("k", "span", "block", F.array_intersect("words", known).alias("tokens"), seen.alias("pairs")).where(F.size("tokens") > 0))
     # One row per token of the templates: a bounded table.
     counted = blocks.select(F.explode("tokens").alias("token")).groupBy("token").count().collect()
     often = {r["token"]: r["count"] for r in counted}
@@ -129,19 +160,23 @@ def matches(df: DataFrame, key: str = "doc_id", text: str = "text", templates: t
     index, whole = [], []
     for i, t in tokens.items():
         t = sorted(t, key=rank.__getitem__)
-        whole.append((i, templates[i][0], t, list(must[i]), [sorted(set(m) - set(must[i])) for m in must.values() if must[i] and set(m) > set(must[i])]))
+        whole.append((i, templates[i][0], t, nearby[i], _need_pairs(pairs, len(nearby[i])), list(must[i]), [sorted(set(m) - set(must[i])) for m in must.values() if must[i] and set(m) > set(must[i])]))
         index += [(x, spans[i], i, at, len(t), need[i]) for at, x in enumerate(t[: len(t) - need[i] + 1])]
     ordered = F.array(*map(F.lit, sorted(vocabulary, key=rank.__getitem__)))
-    short = blocks.where(F.size("tokens") >= fewest).select("k", "span", "block", F.array_intersect(ordered, F.col("tokens")).alias("tokens"))
+    short = blocks.where(F.size("tokens") >= fewest).select("k", "span", "block", F.array_intersect(ordered, F.col("tokens")).alias("tokens"), "pairs")
     # Block prefix for the least overlap of any template; the join then applies each template's own.
-    prefix = short.withColumn("size", F.size("tokens")).select("k", "span", "block", "tokens", "size", F.posexplode(F.slice("tokens", 1, F.size("tokens") - fewest + 1)).alias("at", "token"))
+    prefix = short.withColumn("size", F.size("tokens")).select("k", "span", "block", "tokens", "pairs", "size", F.posexplode(F.slice("tokens", 1, F.size("tokens") - fewest + 1)).alias("at", "token"))
     postings = F.broadcast(spark.createDataFrame(index, "token string, span int, template int, t_at int, t_size int, need int"))
     found = prefix.join(postings, ["token", "span"]).where((F.col("size") >= F.col("need")) & (F.col("at") <= F.col("size") - F.col("need")) & (F.least(F.col("size") - F.col("at"), F.col("t_size") - F.col("t_at")) + F.least("at", "t_at") >= F.col("need")))
-    found = found.groupBy("k", "span", "block", "template", "tokens").agg(F.first("t_size").alias("t_size"), F.first("need").alias("need"))
-    sets = F.broadcast(spark.createDataFrame(whole, "template int, label string, t_tokens array<string>, must array<string>, others array<array<string>>"))
+    found = found.groupBy("k", "span", "block", "template", "tokens", "pairs").agg(F.first("t_size").alias("t_size"), F.first("need").alias("need"))
+    sets = F.broadcast(spark.createDataFrame(whole, "template int, label string, t_tokens array<string>, t_pairs array<string>, need_pairs int, must array<string>, others array<array<string>>"))
     shared = F.size(F.array_intersect("tokens", "t_tokens"))
     holds = lambda x: F.size(F.array_except(x, F.col("tokens"))) == 0
     own = holds(F.col("must")) & ~F.exists("others", holds)
+    if pairs:
+        both = F.array_intersect("pairs", "t_pairs")
+        placed = F.forall("must", lambda m: (F.size("t_pairs") == 0) | F.exists(both, lambda p: F.array_contains(F.split(p, " "), m)))
+        own = own & (F.size(both) >= F.col("need_pairs")) & placed
     return found.join(sets, "template").withColumn("shared", shared).where((F.col("shared") >= F.col("need")) & own).select(F.col("k").alias(key), "block", "label", "template", (F.col("shared") / F.col("t_size")).alias("containment"))
 
 
@@ -170,7 +205,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: tupl
     rows = df.select(F.struct(F.col(f"`{key}`").cast("long").alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("h")).alias("id"), F.col(f"`{text}`").alias("text"))
     base = rows.select("id", _spaced(F.col("text")).alias("spaced"))
     base = base.select("id", F.when(F.trim(spaced) == "", F.lit(0)).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) - 1).cast("long").alias("n_words"), _phrases(spaced, phrases).alias("p"))
-    by_key = matches(rows, "id", "text", templates, threshold, windows=True).groupBy("id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    by_key = matches(rows, "id", "text", templates, threshold, windows=True, pairs=PAIRS).groupBy("id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     own = F.array_distinct(F.transform("p", lambda x: x["label"]))
     join = lambda x: F.array_join(F.array_sort(x), ",")
     return base.join(by_key, "id", "left").select(
