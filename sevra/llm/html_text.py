@@ -1,12 +1,12 @@
 """Operator 6: main text of web pages from flat text blocks.
 
-A page is cut at block-level tags into flat text blocks. Elements that are no
-text of the page by their own name (navigation, footer, form, comments ...)
-are set aside, and where an article or main element holds the page's text, so
-is what stands outside of it; their blocks stay neighbours. A decision tree,
-fitted to the small labelled table below, says which of the other blocks are
-main text, from word count and link density of the block and its two
-neighbours, whether it is a heading, and whether it stands in an article.
+A page is cut at block-level tags into flat text blocks. A decision tree,
+fitted to the small labelled table below, says which of them are main text:
+from word count and link density of the block and its two neighbours, and from
+what is known of its place: whether it is a heading, stands in an article, in
+an element that is no text of the page by its tag or name (navigation, footer,
+form, comments ...), or outside of the article that holds the page's text, and
+whether it reads like a notice (copyright, log in ...).
 """
 
 from __future__ import annotations
@@ -30,13 +30,13 @@ HIDE = frozenset("head svg".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 ITEMS = frozenset("p li dt dd tr td th option".split())
 HOLDERS = frozenset("ul ol dl table article main div section nav aside footer header form blockquote".split())
-#: Elements that are set aside: by tag, or by a class, id or role whose parts are all in ASIDE_PARTS or OTHER_PARTS, one at least in the first.
+#: Elements that are no text of the page: by tag, or by a class, id or role whose parts are all in ASIDE_PARTS or OTHER_PARTS, one at least in the first.
 ASIDE_TAGS = frozenset("nav header footer aside form menu button select dialog fieldset".split())
 ASIDE_PARTS = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice "
+    "ad ads adsbygoogle advert adverts advertisement banner breadcrumb breadcrumbs cc comment commentlist comments complementary contentinfo cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice "
     "pager pagination popup promo promotion related replies respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
-OTHER_PARTS = frozenset("area article bar block bottom box buttons container global google group inner item items left links list main outer page post posts primary reader right secondary section side site slot thread top unit user wrap wrapper".split())
+OTHER_PARTS = frozenset("area article bar block bottom box buttons container global google group inner item items left links list main outer page post posts primary reader right secondary section side site slot thread top unit user window wrap wrapper".split())
 #: Elements that hold the page's text: by tag, or a div or section by one of its names, if LEAST of the words are in them.
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_NAMES = frozenset("article main post entry story content article-body article-content content-body entry-content main-content post-body post-content story-body".split())
@@ -45,10 +45,11 @@ _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _QUOTE = re.compile("[\"'>]")
+_NOTICE = re.compile(r"^(?:\u00a9|\(c\)|copyright\b|(?:log|sign) (?:in|up)\b)|all rights reserved|\bcookies?\b.*\b(?:accept|consent|policy)\b|\b(?:accept|consent|policy)\b.*\bcookies?\b", re.I)
 
-FEATURES = ("words", "link_density", "before_words", "before_density", "after_words", "after_density", "heading", "in_article")
-#: Labelled blocks, by hand: the features in this order, and 1 for main text.
-LABELLED = (
+FEATURES = ("words", "link_density", "before_words", "before_density", "after_words", "after_density", "heading", "in_article", "aside", "outside", "notice")
+#: Labelled blocks, by hand: the first eight features in this order, and 1 for main text; the others are 0.
+_PLAIN = (
     # Pages without an article element: paragraphs.
     (80, 0, 50, 0, 60, 0, 0, 0, 1), (45, 0.02, 6, 0, 70, 0, 0, 0, 1), (20, 0, 60, 0, 40, 0, 0, 0, 1), (120, 0.05, 80, 0, 4, 1, 0, 0, 1), (60, 0, 3, 1, 4, 1, 0, 0, 1), (35, 0.1, 30, 0, 50, 0, 0, 0, 1),
     (40, 0.1, 4, 1, 5, 1, 0, 0, 1), (25, 0.2, 30, 0, 30, 0, 0, 0, 1), (18, 0.3, 25, 0, 20, 0, 0, 0, 1), (200, 0, 7, 0, 6, 0, 0, 0, 1), (28, 0, 2, 1, 90, 0, 0, 0, 1), (55, 0, 70, 0, 8, 0, 0, 0, 1), (40, 0, 6, 1, 0, 0, 0, 0, 1), (90, 0, 2, 1, 3, 0, 0, 0, 1),
@@ -71,6 +72,23 @@ LABELLED = (
     (7, 0, 5, 1, 0, 0, 0, 1, 1), (10, 0, 4, 1, 0, 0, 0, 1, 1), (12, 0, 3, 1, 0, 0, 0, 1, 1), (14, 0, 2, 1, 0, 0, 0, 1, 1),
     (3, 1, 3, 1, 4, 1, 0, 1, 0), (5, 1, 60, 0, 4, 1, 0, 1, 0), (4, 1, 3, 1, 12, 0, 0, 1, 0), (6, 1, 5, 1, 30, 0, 0, 1, 0), (2, 1, 2, 1, 2, 1, 0, 1, 0), (7, 0.9, 6, 1, 5, 1, 0, 1, 0),
 )
+#: Labelled blocks by their place, all features.
+_PLACED = (
+    # In elements that are no text of the page: menus, but also long comments, adverts and forms among them, in articles and outside.
+    (1, 1, 0, 0, 1, 1, 0, 0, 1, 0, 0, 0), (2, 1, 1, 1, 2, 1, 0, 0, 1, 0, 0, 0), (3, 0, 2, 1, 40, 0, 1, 0, 1, 0, 0, 0), (60, 0, 50, 0, 40, 0, 0, 0, 1, 0, 0, 0), (90, 0.05, 6, 0, 70, 0, 0, 0, 1, 0, 0, 0), (25, 0, 30, 0, 0, 0, 0, 0, 1, 0, 0, 0),
+    (12, 0, 60, 0, 30, 0, 0, 1, 1, 0, 0, 0), (70, 0, 60, 0, 55, 0, 0, 1, 1, 0, 0, 0), (5, 0, 3, 0, 4, 0, 1, 1, 1, 0, 0, 0), (4, 0.5, 90, 0, 80, 0, 0, 1, 1, 0, 0, 0), (150, 0, 12, 0, 9, 0, 0, 0, 1, 0, 0, 0), (18, 0.2, 20, 0, 25, 0, 0, 1, 1, 0, 0, 0),
+    (30, 0, 5, 1, 6, 1, 0, 0, 1, 0, 0, 0), (8, 0, 40, 0, 3, 1, 0, 0, 1, 0, 0, 0), (1, 0, 30, 0, 30, 0, 0, 0, 1, 0, 0, 0), (250, 0, 200, 0, 180, 0, 0, 0, 1, 0, 0, 0), (6, 0, 0, 0, 0, 0, 0, 1, 1, 0, 0, 0), (40, 0, 2, 0, 5, 0, 1, 0, 1, 0, 0, 0),
+    (10, 0, 70, 0, 0, 0, 0, 0, 1, 0, 1, 0), (35, 0.1, 60, 0, 4, 1, 0, 1, 1, 0, 1, 0),
+    # Outside of the article that holds the text.
+    (40, 0, 30, 0, 50, 0, 0, 0, 0, 1, 0, 0), (6, 0, 50, 0, 40, 0, 1, 0, 0, 1, 0, 0), (3, 1, 2, 1, 60, 0, 0, 0, 0, 1, 0, 0), (90, 0.1, 5, 1, 4, 1, 0, 0, 0, 1, 0, 0), (12, 0, 0, 0, 80, 0, 0, 0, 0, 1, 0, 0), (2, 0, 60, 0, 0, 0, 0, 0, 0, 1, 0, 0),
+    (25, 0, 90, 0, 10, 0, 0, 0, 0, 1, 0, 0), (180, 0, 60, 0, 70, 0, 0, 0, 0, 1, 0, 0), (9, 0, 7, 0, 8, 0, 1, 0, 0, 1, 0, 0), (1, 0, 1, 0, 1, 0, 0, 0, 0, 1, 0, 0), (5, 0, 200, 0, 30, 0, 0, 0, 0, 1, 1, 0), (60, 0.02, 45, 0, 0, 0, 0, 0, 0, 1, 0, 0),
+    # What reads like a notice: short lines on pages without an article; not paragraphs, and not lines of an article.
+    (6, 0, 40, 0, 0, 0, 0, 0, 0, 0, 1, 0), (9, 0, 60, 0, 5, 0, 0, 0, 0, 0, 1, 0), (7, 0.3, 30, 0, 8, 0, 0, 0, 0, 0, 1, 0), (14, 0, 80, 0, 0, 0, 0, 0, 0, 0, 1, 0), (20, 0.1, 0, 0, 60, 0, 0, 0, 0, 0, 1, 0), (4, 0, 12, 0, 0, 0, 0, 0, 0, 0, 1, 0),
+    (12, 0, 20, 0, 6, 0, 0, 0, 0, 0, 1, 0), (18, 0.1, 5, 0, 45, 0, 0, 0, 0, 0, 1, 0), (60, 0, 50, 0, 40, 0, 0, 0, 0, 0, 1, 1), (45, 0, 30, 0, 70, 0, 0, 0, 0, 0, 1, 1), (120, 0, 90, 0, 20, 0, 0, 0, 0, 0, 1, 1), (80, 0.02, 6, 0, 60, 0, 0, 0, 0, 0, 1, 1),
+    (8, 0, 50, 0, 40, 0, 0, 1, 0, 0, 1, 1), (15, 0, 60, 0, 70, 0, 0, 1, 0, 0, 1, 1), (5, 0, 3, 0, 90, 0, 1, 1, 0, 0, 1, 1), (40, 0, 60, 0, 50, 0, 0, 1, 0, 0, 1, 1),
+    (3, 0, 43, 0, 8, 0, 0, 1, 0, 0, 1, 1), (3, 0, 9, 0, 13, 0, 0, 1, 0, 0, 1, 1), (4, 0, 82, 0, 12, 0, 0, 1, 0, 0, 1, 1), (2, 0, 5, 0, 14, 0, 0, 1, 0, 0, 1, 1), (5, 0, 70, 0, 0, 0, 0, 1, 0, 0, 1, 1),
+)
+LABELLED = (*((*row[:-1], 0, 0, 0, row[-1]) for row in _PLAIN), *_PLACED)
 
 
 def _tag_end(page: str, at: int, limit: int) -> int:
@@ -127,9 +145,10 @@ class _Page:
         self.depth["hidden"] += hidden
         self.depth["a"] += tag == "a"
         self.depth["heading"] += len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
-        kind = "main" if tag in MAIN_TAGS else "aside" if tag in ASIDE_TAGS or tag not in ("html", "body") and any(map(_is_aside, names)) else "main" if tag in ("div", "section") and any(x in MAIN_NAMES for x in names) else ""
+        named = tag not in ("html", "body") and any(map(_is_aside, names))
+        kind = "aside" if tag in ASIDE_TAGS or named else "main" if tag in MAIN_TAGS or tag in ("div", "section") and any(x in MAIN_NAMES for x in names) else ""
         if kind:
-            self.containers.append([self.at_container, kind, tag if tag in MAIN_TAGS or tag in ASIDE_TAGS else "name"])
+            self.containers.append([self.at_container, kind, "named" if tag in MAIN_TAGS and kind == "aside" else tag if tag in MAIN_TAGS or tag in ASIDE_TAGS else "name"])
             self.at_container = len(self.containers) - 1
 
     def _read(self, page: str) -> None:
@@ -189,8 +208,8 @@ class _Page:
                     self._pop()
             self._push(tag, attributes)
 
-    def judged(self) -> tuple[list[bool], list[bool]]:
-        """(set aside, in an article) of each block."""
+    def placed(self) -> list[tuple[bool, bool, bool]]:
+        """(in an article, aside, outside of the article that holds the text) of each block."""
         boxes = self.containers
         words, holds = [0] * len(boxes), [False] * len(boxes)
         for b in self.blocks:
@@ -201,7 +220,9 @@ class _Page:
         aside, inside = [False] * len(boxes), [False] * len(boxes)
         for i, (outer, kind, tag) in enumerate(boxes[1:], 1):
             # A name, or a form around the page, doesn't set aside what holds an article or most of the words.
-            real = kind == "aside" and not (tag in ("name", "form") and (holds[i] or words[i] > MOST * words[0])) and not (tag == "header" and inside[outer])
+            real = kind == "aside" and not (tag in ("name", "named", "form") and (holds[i] or words[i] > MOST * words[0])) and not (tag == "header" and inside[outer])
+            if tag == "named" and not real:  # an article that only its name calls otherwise
+                boxes[i][1:] = kind, tag = "main", "article"
             aside[i], inside[i] = aside[outer] or real, inside[outer] or kind == "main"
         own = [0] * len(boxes)
         for b in self.blocks:
@@ -213,21 +234,20 @@ class _Page:
             article[i] = article[outer] or kind == "main" and not aside[i] and (tag in MAIN_TAGS or own[i] >= LEAST * own[0])
         mine = sum(b[1] for b in self.blocks if article[b[3]] and not aside[b[3]])
         has = mine > 0 and mine >= LEAST * own[0]
-        return [aside[b[3]] or has and not article[b[3]] for b in self.blocks], [has and article[b[3]] for b in self.blocks]
+        return [(has and article[b[3]], aside[b[3]], has and not article[b[3]]) for b in self.blocks]
 
 
-def blocks(page: str) -> list[tuple[str, bool, list[float]]]:
-    """(text, set aside, features) of the text blocks of a page, in order; blocks of white space only are none."""
+def blocks(page: str) -> list[tuple[str, list[float]]]:
+    """(text, features) of the text blocks of a page, in order; blocks of white space only are none."""
     read = _Page(page)
-    aside, inside = read.judged()
     out = []
-    for i, b in enumerate(read.blocks):
+    for i, (b, place) in enumerate(zip(read.blocks, read.placed(), strict=True)):
         around = [(0, 0.0) if not 0 <= k < len(read.blocks) else (read.blocks[k][1], read.blocks[k][2] / read.blocks[k][1]) for k in (i - 1, i + 1)]
-        out.append((b[0], aside[i], [b[1], b[2] / b[1], *around[0], *around[1], float(b[4]), float(inside[i])]))
+        out.append((b[0], [b[1], b[2] / b[1], *around[0], *around[1], float(b[4]), *map(float, place), float(bool(_NOTICE.search(b[0])))]))
     return out
 
 
-def fit(table=LABELLED, depth: int = 8) -> tuple:
+def fit(table=LABELLED, depth: int = 12) -> tuple:
     """A decision tree by Gini impurity: (feature, threshold, left, right), or the share of main text in a leaf; ties go to the first feature."""
     data = np.array(table, dtype=float)
 
@@ -263,7 +283,7 @@ def default_tree():
 
 def main_text(page: str | None, tree=None) -> str:
     tree = tree or default_tree()
-    return "\n".join(text for text, aside, f in blocks(page or "") if not aside and is_main(tree, f))
+    return "\n".join(text for text, f in blocks(page or "") if is_main(tree, f))
 
 
 def extracted(df: DataFrame, key: str = "page_id", page: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -53,7 +53,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule or trees' verdict on every page's URL."""
+    """Rule or trees' verdict on every page's URL. The trees are trained on url_filter.seed_urls(), made by rules, as no table holds labelled URLs: what their verdicts are worth on real URLs is not known."""
     forest = url_filter.train(spark.createDataFrame(url_filter.seed_urls(), "url string, label int"))
     return url_filter.judged(table(spark, sf_dir, "pages"), forest)
 

@@ -181,6 +181,8 @@ def judged(df: DataFrame, forest: Forest, key: str = "page_id", url: str = "url"
 
     A rule's verdict goes before the score's. Null, empty and relative URLs
     have an empty host and path, fit no rule, and are judged by the trees.
+    Repeated rows and keys give a row each; an empty table gives none. Other
+    columns are not read.
     """
     rows = df.select(F.col(key), F.col(url).alias("_u"))
     host, path = parts(F.col("_u"))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import string
 from collections import Counter
 from itertools import permutations
 from zlib import crc32
@@ -11,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import regex
+from pyspark.sql import functions as F
 
-from sevra.llm import common, filter_audit, minhash, mixing, resampling, textvec, token_counts
+from sevra.llm import common, filter_audit, html_text, licenses, minhash, mixing, quality_mil, resampling, textvec, token_counts, toxicity, url_filter
 
 SPACED = regex.compile(r"[^\x20\x09-\x0D]+")
 
@@ -261,3 +263,154 @@ def test_strong_hashes_by_hand():
         power, inverse = textvec._prime_powers(prime, base, 5000)
         assert all(int(power[i]) == pow(base, i, prime) and int(power[i]) * int(inverse[i]) % prime == 1 for i in (0, 1, 2, 77, 4999))
     assert np.all(textvec.mix(np.arange(9, dtype=np.uint64)) != 0)
+
+
+NOTICES = [
+    ("We met MIT people; the paper was released under the new license.", ""), ("The license was released. Under the bridge the MIT team met.", ""), ("BSD users: the library, released under another license, is old.", ""),
+    ("Released under the MIT License.", "mit"), ("This tool is released under the terms of the MIT license, enjoy.", "mit"), ("Released under the BSD\nLicense.", "bsd"), ("// SPDX-License-Identifier: Apache-2.0", "apache"), ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl"),
+    ("# SPDX-License-Identifier: MIT\nimport os", "mit"), ("SPDX-License-Identifier: ISC", "isc"), ("Permission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted, provided", "isc"), ("The identifier of the license is SPDX; MIT is a school.", ""),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"), ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "epl"), (None, ""), ("", ""), ("license " * 40 + "mit released under the", ""),
+    ("Licensed under CC BY-SA 4.0.", "cc-by-sa"), ("Permission is hereby granted, free of charge, to any person who is obtaining a copy of this software and associated documentation files", "mit"), ("files documentation associated and software this of copy a obtaining person any to charge of free granted hereby is permission", ""),
+]
+
+
+def test_notices_need_their_words_in_place(spark):
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NOTICES)], "doc_id long, text string")).collect()}
+    for i, (text, want) in enumerate(NOTICES):
+        base = {v for k, v in licenses.PHRASES.items() if f" {k} " in f" {' '.join(licenses._python_words(text or ''))} "}
+        assert got[i][0] == ",".join(sorted({*base, *filter(None, [want])})), (text, got[i])
+        assert (got[i][1] >= licenses.THRESHOLD) == bool(got[i][0])
+
+
+def test_scan_equals_every_window_against_every_template(spark):
+    rng = random.Random(7)
+    pool = [w for t in licenses.TEMPLATES for w in licenses._python_words(t[1])] + ["alpha", "beta", "x"]
+    texts = []
+    for _ in range(60):
+        t = licenses._python_words(rng.choice(licenses.TEMPLATES)[1])
+        t = [w if rng.random() > 0.12 else rng.choice(pool) for w in t]
+        texts.append(" ".join(rng.choices(pool, k=rng.randrange(60)) + t + rng.choices(pool, k=rng.randrange(60))))
+
+    def by_hand(text):
+        w = licenses._python_words(text)
+        out = set()
+        musts = [set(t[2]) if len(t) > 2 else set() for t in licenses.TEMPLATES]
+        for (label, t, *_), must in zip(licenses.TEMPLATES, musts, strict=True):
+            span, tokens, near = licenses._span(t), set(licenses._python_tokens(t)), set(licenses._python_pairs(t))
+            for j in range(max(0, (len(w) - span - 1) // span) + 1):
+                window = w[j * span : j * span + 2 * span]
+                held, pairs = set(window), {f"{a} {b}" for a, b in zip(window, window[1:], strict=False)} & near
+                if len(tokens & held) < math.ceil(round(licenses.THRESHOLD * len(tokens), 9)) or not must <= held or any(must and m > must and (m - must) <= held for m in musts):
+                    continue
+                if len(pairs) >= max(0.6 * len(near), min(len(near), 4)) and all(any(m in p.split() for p in pairs) for m in must):
+                    out.add(label)
+        return out | {v for k, v in licenses.PHRASES.items() if f" {k} " in f" {' '.join(w)} "}
+
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {i: ",".join(sorted(by_hand(t))) for i, t in enumerate(texts)}
+    assert got == want and len(set(want.values())) > 8
+
+
+BODY = "Words of the text are here in a row and go on. " * 4
+#: Pages of layouts that the tree's table does not have, with their main text, marked by hand.
+LAYOUTS = [
+    (f"<main><h1>T</h1><p>{BODY}</p><article class='comment'><p>I liked this very much, thank you for it.</p></article></main>", f"T\n{BODY.strip()}"),
+    (f"<article><p>{BODY}</p><ol class='commentlist'><li>First reader here.<li>Second reader too.</ol></article>", BODY.strip()),
+    (f"<article><p>{BODY}</p><div class='adsbygoogle'>Buy a lamp today, it is cheap.</div><p>End of it.</p></article>", f"{BODY.strip()}\nEnd of it."),
+    (f"<div class='cc-window'>This site uses cookies, see the policy.</div><h1>T</h1><p>{BODY}</p><p>{BODY}</p><p>\u00a9 2020 The makers of it</p><p>Log in to leave your thoughts</p>", f"T\n{BODY.strip()}\n{BODY.strip()}"),
+    (f"<article class='post sidebar-right'><p>{BODY}</p><p>All rights reserved.</p></article>", f"{BODY.strip()}\nAll rights reserved."),
+]
+
+
+def test_layouts_marked_by_hand():
+    assert [html_text.main_text(p) for p, _ in LAYOUTS] == [t for _, t in LAYOUTS]
+
+
+def test_the_tree_decides():
+    """Without it, menus and comments are text; it agrees with its own table."""
+    yes = 1.0
+    for page, text in LAYOUTS[:4]:
+        assert html_text.main_text(page, yes) != text and len(html_text.main_text(page, yes)) > len(text)
+    tree = html_text.fit()
+    assert all(html_text.is_main(tree, list(r[:-1])) == bool(r[-1]) for r in html_text.LABELLED) and {len(r) for r in html_text.LABELLED} == {len(html_text.FEATURES) + 1}
+
+
+def _texts():
+    rng = random.Random(21)
+    words = ["Abc", "abc", "ÉTÉ", "naïve", "12", "x#y", "end.", "what?!", "|row|", "é", "你好", "longerword", "longerwords"]
+    return ["", None, "a", " ".join(rng.choice(words) for _ in range(64)), *(" \t".join(rng.choice(words) for _ in range(rng.randrange(1, 200))) for _ in range(12)), "abc abc abc ABC"]
+
+
+def test_passages_by_brute_force():
+    texts = _texts()
+    for at, to, w in textvec.slices(pa.array(texts)):
+        doc, got = quality_mil.passages(w)
+        want = []
+        for d, text in enumerate(texts[at:to]):
+            words = (text or "").encode().split()
+            for part in [words[i : i + 64] for i in range(0, len(words), 64)] or [[]]:
+                n, size = max(1, len(part)), max(1, sum(map(len, part)))
+                lower = [x.lower() for x in part]
+                count = lambda f, p=part: sum(1 for x in p for c in x if f(c))
+                symbols = b"#*$%&|<>"
+                accents = sum(1 for x in part for a, b in zip(x, x[1:], strict=False) if a == 0xC3 and b < 0x9F)
+                row = [math.log1p(len(part)), (sum(map(len, part)) or 1) / n, (count(lambda c: 65 <= c <= 90) + accents) / size, count(lambda c: c in symbols) / size, count(lambda c: 48 <= c <= 57) / size]
+                row += [count(lambda c: chr(c) in string.punctuation and c not in symbols) / size, count(lambda c: c == 33) / n, sum(a == b for a, b in zip(lower, lower[1:], strict=False)) / n, sum(a == b for a, b in zip(lower, lower[2:], strict=False)) / n]
+                row += [len(set(lower)) / n, sum(x[-1:] in (b".", b"!", b"?") for x in part) / n, sum(x[0] in b"|#*$%&<>" for x in part) / n, count(lambda c: c >= 128) / size]
+                want.append((d, row))
+        assert [d for d, _ in want] == doc.tolist()
+        some = [i for i, (d, _) in enumerate(want) if (texts[at + d] or "").split()]
+        assert got[some] == pytest.approx(np.array([want[i][1] for i in some]))
+
+
+def test_toxicity_features_by_brute_force():
+    texts = _texts()
+    for at, to, w in textvec.slices(pa.array(texts)):
+        doc, bucket = toxicity.features(w)
+        want = [[], [], [], []]
+        for d, text in enumerate(texts[at:to]):
+            words = [x.lower() for x in (text or "").encode().split()]
+            want[0] += [(d, (x,)) for x in words]
+            want[1] += [(d, ("begins", x[:5])) for x in words]
+            want[2] += [(d, ("next", a, b)) for a, b in zip(words, words[1:], strict=False)]
+            want[3] += [(d, ("skip", a, b)) for a, b in zip(words, words[2:], strict=False)]
+        rows = [x for kind in want for x in kind]
+        assert [d for d, _ in rows] == doc.tolist()
+        of = {}
+        assert all(of.setdefault(key, b) == b for (_, key), b in zip(rows, bucket.tolist(), strict=True))
+        assert len(set(of.values())) >= len(of) - 1 and max(of.values()) < 1 << toxicity.BITS
+
+
+def test_ftrl_by_brute_force():
+    """Follow the regularised leader coordinate by coordinate, in plain Python."""
+    rng = random.Random(5)
+    rows = [(int(rng.random() < 0.3), sorted(rng.sample(range(40), 8))) for _ in range(120)]
+    rows = [(y, sorted({*x, 41}) if y else x) for y, x in rows]
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.9, 0.05
+    got = toxicity.train([(y, np.array(x)) for y, x in rows], epochs=3, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    z, n, share = Counter(), Counter(), min(0.2, sum(y for y, _ in rows) / len(rows))
+    bias = math.log(share / (1 - share))
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(3):
+        for y, x in rows:
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + bias))) - y
+            for i in x:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    want = {i: weight(i) for i in z if weight(i)}
+    assert dict(zip(got.buckets.tolist(), got.values.tolist(), strict=True)) == pytest.approx(want, rel=1e-3, abs=1e-4) and got.bias == pytest.approx(bias) and want[41] > 0
+
+
+def test_url_queries_and_suffixes_by_brute_force(spark):
+    urls = ["http://a.org/x?p=1&q=2#f", "http://a.org/?", "http://b.zz/x", "http://a.com?x", "x?y&z&", "", None, "http://c.org/a#b?c=1&d"]
+    forest = url_filter.Forest(0.0, [], {"": 0.25, "org": 0.75, "com": 0.5})
+    host, path = url_filter.parts(F.col("u"))
+    names = ("parameters", "query_length", "suffix_rate")
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", *(url_filter.features(F.col("u"), host, path, forest.suffixes)[k].alias(k) for k in names)).collect()
+    for r in rows:
+        query = regex.search(r"\?([^#]*)", r["u"] or "")
+        query = query[1] if query else ""
+        suffix = "org" if ".org" in (r["u"] or "") else "com" if ".com" in (r["u"] or "") else ""
+        assert tuple(r)[1:] == (query.count("&") + 1 if query else 0, len(query), forest.suffixes[suffix]), r
