@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from importlib import metadata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from ..functions.rubric import OUTCOMES
 ANSWER = "outcome string, predicted_grade int, evidence array<string>, rationale string, confidence string, human_review boolean, bad string"
 #: Strategies of asking: the note alone, or with the rubric's criteria.
 STRATEGIES = ("zero_shot", "rubric_grounded")
+#: The fixed parts of a prompt, in order.
+PROMPT = ("Grade this outcome: ", "Criteria:\n", "Note:", 'Answer in JSON with "outcome", "predicted_grade", "evidence", "rationale", "confidence" and "human_review".')
 #: What is recorded with every result, besides generation_params (a map).
 PROVENANCE = ("model_name", "model_version", "prompt_version", "schema_version", "case_version", "evaluated_on", "package_versions")
 
@@ -59,6 +64,25 @@ def reviewed(df: DataFrame, note: str = "note_text") -> DataFrame:
     return out.withColumn("needs_review", ~F.coalesce(ok, F.lit(False)) | F.col("q6") | F.col("q7") | F.col("q8") | F.coalesce(F.col("asks_review"), F.lit(False)))
 
 
+def digest(*texts: str) -> str:
+    """Twelve digits that stand for a version of something: the same for the same texts only."""
+    return hashlib.sha256("\x00".join(texts).encode()).hexdigest()[:12]
+
+
+def recorded_versions(rubric_text: str, lexicon, packages: tuple[str, ...] = ("pyspark", "pandas", "pyarrow")) -> dict[str, str]:
+    """What a run of the rule grader was made with, taken from these things themselves: model, prompt, schema and package versions."""
+    return {
+        "model_name": "rules", "model_version": digest(rubric_text, *("\t".join(e) for e in lexicon)), "prompt_version": digest(*PROMPT, *STRATEGIES), "schema_version": digest(ANSWER),
+        "package_versions": ", ".join(f"{p} {metadata.version(p)}" for p in packages),
+    }
+
+
+def case_version(note: str = "note_text", key: str = "case_id") -> Column:
+    """An aggregate that stands for a set of cases, in any order: their number and the sum of numbers made from each case and note."""
+    of = F.conv(F.substr(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.coalesce(F.col(note), F.lit("")))), F.lit(1), F.lit(8)), 16, 10).cast("long")
+    return F.concat_ws("-", F.count("*").cast("string"), F.coalesce(F.sum(of), F.lit(0)).cast("string"))
+
+
 def with_provenance(df: DataFrame, generation_params: dict[str, str] | None = None, **recorded: str) -> DataFrame:
     """Add run, a struct of PROVENANCE and generation_params; what isn't given is null."""
     if unknown := set(recorded) - set(PROVENANCE):
@@ -74,8 +98,9 @@ def serialised(df: DataFrame, note: str = "answer_json") -> DataFrame:
 
 def prompt(note: Column, outcome: Column, criteria: Column | None = None) -> Column:
     """The text that a model is asked with; without criteria (None, or null in a row) the note alone."""
-    given = [] if criteria is None else [F.when(criteria.isNotNull(), F.concat(F.lit("Criteria:\n"), criteria))]
-    return F.concat_ws("\n", F.concat(F.lit("Grade this outcome: "), outcome), *given, F.lit("Note:"), note, F.lit('Answer in JSON with "outcome", "predicted_grade", "evidence", "rationale", "confidence" and "human_review".'))
+    ask, rules, head, answer = map(F.lit, PROMPT)
+    given = [] if criteria is None else [F.when(criteria.isNotNull(), F.concat(rules, criteria))]
+    return F.concat_ws("\n", F.concat(ask, outcome), *given, head, note, answer)
 
 
 def prompts(cases: DataFrame, rubric: DataFrame, note: str = "note_text") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import alignment
-from ..functions.lexicon import PLURAL
+from ..functions.lexicon import DEFAULT, PLURAL
 from ..functions.rubric import CHEST, CORE, CORE_TEXT, OUTCOMES, PAIN, PRIAPISM, RULES, SCOPE, SPLEEN, parsed
 from ..operators import answers, grading, metrics, raters, structured
 from ..sources import sinks, staging, synthetic
@@ -247,9 +247,10 @@ def q_patient_encounters(spark, sf_dir):
 
 
 def q_run_provenance(spark, sf_dir):
-    """Predictions by the run that made them."""
-    run = structured.with_provenance(_predicted(spark, sf_dir), {"temperature": "0"}, model_name="rules", model_version="2", prompt_version="none", schema_version="1", case_version="events", evaluated_on="2024-02-29", package_versions="pyspark 4")
-    return run.groupBy("run.model_name", "run.model_version", "run.prompt_version", "run.schema_version", "run.case_version", "run.evaluated_on", "run.package_versions", F.col("run.generation_params").getItem("temperature").alias("temperature")).agg(F.count("*").alias("n"))
+    """Predictions by the run that made them; versions come from the rubric, the lexicon, the prompt, the schema, the packages and the cases themselves."""
+    run = structured.with_provenance(_predicted(spark, sf_dir), {"temperature": "0"}, **structured.recorded_versions(CORE_TEXT, DEFAULT), evaluated_on="2024-02-29")
+    names = [c for c in structured.PROVENANCE if c != "case_version"]
+    return run.groupBy(*(f"run.{c}" for c in names), F.col("run.generation_params").getItem("temperature").alias("temperature")).agg(F.count("*").alias("n"), structured.case_version().alias("case_version"))
 
 
 def q_published_views(spark, sf_dir):
@@ -477,7 +478,8 @@ def oracle_sql() -> dict[str, str]:
         "rules_from_file": f"SELECT outcome, before, predicted_grade AS after, count(*) AS n FROM ({_steps('SELECT * EXCLUDE (present, criteria, rule_grade, predicted_grade, rationale, doubtful, q1, q2, q3, q4, q5, guard, human_review), predicted_grade AS before FROM graded', grading.grade_columns(parsed(_changed_text())))}) GROUP BY ALL",
         "asked_cases": f"SELECT case_id, cast(length(p) AS varchar) AS payload, cast(length(p) % 3 = 0 AS bigint) AS failed FROM (SELECT case_id, {text.format('')} AS p FROM cases)",
         "patient_encounters": "SELECT patient_id, case_id, cast(row_number() OVER (PARTITION BY patient_id ORDER BY ts, case_id) AS int) AS encounter_seq, stage, ts = min(ts) OVER (PARTITION BY patient_id) AS at_first FROM cases",
-        "run_provenance": "SELECT 'rules' AS model_name, '2' AS model_version, 'none' AS prompt_version, '1' AS schema_version, 'events' AS case_version, '2024-02-29' AS evaluated_on, 'pyspark 4' AS package_versions, '0' AS temperature, count(*) AS n FROM graded",
+        "run_provenance": f"""SELECT {", ".join(f"'{v}' AS {k}" for k, v in structured.recorded_versions(CORE_TEXT, DEFAULT).items())}, '2024-02-29' AS evaluated_on, '0' AS temperature, count(*) AS n,
+            concat(count(*), '-', sum(('0x' || substr(md5(concat(case_id, ':', note_text)), 1, 8))::bigint)) AS case_version FROM graded""",
         "published_views": "SELECT 'patient_view' AS name, count(*) AS n FROM cases UNION ALL SELECT 'severity_profile', count(DISTINCT patient_id) FROM cases UNION ALL SELECT 'severity_trajectory', count(*) FROM graded WHERE predicted_grade >= 1 UNION ALL "
         "SELECT 'grade_distribution', count(DISTINCT (outcome, predicted_grade)) FROM graded UNION ALL SELECT 'outcome_distribution', count(DISTINCT outcome) FROM cases UNION ALL SELECT 'truth_vs_predicted', count(DISTINCT (outcome, gold_grade, predicted_grade)) FROM graded UNION ALL "
         "SELECT 'accuracy_by_outcome', count(DISTINCT outcome) FROM cases UNION ALL SELECT 'confusion_matrix', 7 UNION ALL SELECT 'flagged_cases', count(*) FROM graded WHERE human_review",

@@ -8,9 +8,9 @@ import pytest
 from test_grader import NOTES
 from test_reading import NOTES as WORDED
 
-from sevra.functions import alignment
+from sevra.functions import alignment, lexicon
 from sevra.functions.rubric import CHEST, CORE, CORE_TEXT, PAIN, SPLEEN, parsed
-from sevra.operators import answers, metrics, raters
+from sevra.operators import answers, metrics, raters, structured
 from sevra.operators.grading import graded, misreads, predicted
 from sevra.sources import sinks, yaml_subset
 from sevra.sources.rubric_file import read_rubric, read_rules
@@ -160,6 +160,15 @@ def test_answer_store_asks_each_case_once(spark, tmp_path):
     assert Counter((r["model"], r["prompt_version"]) for r in answers.answers(spark, store).collect()) == {("m", "1"): 40, ("m", "2"): 4}
 
 
+def test_versions_follow_what_they_stand_for(spark):
+    one = structured.recorded_versions(CORE_TEXT, lexicon.DEFAULT)
+    assert one == structured.recorded_versions(CORE_TEXT, lexicon.DEFAULT) and "pyspark 4" in one["package_versions"]
+    assert one["model_version"] != structured.recorded_versions(CORE_TEXT + " ", lexicon.DEFAULT)["model_version"] != structured.recorded_versions(CORE_TEXT, lexicon.DEFAULT[1:])["model_version"]
+    version = lambda rows: spark.createDataFrame(rows, "case_id long, note_text string").agg(structured.case_version()).first()[0]
+    rows = [(1, "a"), (2, None), (2, "b")]
+    assert version(rows) == version(rows[::-1]) and len({version(rows), version(rows[:2]), version([(1, "b"), (2, None), (2, "a")]), version([])}) == 4
+
+
 def test_cells_add_up(spark, tmp_path):
     rng = random.Random(4)
     rows = [("ab"[i % 2], PAIN if i % 3 else CHEST, rng.randrange(-1, 6), rng.choice([None, *range(-1, 6)])) for i in range(500)]
