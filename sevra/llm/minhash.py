@@ -14,9 +14,9 @@ all: first with the one whose buckets are largest, then, where a bucket still
 spans several components, with the like of another component. What is still
 apart goes through an exact prefix join: shingles are ordered by their
 frequency, rarest first, and two sets can only be linked if they share one
-among the first of both. Before two rows meet there, each is held against the
-other's whole component: how many of its shingles occur there at all bounds
-what it can have in common with any member. So no link between candidates is
+among the first of both. Where rows of two components would meet often there,
+each is held against the other's whole component first: how many of its
+shingles occur there at all bounds what it can have in common with any member. So no link between candidates is
 lost, nothing inside a component is repeated, and members of a large group that
 have a few shingles of their own meet nobody.
 
@@ -41,6 +41,8 @@ from .textvec import U, Words, mix, slices
 ROWS, BANDS = 5, 25
 #: Turns with another centre, and pairs of one centre that meet under one key, about.
 TURNS, PAIRS = 2, 2000
+#: In the last turn, meetings of two components for each of their rows, beyond which rows are held against the other component first.
+MEETINGS = 4
 _SIGMA = 77
 
 
@@ -177,23 +179,39 @@ def prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int, steps: Steps) -
     # Of each shingle those stay that may meet the smallest and are met by the widest.
     per = heads.groupBy("token").agg(F.count("*").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("smallest"), F.max("most").alias("widest")).where("lo < hi").select("token", "f", "smallest", "widest")
     heads = steps.staged(join_groups(heads, steps.staged(per), ["token"], "f").where("most >= smallest and n <= widest").drop("f", "smallest", "widest"))
-    # Which components may a row meet: those that hold one of its heads, with sizes that fit.
-    sides = heads.groupBy("token", F.col("label").alias("other")).agg(F.min("n").alias("lo"), F.max("most").alias("hi"))
-    met = heads.join(sides, "token").where("label <> other AND n <= hi AND lo <= most").groupBy("rep", "n", "label", "other").agg(F.min("lo").alias("lo"))
-    met = steps.staged(met)
-    # Of these, those that hold enough of its shingles, wherever they stand: as many as it can share with any of their rows.
-    smallest = rows.groupBy(F.col("label").alias("other")).agg(F.min("n").alias("least_n"))
+    side = lambda k: heads.groupBy("token", F.col("label").alias(f"{k}_label")).agg(F.count("*").alias(f"{k}_f"), F.min("n").alias(f"{k}_lo"), F.max("most").alias(f"{k}_hi"))
+    x, y = side("x"), side("y").withColumnRenamed("token", "t")
+    differ = x.join(y, (F.col("token") == F.col("t")) & (F.col("x_label") < F.col("y_label")) & (F.col("x_lo") <= F.col("y_hi")) & (F.col("y_lo") <= F.col("x_hi"))).drop("t")
+    differ = steps.staged(differ.select("token", "x_label", "y_label", (F.col("x_f") * F.col("y_f")).alias("meet")))
+    # Two components whose rows would meet more often than a few times each are gone through row by row first; those of few rows can't.
+    members = rows.groupBy("label").agg(F.count("*").alias("members"), F.min("n").alias("least_n"))
+    of = lambda k: members.select(F.col("label").alias(f"{k}_label"), F.col("members").alias(f"{k}_members"))
+    met = differ.groupBy("x_label", "y_label").agg(F.sum("meet").alias("meet")).join(of("x"), "x_label").join(of("y"), "y_label")
+    often = steps.staged(met.where(F.least("meet", F.col("x_members") * F.col("y_members")) > MEETINGS * (F.col("x_members") + F.col("y_members"))).select("x_label", "y_label"))
+    named = lambda k: heads.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("label", "rep", "n", "most")))
+    sizes = (F.col("x_n") <= F.col("y_most")) & (F.col("y_n") <= F.col("x_most"))
+    pair = lambda df: df.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"), F.lit(1).cast("long").alias("m"))
+    few = differ if often.isEmpty() else differ.join(often, ["x_label", "y_label"], "left_anti")
+    pairs = pair(few.select("token", "x_label", "y_label").join(named("x"), ["token", "x_label"]).join(named("y"), ["token", "y_label"]).where(sizes))
+    if not often.isEmpty():
+        pairs = pairs.union(pair(_held_against(differ.join(often, ["x_label", "y_label"], "left_semi"), heads, shared, members, percent, steps).where(sizes)))
+    return pairs.distinct()
+
+
+def _held_against(differ: DataFrame, heads: DataFrame, shared: DataFrame, members: DataFrame, percent: int, steps: Steps) -> DataFrame:
+    """Rows of two components (token, x_label, y_label) that share a head, each of which has enough in common with the other's component as a whole.
+
+    How many of a row's shingles occur anywhere in the other component bounds
+    what it shares with any of its rows: one look-up for each shingle and component.
+    """
+    sides = differ.select("token", F.col("x_label").alias("label"), F.col("y_label").alias("other")).union(differ.select("token", F.col("y_label").alias("label"), F.col("x_label").alias("other")))
+    met = steps.staged(heads.join(sides, ["token", "label"]).select("rep", "n", "label", "other").distinct())
     held = shared.select("token", F.col("label").alias("other")).distinct()
     common = met.join(shared.select("rep", "token"), "rep").join(held, ["token", "other"]).groupBy("rep", "n", "label", "other").agg(F.count("*").alias("c"))
-    able = common.join(smallest, "other").where((100 + percent) * F.col("c") >= percent * (F.col("n") + F.col("least_n"))).select("rep", "label", "other")
-    able = steps.staged(able)
-    mutual = able.join(able.select(F.col("other").alias("label"), F.col("label").alias("other")).distinct(), ["label", "other"])
-    open_ = steps.staged(heads.join(mutual.select("rep", "other"), "rep"))
-    named = lambda k: open_.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("label", "other", "rep", "n", "most")))
-    x, y = named("x"), named("y").withColumnRenamed("token", "t")
-    both = (F.col("token") == F.col("t")) & (F.col("x_label") == F.col("y_other")) & (F.col("x_other") == F.col("y_label"))
-    pairs = x.where("x_label < x_other").join(y.where("y_label > y_other"), both & (F.col("x_n") <= F.col("y_most")) & (F.col("y_n") <= F.col("x_most")))
-    return pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"), F.lit(1).cast("long").alias("m")).distinct()
+    able = common.join(members.select(F.col("label").alias("other"), "least_n"), "other").where((100 + percent) * F.col("c") >= percent * (F.col("n") + F.col("least_n")))
+    rows = steps.staged(heads.join(able.select("rep", "other"), "rep"))
+    named = lambda k, o: rows.select("token", F.col("label").alias(f"{k}_label"), F.col("other").alias(f"{o}_label"), *(F.col(c).alias(f"{k}_{c}") for c in ("rep", "n", "most")))
+    return named("x", "y").where("x_label < y_label").join(named("y", "x"), ["token", "x_label", "y_label"])
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
