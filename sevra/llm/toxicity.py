@@ -70,9 +70,11 @@ def train(rows: list[tuple[int, np.ndarray]], epochs: int = 4, alpha: float = 1.
             g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -30, 30))) - y
             z[x] = zx + g - (np.sqrt(nx + g * g) - root) / alpha * w
             n[x] = nx + g * g
-    w = np.where(np.abs(z) <= l1, 0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
-    at = np.flatnonzero(w)
-    return Weights(at.astype(np.int32), w[at].astype(np.float32), bias)
+    # Only where there is a weight: whole arrays of each step would be the driver's largest objects.
+    at = np.flatnonzero((z > l1) | (z < -l1))
+    z, n = z[at], n[at]
+    w = -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2)
+    return Weights(at.astype(np.int32), w.astype(np.float32), bias)
 
 
 def choose(rows: list[tuple[int, np.ndarray]], grid: list[dict], folds: int = 3, threshold: float = 0.3) -> list[tuple[float, float, dict]]:
