@@ -9,6 +9,8 @@ case has the same draws wherever it is worked out. Alpha needs sums over vectors
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +26,11 @@ METRICS = {"nominal": lambda a, b: float(a != b), "interval": lambda a, b: float
 
 def weights(case: Column, replicates: int = REPLICATES) -> Column:
     """Array of a case's weights, one per replicate: eight from each digest of the case and a number."""
-    digests = [F.md5(F.concat_ws(":", case.cast("string"), F.lit(str(k)))) for k in range(-(-replicates // _PER_DIGEST))]
-    draws = [F.conv(F.substr(d, F.lit(4 * j + 1), F.lit(4)), 16, 10).cast("int") for d in digests for j in range(_PER_DIGEST)][:replicates]
-    of = lambda u: sum((F.when(u >= t, 1).otherwise(0) for t in WEIGHTS[1:]), F.when(u >= WEIGHTS[0], 1).otherwise(0))
-    return F.transform(F.array(*draws), lambda u: of(u).cast("long"))
+    digests = F.array(*(F.md5(F.concat_ws(":", case.cast("string"), F.lit(str(k)))) for k in range(-(-replicates // _PER_DIGEST))))
+    # Digits of one length and case compare as their numbers do, and a digest is bound, so that it is worked out once for all of its draws.
+    of = lambda h: reduce(lambda low, t: low.when(h < f"{t[1]:04x}", t[0]), enumerate(WEIGHTS[1:], 1), F.when(h < f"{WEIGHTS[0]:04x}", 0)).otherwise(len(WEIGHTS)).cast("long")
+    drawn = F.flatten(F.transform(digests, lambda d: F.transform(F.array(*(F.substr(d, F.lit(4 * j + 1), F.lit(4)) for j in range(_PER_DIGEST))), of)))
+    return drawn if replicates % _PER_DIGEST == 0 else F.slice(drawn, 1, replicates)
 
 
 def alpha(ratings: DataFrame, *by: str, grades: tuple[int, ...] = GRADES, metric: str = "nominal", replicates: int = REPLICATES) -> DataFrame:
