@@ -108,8 +108,8 @@ class Rubric:
     def rationale_sql(self) -> str:
         return case_of([(f"outcome = {quoted(o)} AND predicted_grade = {g}", quoted(c)) for _, o, g, c, _ in self.rules] + [("predicted_grade = 0", "'criteria not met'")], "'outcome not present'")
 
-    def grade_sql(self) -> str:
-        return f"CASE WHEN NOT present THEN {ABSENT} WHEN NOT criteria THEN {NOT_GRADABLE} ELSE rule_grade END"
+    def grade_sql(self, prefix: str = "") -> str:
+        return f"CASE WHEN NOT {prefix}present THEN {ABSENT} WHEN NOT {prefix}criteria THEN {NOT_GRADABLE} ELSE {prefix}rule_grade END"
 
     def misread_sql(self, threshold: str, facts: str = "") -> str:
         """The grade of a case of the threshold's outcome, had it been taken for the opposite; null where its quantity is unknown."""

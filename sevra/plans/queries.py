@@ -283,8 +283,8 @@ def q_rules_from_file(spark, sf_dir):
     at = staging.folder(spark)
     spark.createDataFrame([(_changed_text(),)], "value string").write.text(at)
     rules, cases = read_rules(spark, at), _cases(spark, sf_dir)
-    both = grading.predicted(grading.predicted(cases).withColumnRenamed("predicted_grade", "before"), rubric=rules)
-    return both.groupBy("outcome", "before", F.col("predicted_grade").alias("after")).agg(F.count("*").alias("n"))
+    both = grading.predicted_by(cases, {"before": CORE, "after": rules})
+    return both.groupBy("outcome", "before", "after").agg(F.count("*").alias("n"))
 
 
 def q_asked_cases(spark, sf_dir):
