@@ -36,6 +36,17 @@ def small_batches(spark: SparkSession, mb: int = 8, rows: int = 2000) -> None:
             spark.conf.set(key, str(most))
 
 
+def prefiltered_joins(spark: SparkSession) -> None:
+    """Let Spark put a Bloom filter of the smaller side (a megabyte, however many keys) before the shuffle of the larger one, where that is a table of over 1 MB. The smaller side needs a filter of its own."""
+    for key, value in (("enabled", "true"), ("applicationSideScanSizeThreshold", "1MB"), ("creationSideThreshold", "10GB")):
+        spark.conf.set(f"spark.sql.optimizer.runtime.bloomFilter.{key}", value)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM collect garbage: Spark then deletes the shuffle files of results that nothing refers to, and the heap shrinks."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Steps, components, join_groups, small_batches
+from .common import Steps, components, join_groups, prefiltered_joins, release, small_batches
 from .textvec import U, Words, mix, slices
 
 #: Coordinates per band and bands. At similarity 0.85 a pair is missed with probability 4e-7, at 0.8 with 5e-5.
@@ -225,6 +225,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     and text are not read. An empty table gives none.
     """
     small_batches(df.sparkSession)
+    prefiltered_joins(df.sparkSession)
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     if texts.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
         one = texts.where("id is not null").groupBy("id").agg(F.min("text").alias("text")).unionByName(texts.where("id is null"))
@@ -249,7 +250,7 @@ def _grouped(texts: DataFrame, size: int, percent: int) -> DataFrame:
     rows = classes.select(*own, F.explode("bands").alias("bucket"))
     buckets = staged(rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
     # A set is famous if its buckets are large: it has what its group has in common, so most links of a group meet in it.
-    rows = join_groups(rows, buckets, ["bucket"], "m").withColumn("fame", F.sum("m").over(Window.partitionBy("rep")))
+    rows = staged(join_groups(rows, buckets, ["bucket"], "m").withColumn("fame", F.sum("m").over(Window.partitionBy("rep"))))
     rows, centres = _centred(rows.withColumn("label", F.col("rep")), steps)
 
     def with_centre(rows: DataFrame) -> DataFrame:
@@ -257,8 +258,10 @@ def _grouped(texts: DataFrame, size: int, percent: int) -> DataFrame:
         return rows.where((F.col("label") != F.col("c.label")) & possible).groupBy(F.col("rep").alias("a"), F.col("c.rep").alias("b")).agg(F.max("m").alias("m"))
 
     done = staged(with_centre(rows))
-    # Full sets of all that share a bucket, once for every turn.
-    sets = staged(texts.join(rows.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text").mapInArrow(_sets(size), "id long, shingles array<long>"))
+    # Full sets of all that share a bucket, once for every turn. All have n > 0: by this filter Spark makes a Bloom filter of them, so that few other texts are shuffled.
+    wanted = staged(rows.select(F.col("rep").alias("id"), "n").distinct()).where("n > 0").select("id")
+    sets = staged(texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets(size), "id long, shingles array<long>"))
+    release(texts.sparkSession)
     links = staged(_verified(done, sets, percent))
     labels = components(links, steps).withColumnRenamed("node", "rep")
     for turn in range(TURNS + 1):
@@ -274,6 +277,7 @@ def _grouped(texts: DataFrame, size: int, percent: int) -> DataFrame:
             links = links.union(more)
             labels = components(links, steps).withColumnRenamed("node", "rep")
         done = done.union(new)
+        release(texts.sparkSession)
     named = classes.select("d1", "d2", "members", "rep").join(labels, "rep", "left")
     named = staged(named.select("d1", "d2", "members", F.coalesce("label", "rep").alias("component_id")))
     out = join_groups(ids.where("n > 0 and id is not null"), named, ["d1", "d2"], "members").select("id", "n", "component_id")
