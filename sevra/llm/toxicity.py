@@ -124,9 +124,10 @@ def learning_rows(labelled: DataFrame, key: str = "doc_id", text: str = "text",
     if docs is not None:  # at most MAX_LABELLED rows of two numbers
         rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("x")).join(F.broadcast(rows), "k").groupBy("k").agg(F.max("y").alias("y"), F.min("x").alias("x"))
     rows = rows.where(F.coalesce(F.length("x"), F.lit(0)) <= MAX_CHARS)
-    got = rows.select("k", "y", "x").mapInArrow(_collect, "k long, y int, x binary").toPandas()
-    order = np.argsort(mix(got["k"].to_numpy(np.int64).view(U), 11), kind="stable") if len(got) else []
-    return [(int(got["y"].iloc[i]), np.frombuffer(got["x"].iloc[i], np.int32)) for i in order]
+    got = rows.select("k", "y", "x").mapInArrow(_collect, "k long, y int, x binary").toArrow()
+    order = np.argsort(mix(got["k"].to_numpy().view(U), 11), kind="stable") if len(got) else []
+    label, buckets = got["y"].to_numpy(), got["x"].combine_chunks()
+    return [(int(label[i]), np.frombuffer(buckets[i].as_buffer(), np.int32)) for i in order]
 
 
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", docs: DataFrame | None = None) -> Weights:
