@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .textvec import U, Words, mix, slices
 
-#: Buckets of the hashed features, bytes of a word's beginning, most labelled rows that are learnt from, and longest text among them, so that they fit the driver.
+#: Buckets of the hashed features, bytes of a word's beginning, most labelled rows that are learnt from, and longest text among them, so that they fit a task.
 BITS, STEM, MAX_LABELLED, MAX_CHARS = 22, 5, 6000, 50_000
 
 
@@ -116,6 +116,11 @@ def learning_rows(labelled: DataFrame, key: str = "doc_id", text: str = "text",
     and texts of over MAX_CHARS are passed over; of rows that share a key, the
     largest label and the smallest text count. Empty tables give none.
     """
+    return _in_order(_features(labelled, key, text, label, docs).toArrow())
+
+
+def _features(labelled: DataFrame, key: str, text: str, label: str, docs: DataFrame | None) -> DataFrame:
+    """(k, y, x) of learning_rows: key, label and distinct buckets as bytes."""
     small_batches(labelled.sparkSession)
     y = F.col(f"`{label}`").cast("int").alias("y")
     own = [] if docs is not None else [F.col(f"`{text}`").alias("x")]
@@ -124,15 +129,29 @@ def learning_rows(labelled: DataFrame, key: str = "doc_id", text: str = "text",
     if docs is not None:  # at most MAX_LABELLED rows of two numbers
         rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("x")).join(F.broadcast(rows), "k").groupBy("k").agg(F.max("y").alias("y"), F.min("x").alias("x"))
     rows = rows.where(F.coalesce(F.length("x"), F.lit(0)) <= MAX_CHARS)
-    got = rows.select("k", "y", "x").mapInArrow(_collect, "k long, y int, x binary").toArrow()
+    return rows.select("k", "y", "x").mapInArrow(_collect, "k long, y int, x binary")
+
+
+def _in_order(got: pa.Table) -> list[tuple[int, np.ndarray]]:
+    """(label, distinct buckets) of rows (k, y, x), in the fixed mixed order."""
     order = np.argsort(mix(got["k"].to_numpy().view(U), 11), kind="stable") if len(got) else []
     label, buckets = got["y"].to_numpy(), got["x"].combine_chunks()
     return [(int(label[i]), np.frombuffer(buckets[i].as_buffer(), np.int32)) for i in order]
 
 
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = pa.Table.from_batches(batches, pa.schema({"k": pa.int64(), "y": pa.int32(), "x": pa.binary()}))
+    w = train(_in_order(got))
+    yield pa.RecordBatch.from_arrays([pa.array([w.buckets.tobytes()], pa.binary()), pa.array([w.values.tobytes()], pa.binary()), pa.array([w.bias])], ["buckets", "vals", "bias"])
+
+
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", docs: DataFrame | None = None) -> Weights:
-    """Weights from learning_rows."""
-    return train(learning_rows(labelled, key, text, label, docs))
+    """Weights from learning_rows. One task trains on these (at most MAX_LABELLED); only the weights reach the driver."""
+    rows = _features(labelled, key, text, label, docs).repartition(1)
+    got = rows.mapInArrow(_train, "buckets binary, vals binary, bias double").first()
+    if got is None:
+        return train([])
+    return Weights(np.frombuffer(got["buckets"], np.int32), np.frombuffer(got["vals"], np.float32), got["bias"])
 
 
 def scored(df: DataFrame, weights: Weights, key: str = "doc_id", text: str = "text") -> DataFrame:
